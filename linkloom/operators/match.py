@@ -1,0 +1,331 @@
+"""Full-text matching of many queries at once.
+
+A query is a set of clauses. Clauses of one ``group_id`` are alternatives, all
+groups of a query must match, and clauses with op ``not`` exclude. A clause is
+a term, a phrase, a prefix, an initial phrase (``^``) or a NEAR group:
+
+    query_id, clause_id, group_id, op, kind, col_mask, slop, phrase_no, text
+
+``op`` is must, should or not; ``kind`` is term, phrase, prefix, near or
+initial; ``col_mask`` has bit 0 for title, 1 for text, 2 for url (7 for all).
+A NEAR clause has one row per phrase, numbered by ``phrase_no``.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from linkloom.functions.analysis import stem_tokens, tokenize
+from linkloom.functions.columns import strip
+from linkloom.operators.index import Index
+
+CLAUSE_SCHEMA = (
+    "query_id int, clause_id int, group_id int, op string, kind string, col_mask int, "
+    "slop int, phrase_no int, text string"
+)
+PHRASE = ("query_id", "clause_id", "phrase_no")
+
+# A batch with at most this many term rows is planned as a local table, which
+# Spark may broadcast. A larger one stays distributed and is joined by shuffle.
+SMALL_BATCH = 20_000
+# Token lists up to this size go into the scan as a filter.
+PUSHED_TOKENS = 1_000
+
+
+def plain_clauses(queries: DataFrame) -> DataFrame:
+    """Clauses of plain user queries (query_id, q): words and quoted phrases, all required.
+
+    Blank queries yield nothing. Operators are not interpreted; build the clause
+    rows directly for those.
+    """
+    pieces = F.regexp_extract_all(F.col("q"), F.lit(r'"[^"]*"|[^\s"]+'), F.lit(0))
+    words = queries.filter(strip(F.col("q")) != "").select(
+        F.col("query_id").cast("int"), F.posexplode(pieces).alias("clause_id", "text")
+    )
+    return words.select(
+        "query_id",
+        "clause_id",
+        F.col("clause_id").alias("group_id"),
+        F.lit("must").alias("op"),
+        F.lit("phrase").alias("kind"),
+        F.lit(7).alias("col_mask"),
+        F.lit(0).alias("slop"),
+        F.lit(0).alias("phrase_no"),
+        "text",
+    )
+
+
+def clause_terms(clauses: DataFrame, stem: bool = True) -> DataFrame:
+    """One row per term of each clause, analyzed like the indexed text.
+
+    Clauses without a token vanish, as do queries without a positive clause.
+    """
+    found = tokenize("text")
+    if stem:
+        found = stem_tokens(found)
+    terms = (
+        clauses.select(*(c for c in clauses.columns if c != "text"), found.alias("found"))
+        .select("*", F.size("found").alias("n_terms"), F.posexplode("found").alias("term_pos", "token"))
+        .drop("found")
+        .withColumn(
+            "is_prefix",
+            (F.col("kind") == "prefix") & (F.col("term_pos") == F.col("n_terms") - 1),
+        )
+        .withColumn(
+            "positional", (F.col("n_terms") > 1) | F.col("kind").isin("initial", "near")
+        )
+    )
+    required = (
+        terms.filter(F.col("op") != "not")
+        .groupBy("query_id")
+        .agg(F.countDistinct("group_id").alias("n_groups"))
+    )
+    in_clause = terms.groupBy("query_id", "clause_id").agg(
+        F.countDistinct("phrase_no").alias("n_phrases")
+    )
+    return terms.join(required, "query_id").join(in_clause, ["query_id", "clause_id"])
+
+
+@dataclass(frozen=True)
+class Terms:
+    """Term rows of a query batch, and what is known about them before planning."""
+
+    rows: DataFrame
+    small: bool
+    tokens: tuple[str, ...] | None  # every exact token, when few enough to push down
+    prefixes: tuple[str, ...] | None
+    prefix_lengths: tuple[int, ...]
+
+
+def prepare(clauses: DataFrame, stem: bool = True) -> Terms:
+    """Analyze the clauses and look at the size of the batch.
+
+    A small batch is fetched once (its size is checked first) and turned into a
+    local table. A large one is left where it is.
+    """
+    rows = clause_terms(clauses, stem)
+    sample = rows.limit(SMALL_BATCH + 1).collect()
+    if len(sample) > SMALL_BATCH:
+        lengths = rows.filter("is_prefix").select(F.length("token").alias("n")).distinct()
+        return Terms(rows, False, None, None, tuple(r.n for r in lengths.collect()))
+    local = clauses.sparkSession.createDataFrame(sample, rows.schema)
+    exact = sorted({r.token for r in sample if not r.is_prefix})
+    prefixes = sorted({r.token for r in sample if r.is_prefix})
+    lengths = tuple(sorted({len(p) for p in prefixes}))
+    if len(exact) + len(prefixes) > PUSHED_TOKENS:
+        return Terms(local, True, None, None, lengths)
+    return Terms(local, True, tuple(exact), tuple(prefixes), lengths)
+
+
+def _wanted(postings: DataFrame, terms: Terms) -> DataFrame:
+    """Postings of the query tokens only; the filter reaches the Parquet scan."""
+    if terms.tokens is None:
+        return postings
+    condition = F.lit(False)
+    if terms.tokens:
+        condition = F.col("token").isin(*terms.tokens)
+    for prefix in terms.prefixes or ():
+        condition = condition | F.col("token").startswith(prefix)
+    return postings.filter(condition)
+
+
+def _sized(terms: Terms, rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if terms.small else rows
+
+
+def _term_hits(postings: DataFrame, terms: Terms, rows: DataFrame) -> DataFrame:
+    """Postings joined with the term rows they satisfy, exact and prefix terms alike."""
+    hits = postings.join(_sized(terms, rows.filter(~F.col("is_prefix"))), "token")
+    if terms.prefix_lengths:
+        starts = F.array(*(F.left("token", F.lit(n)) for n in terms.prefix_lengths))
+        # A short token yields itself for several lengths.
+        heads = postings.withColumn("head", F.explode(F.array_distinct(starts)))
+        wanted = rows.filter("is_prefix").withColumnRenamed("token", "head")
+        hits = hits.unionByName(heads.join(_sized(terms, wanted), "head").drop("head"))
+    return hits.filter(F.getbit("col_mask", F.col("col").cast("int")) == 1)
+
+
+def _near_kept(instances: DataFrame) -> DataFrame:
+    """NEAR instances with a flag: part of a group within the allowed distance.
+
+    All phrases of a group must lie close to one anchor, the instance that starts
+    last: each other phrase must end at most ``slop`` tokens before the anchor
+    starts. Both directions are running lookups within one page column.
+    """
+    column = ["query_id", "clause_id", "page_id", "col"]
+    kinds = F.sequence(F.lit(0), F.col("n_phrases") - 1)
+    anchors = (
+        instances.select(*column, "start", "slop", "n_phrases")
+        .distinct()
+        .withColumn("wanted", F.explode(kinds))
+    )
+    events = instances.withColumn("wanted", F.col("phrase_ordinal"))
+    per_phrase = Window.partitionBy(*column, "wanted").orderBy("start")
+    so_far = per_phrase.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = per_phrase.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    timeline = anchors.select(
+        *column, "wanted", "start", "slop", "n_phrases", F.lit(None).cast("int").alias("end")
+    ).unionByName(
+        events.select(
+            *column, "wanted", "start", "slop", "n_phrases",
+            (F.col("start") + F.col("n_terms")).alias("end"),
+        )
+    )
+    # The instance of a phrase that starts last has the largest end, too.
+    good = (
+        timeline.withColumn("last_end", F.max("end").over(so_far))
+        .filter(F.col("end").isNull() & (F.col("start") - F.col("last_end") <= F.col("slop")))
+        .groupBy(*column, "start", "n_phrases")
+        .agg(F.count("*").alias("close"))
+        .filter(F.col("close") == F.col("n_phrases"))
+        .select(*column, F.explode(kinds).alias("wanted"), "start", F.lit(True).alias("anchor"))
+    )
+    marked = events.withColumn("anchor", F.lit(False)).unionByName(good, allowMissingColumns=True)
+    next_anchor = F.min(F.when(F.col("anchor"), F.col("start"))).over(from_here)
+    return (
+        marked.withColumn("next_anchor", next_anchor)
+        .filter(~F.col("anchor"))
+        .withColumn(
+            "kept",
+            F.coalesce(
+                F.col("next_anchor") - F.col("start") - F.col("n_terms") <= F.col("slop"), F.lit(False)
+            ),
+        )
+        .select(*instances.columns, "kept")
+    )
+
+
+def _positional(postings: DataFrame, terms: Terms, rows: DataFrame) -> DataFrame:
+    """Every instance of the given phrases: page, column and start position."""
+    starts = (
+        _term_hits(postings, terms, rows)
+        .withColumn("start", F.explode("positions"))
+        .withColumn("start", F.col("start") - F.col("term_pos"))
+    )
+    keys = [*PHRASE, "page_id", "col", "start"]
+    # Each term of the phrase contributes one row per start where it fits.
+    instances = (
+        starts.groupBy(*keys)
+        .agg(
+            F.count("*").alias("fitting"),
+            *(
+                F.max(c).alias(c)
+                for c in ("doc_len", "n_terms", "kind", "slop", "n_phrases", "phrase_ordinal")
+            ),
+        )
+        .filter((F.col("fitting") == F.col("n_terms")) & (F.col("start") >= 0))
+        .filter((F.col("kind") != "initial") | (F.col("start") == 0))
+        .drop("fitting")
+    )
+    near = F.col("n_phrases") > 1
+    others = instances.filter(~near).withColumn("kept", F.lit(True))
+    return others.unionByName(_near_kept(instances.filter(near)))
+
+
+def _with_ordinals(rows: DataFrame) -> DataFrame:
+    """Number the phrases of each clause from 0, whatever their phrase_no."""
+    within = Window.partitionBy("query_id", "clause_id").orderBy("phrase_no")
+    return rows.withColumn("phrase_ordinal", F.dense_rank().over(within) - 1)
+
+
+def instances(index: Index, terms: Terms, within: DataFrame | None = None) -> DataFrame:
+    """Phrase instances (query, clause, phrase, page, col, start, n_terms), NEAR applied.
+
+    ``within`` restricts the search to some (query_id, page_id) pairs.
+    """
+    postings = _wanted(index.postings, terms)
+    if within is not None:
+        postings = postings.join(within.select("page_id").distinct(), "page_id", "left_semi")
+    found = _positional(postings, terms, _with_ordinals(terms.rows.filter(F.col("op") != "not")))
+    found = found.filter("kept").select(*PHRASE, "page_id", "col", "start", "n_terms")
+    if within is not None:
+        found = found.join(within.select("query_id", "page_id"), ["query_id", "page_id"], "left_semi")
+    return found
+
+
+def phrase_hits(index: Index, terms: Terms, weights: tuple[float, float, float]) -> DataFrame:
+    """Per query, clause, phrase and page: instances, weighted instances, page length.
+
+    Single tokens are counted from the stored frequencies; positions are read
+    only for the phrases that need them.
+    """
+    postings = _wanted(index.postings, terms)
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("col").cast("int") + 1)
+    keep = [*PHRASE, "page_id", "doc_len"]
+    bag = _term_hits(postings.drop("positions"), terms, terms.rows.filter(~F.col("positional"))).select(
+        *keep, F.col("tf").alias("hits"), (F.col("tf") * weight).alias("weighted")
+    )
+    if not terms.small or not terms.rows.filter("positional").isEmpty():
+        placed = _positional(postings, terms, _with_ordinals(terms.rows.filter("positional"))).select(
+            *keep,
+            F.col("kept").cast("int").alias("hits"),
+            F.when(F.col("kept"), weight).otherwise(0.0).alias("weighted"),
+        )
+        bag = bag.unionByName(placed)
+    # One shuffle by (query, page) serves this and the per-page step after it.
+    return (
+        bag.repartition("query_id", "page_id")
+        .groupBy(*PHRASE, "page_id")
+        .agg(
+            F.sum("hits").alias("hits"),
+            F.sum("weighted").alias("weighted"),
+            F.max("doc_len").alias("doc_len"),
+        )
+    )
+
+
+K1, B = 1.2, 0.75
+LEAST_IDF = 1e-6
+
+
+def _idf(n_docs: Column, n: Column) -> Column:
+    idf = F.log((n_docs - n + 0.5) / (n + 0.5))
+    return F.when(idf <= 0, LEAST_IDF).otherwise(idf)
+
+
+def match(
+    index: Index, terms: Terms, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
+) -> DataFrame:
+    """Pages matching each query with their BM25 score (lower is better).
+
+    Columns: query_id, page_id, score. Every phrase counts with its document
+    frequency inside its own column filter.
+    """
+    hits = phrase_hits(index, terms, weights)
+    phrases = terms.rows.select(*PHRASE, "group_id", "op", "n_groups").distinct()
+    frequency = hits.groupBy(*PHRASE).agg(F.count("*").alias("n"))
+    # At most one row per phrase of the batch.
+    known = _sized(terms, frequency.join(_sized(terms, phrases), list(PHRASE)))
+    n_docs = index.corpus_stats.select("n_docs").scalar()
+    avg_len = index.corpus_stats.select("avg_len").scalar()
+    norm = K1 * (1 - B + B * F.col("doc_len") / avg_len)
+    part = _idf(n_docs, F.col("n")) * F.col("weighted") * (K1 + 1) / (F.col("weighted") + norm)
+    present = F.col("hits") > 0
+    positive = present & (F.col("op") != "not")
+    return (
+        hits.join(known, list(PHRASE))
+        .groupBy("query_id", "page_id")
+        .agg(
+            F.sum(F.when(positive, -part)).alias("score"),
+            # One entry per group of the query at most.
+            F.size(F.collect_set(F.when(positive, F.col("group_id")))).alias("groups"),
+            F.max("n_groups").alias("n_groups"),
+            F.max(present & (F.col("op") == "not")).alias("excluded"),
+        )
+        .filter((F.col("groups") == F.col("n_groups")) & ~F.col("excluded"))
+        .select("query_id", "page_id", "score")
+    )
+
+
+def hit_counts(matched: DataFrame, queries: DataFrame) -> DataFrame:
+    """Total hits per query, 0 for queries without any."""
+    counts = matched.groupBy("query_id").agg(F.count("*").alias("total"))
+    return (
+        queries.select("query_id")
+        .distinct()
+        .join(counts, "query_id", "left")
+        .select("query_id", F.coalesce("total", F.lit(0)).alias("total"))
+    )
