@@ -98,6 +98,8 @@ class Terms:
     tokens: tuple[str, ...] | None  # every exact token, when few enough to push down
     prefixes: tuple[str, ...] | None
     prefix_lengths: tuple[int, ...]
+    positional: bool = True  # whether any phrase needs positions
+    near: bool = True
 
 
 def prepare(clauses: DataFrame, stem: bool = True) -> Terms:
@@ -112,12 +114,20 @@ def prepare(clauses: DataFrame, stem: bool = True) -> Terms:
         lengths = rows.filter("is_prefix").select(F.length("token").alias("n")).distinct()
         return Terms(rows, False, None, None, tuple(r.n for r in lengths.collect()))
     local = clauses.sparkSession.createDataFrame(sample, rows.schema)
-    exact = sorted({r.token for r in sample if not r.is_prefix})
-    prefixes = sorted({r.token for r in sample if r.is_prefix})
+    exact = tuple(sorted({r.token for r in sample if not r.is_prefix}))
+    prefixes = tuple(sorted({r.token for r in sample if r.is_prefix}))
     lengths = tuple(sorted({len(p) for p in prefixes}))
     if len(exact) + len(prefixes) > PUSHED_TOKENS:
-        return Terms(local, True, None, None, lengths)
-    return Terms(local, True, tuple(exact), tuple(prefixes), lengths)
+        exact = prefixes = None
+    return Terms(
+        local,
+        True,
+        exact,
+        prefixes,
+        lengths,
+        any(r.positional for r in sample),
+        any(r.n_phrases > 1 for r in sample),
+    )
 
 
 def _wanted(postings: DataFrame, terms: Terms) -> DataFrame:
@@ -220,6 +230,8 @@ def _positional(postings: DataFrame, terms: Terms, rows: DataFrame) -> DataFrame
         .filter((F.col("kind") != "initial") | (F.col("start") == 0))
         .drop("fitting")
     )
+    if not terms.near:
+        return instances.withColumn("kept", F.lit(True))
     near = F.col("n_phrases") > 1
     others = instances.filter(~near).withColumn("kept", F.lit(True))
     return others.unionByName(_near_kept(instances.filter(near)))
@@ -258,7 +270,7 @@ def phrase_hits(index: Index, terms: Terms, weights: tuple[float, float, float])
     bag = _term_hits(postings.drop("positions"), terms, terms.rows.filter(~F.col("positional"))).select(
         *keep, F.col("tf").alias("hits"), (F.col("tf") * weight).alias("weighted")
     )
-    if not terms.small or not terms.rows.filter("positional").isEmpty():
+    if terms.positional:
         placed = _positional(postings, terms, _with_ordinals(terms.rows.filter("positional"))).select(
             *keep,
             F.col("kept").cast("int").alias("hits"),

@@ -23,6 +23,7 @@ from linkloom.operators.rank import (
     top_per_query,
 )
 from linkloom.operators.snippet import snippets
+from linkloom.sources.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -66,14 +67,24 @@ def search(
 ) -> SearchResult:
     """Run a batch of structured queries (see ``operators.match``).
 
-    Wide page columns are fetched for the shown rows only, after ranking.
+    The matches serve both the totals and the ranking. Wide page columns are
+    fetched for the shown rows only, after ranking. The few rows of each step go
+    through the checkpoint folder, which keeps the plans short.
     """
     limit, offset = clamp(limit, offset)
     terms = prepare(clauses, index.stemmed)
-    top = ranked(index, terms, limit, offset, weights, inbound)
-    wide = pages.join(_sized(terms, top), "page_id")
-    texts = wide.select("query_id", "page_id", "text")
-    shown = snippets(texts, instances(index, terms, _sized(terms, top)))
+    matched = match(index, terms, weights).persist()
+    totals = cut(page_info(hit_counts(matched, clauses), limit, offset))
+    scored = matched if inbound is None else boost(matched, inbound)
+    top = cut(top_per_query(scored, limit, offset))
+    matched.unpersist()
+    wide = cut(
+        pages.select("page_id", "url", "title", "text", "status_code", "post_date_iso").join(
+            _sized(terms, top), "page_id"
+        )
+    )
+    found = cut(instances(index, terms, _sized(terms, top)))
+    shown = snippets(wide, found)
     results = wide.join(shown, ["query_id", "page_id"]).select(
         "query_id",
         "place",
@@ -87,5 +98,4 @@ def search(
         "post_date_iso",
         display_date("post_date_iso").alias("shown_date"),
     )
-    totals = page_info(hit_counts(match(index, terms), clauses), limit, offset)
     return SearchResult(results, totals)
