@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.urls import canonical_url, netloc
@@ -34,6 +34,21 @@ def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return candidates.join(seen.select("url"), "url", "left_anti")
 
 
+def _leading(level: DataFrame, room: int) -> DataFrame:
+    """First ``room`` rows by ``order``, however large ``room`` is.
+
+    An id is a partition number and a row number in it, so the rows before a
+    partition follow from the partition sizes: one small row per partition.
+    """
+    placed = level.withColumn("part", F.shiftrightunsigned("order", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skipped"))
+    in_part = F.col("order") - F.shiftleft("part", 33)
+    kept = placed.join(F.broadcast(sizes), "part").filter(F.col("skipped") + in_part < room)
+    return cut(kept.select(*level.columns))
+
+
 def reachable(
     links: DataFrame,
     pages: DataFrame,
@@ -58,10 +73,11 @@ def reachable(
         open_urls = queued
         if bound_rules is not None:
             open_urls = robots_allowed(queued, bound_rules).filter("allowed").drop("allowed")
-        level = open_urls.join(stored, "url").orderBy("parent", "url").limit(room)
+        level = open_urls.join(stored, "url").orderBy("parent", "url")
         # Ids follow the sorted rows; the checkpoint then fixes them.
         order = F.monotonically_increasing_id()
-        return cut(level.select("url", "page_id", F.lit(depth).alias("depth"), order.alias("order")))
+        level = cut(level.select("url", "page_id", F.lit(depth).alias("depth"), order.alias("order")))
+        return _leading(level, room) if level.count() > room else level
 
     queued = cut(allowed_hosts(seeds, seeds, same_host).withColumn("parent", F.lit(0).cast("long")))
     seen, levels, found, depth = queued.select("url"), [], 0, 0
