@@ -78,15 +78,14 @@ def clause_terms(clauses: DataFrame, stem: bool = True) -> DataFrame:
             "positional", (F.col("n_terms") > 1) | F.col("kind").isin("initial", "near")
         )
     )
-    required = (
-        terms.filter(F.col("op") != "not")
-        .groupBy("query_id")
-        .agg(F.countDistinct("group_id").alias("n_groups"))
-    )
-    in_clause = terms.groupBy("query_id", "clause_id").agg(
-        F.countDistinct("phrase_no").alias("n_phrases")
+    # Windows over the clauses of one query.
+    query = Window.partitionBy("query_id")
+    wanted_groups = F.collect_set(F.when(F.col("op") != "not", F.col("group_id"))).over(query)
+    phrases = F.collect_set("phrase_no").over(Window.partitionBy("query_id", "clause_id"))
+    return (
+        terms.withColumns({"n_groups": F.size(wanted_groups), "n_phrases": F.size(phrases)})
+        .filter(F.col("n_groups") > 0)
     )
-    return terms.join(required, "query_id").join(in_clause, ["query_id", "clause_id"])
 
 
 @dataclass(frozen=True)
@@ -109,25 +108,20 @@ def prepare(clauses: DataFrame, stem: bool = True) -> Terms:
     local table. A large one is left where it is.
     """
     rows = clause_terms(clauses, stem)
-    sample = rows.limit(SMALL_BATCH + 1).collect()
-    if len(sample) > SMALL_BATCH:
+    sample = rows.limit(SMALL_BATCH + 1).toArrow()
+    if sample.num_rows > SMALL_BATCH:
         lengths = rows.filter("is_prefix").select(F.length("token").alias("n")).distinct()
         return Terms(rows, False, None, None, tuple(r.n for r in lengths.collect()))
     local = clauses.sparkSession.createDataFrame(sample, rows.schema)
-    exact = tuple(sorted({r.token for r in sample if not r.is_prefix}))
-    prefixes = tuple(sorted({r.token for r in sample if r.is_prefix}))
+    values = {c: sample.column(c).to_pylist() for c in ("token", "is_prefix", "positional", "n_phrases")}
+    words = list(zip(values["token"], values["is_prefix"]))
+    exact = tuple(sorted({w for w, is_prefix in words if not is_prefix}))
+    prefixes = tuple(sorted({w for w, is_prefix in words if is_prefix}))
     lengths = tuple(sorted({len(p) for p in prefixes}))
     if len(exact) + len(prefixes) > PUSHED_TOKENS:
         exact = prefixes = None
-    return Terms(
-        local,
-        True,
-        exact,
-        prefixes,
-        lengths,
-        any(r.positional for r in sample),
-        any(r.n_phrases > 1 for r in sample),
-    )
+    positional, near = any(values["positional"]), any(n > 1 for n in values["n_phrases"])
+    return Terms(local, True, exact, prefixes, lengths, positional, near)
 
 
 def _wanted(postings: DataFrame, terms: Terms) -> DataFrame:

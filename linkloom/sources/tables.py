@@ -42,6 +42,17 @@ def read_table(spark: SparkSession, table: str, path: str, file_format: str = "p
     return spark.read.schema(SCHEMAS[table]).format(file_format).load(path)
 
 
+def spread(scan: DataFrame, *by: str) -> DataFrame:
+    """A scan with too few splits for the cluster, spread over its cores by columns.
+
+    Parsing and tokenizing are costly per row, so a small input in one file would
+    keep one core busy. Inputs with a split per core, as large ones have, stay
+    as they are and are not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *by)
+
+
 def write_table(frame: DataFrame, path: str, sorted_by: str | None = None) -> None:
     """Write a new snapshot folder. ``sorted_by`` clusters rows so that lookups by
     that column skip most row groups."""

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.sources.tables import spread
+
 DATE_BLOCKS = {
     1: '<div class="post_meta"><span class="post_date">2023-08-30</span></div>',
     2: '<div class="post_meta"><span class="post_date">Posted on: Aug 30th, 2023</span></div>',
@@ -19,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A given table for jobs that work hard on each row."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds of fetches per page with links between pages, dates and errors."""
     pages = table(spark, sf_dir, "pages")

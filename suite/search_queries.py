@@ -33,13 +33,11 @@ from linkloom.sources.tables import empty
 from suite import fixtures as fixture
 from suite import sql
 
-table = fixture.table
-
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given pages with title, text and canonical URL."""
     s = strip_ignored("html")
-    pages = table(spark, sf_dir, "pages")
+    pages = fixture.spread_table(spark, sf_dir, "pages", "page_id")
     return pages.select(
         "page_id", canonical_url("url").alias("url"), page_title(s).alias("title"), page_text(s).alias("text")
     )
@@ -51,7 +49,7 @@ def page_index(spark: SparkSession, sf_dir: str, stem: bool = False) -> Index:
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table seen as pages: source as title, language as URL."""
-    return table(spark, sf_dir, "documents").select(
+    return fixture.spread_table(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").alias("page_id"), F.col("source").alias("title"), "text", F.col("lang").alias("url")
     )
 
