@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,7 +43,9 @@ _FROM, _TO, _MARKS = _fold_tables()
 def fold(col: Column | str) -> Column:
     """Lower case without diacritics."""
     lowered = F.lower(as_column(col))
-    return F.translate(lowered, _FROM + _MARKS, _TO)
+    # Plain ASCII, told by one byte per character, has nothing to translate.
+    folded = F.translate(lowered, _FROM + _MARKS, _TO)
+    return F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(folded)
 
 
 def tokenize(col: Column | str) -> Column:
@@ -145,16 +148,76 @@ def _stem(word: str) -> str:
     return word
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
+def _encoded(lists: pa.Array, stem: bool) -> tuple[pa.Array, np.ndarray]:
+    """Distinct tokens of a batch of lists, stemmed once each, and their codes."""
+    coded = lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    if stem:
+        # Different words may share a stem: encode again.
+        stems = pa.array([stem_word(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
+        words, codes = stems.dictionary, stems.indices.to_numpy(zero_copy_only=False)[codes]
+    return words, codes
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
+_TOKENS = T.ArrayType(T.StringType())
+_GROUPS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("token", T.StringType()),
+            T.StructField("positions", T.ArrayType(T.IntegerType())),
+        ]
+    )
+)
+
+
+@F.arrow_udf(_TOKENS)
 def stem_tokens(tokens: pa.Array) -> pa.Array:
-    """Stems of token lists. Each distinct token of a batch is stemmed once."""
-    coded = tokens.flatten().dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    stems = pa.array([stem_word(w) for w in coded.dictionary.to_pylist()], pa.string())
-    sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    offsets = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
-    return pa.ListArray.from_arrays(offsets, stems.take(coded.indices))
+    """Stems of token lists."""
+    words, codes = _encoded(tokens, stem=True)
+    return pa.ListArray.from_arrays(_offsets(_sizes(tokens)), words.take(pa.array(codes)))
+
+
+def _grouped(lists: pa.Array, stem: bool) -> pa.Array:
+    """For each list its distinct tokens with their ascending positions.
+
+    One sort of (list, token code) per batch, all of it vectorized.
+    """
+    words, codes = _encoded(lists, stem)
+    sizes = _sizes(lists)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((codes, rows))
+    rows, codes, places = rows[order], codes[order], places[order]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])
+    starts = np.flatnonzero(fresh)
+    ends = np.append(starts[1:], len(rows)) if len(starts) else starts
+    positions = pa.ListArray.from_arrays(_offsets(ends - starts), pa.array(places, pa.int32()))
+    groups = pa.StructArray.from_arrays(
+        [words.take(pa.array(codes[starts])), positions], names=["token", "positions"]
+    )
+    per_list = np.bincount(rows[starts], minlength=len(sizes)) if len(sizes) else sizes
+    return pa.ListArray.from_arrays(_offsets(per_list), groups)
+
+
+@F.arrow_udf(_GROUPS)
+def group_tokens(tokens: pa.Array) -> pa.Array:
+    """Distinct tokens of each list with their positions."""
+    return _grouped(tokens, stem=False)
+
+
+@F.arrow_udf(_GROUPS)
+def group_stems(tokens: pa.Array) -> pa.Array:
+    """Distinct stems of each list with their positions."""
+    return _grouped(tokens, stem=True)
 
 
 @F.arrow_udf(T.StringType())

@@ -12,7 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions.analysis import stem_column, stem_tokens, tokenize
+from linkloom.functions.analysis import (
+    group_stems,
+    group_tokens,
+    stem_column,
+    stem_tokens,
+    tokenize,
+)
 
 COLUMNS = ("title", "text", "url")
 
@@ -35,24 +41,23 @@ def analyzed(pages: DataFrame, stem: bool = True) -> DataFrame:
     return lists
 
 
-def _occurrences(lists: DataFrame) -> DataFrame:
-    by_column = F.array(
+def _by_column(lists: DataFrame) -> DataFrame:
+    """One row per page column: page_id, doc_len, col, tokens."""
+    columns = F.array(
         *(
             F.struct(F.lit(i).cast("tinyint").alias("col"), F.col(c).alias("tokens"))
             for i, c in enumerate(COLUMNS)
         )
     )
     doc_len = sum((F.size(c) for c in COLUMNS), F.lit(0))
-    return (
-        lists.select("page_id", doc_len.alias("doc_len"), F.explode(by_column).alias("c"))
-        .select("page_id", "doc_len", "c.col", F.posexplode("c.tokens").alias("pos", "token"))
-        .select("token", "page_id", "col", "pos", "doc_len")
-    )
+    exploded = lists.select("page_id", doc_len.alias("doc_len"), F.explode(columns).alias("c"))
+    return exploded.select("page_id", "doc_len", "c.*")
 
 
 def tokens(pages: DataFrame, stem: bool = True) -> DataFrame:
     """One row per token occurrence: token, page_id, col (0 title, 1 text, 2 url), pos."""
-    return _occurrences(analyzed(pages, stem)).drop("doc_len")
+    by_column = _by_column(analyzed(pages, stem))
+    return by_column.select("page_id", "col", F.posexplode("tokens").alias("pos", "token"))
 
 
 def stem_vocabulary(occurrences: DataFrame) -> DataFrame:
@@ -75,16 +80,17 @@ def corpus_stats(doc_stats: DataFrame) -> DataFrame:
 
 def build_index(pages: DataFrame, stem: bool = True) -> Index:
     """Index of a page table with columns page_id, title, text and url."""
-    lists = analyzed(pages, stem)
-    # The positions of one token in one column of one page: bounded by the page.
-    postings = (
-        _occurrences(lists)
-        .groupBy("token", "page_id", "col")
-        .agg(
-            F.count("*").cast("int").alias("tf"),
-            F.max("doc_len").alias("doc_len"),
-            F.sort_array(F.collect_list("pos")).alias("positions"),
-        )
+    lists = analyzed(pages, stem=False)
+    # A page is one row, so its tokens are grouped where they are, without a shuffle.
+    group = group_stems if stem else group_tokens
+    grouped = _by_column(lists).select("page_id", "doc_len", "col", group(F.col("tokens")).alias("g"))
+    postings = grouped.select("page_id", "doc_len", "col", F.explode("g").alias("g")).select(
+        "g.token",
+        "page_id",
+        "col",
+        F.size("g.positions").alias("tf"),
+        "doc_len",
+        "g.positions",
     )
     stats = _doc_stats(lists)
     return Index(postings, stats, corpus_stats(stats), stem)
