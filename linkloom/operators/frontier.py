@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.urls import canonical_url, netloc
 from linkloom.operators.robots import robots_allowed
+from linkloom.operators.skew import skew_join
 from linkloom.sources.lineage import cut
 
 MAX_PAGES = 4_000
+_FOLD_LEVELS = 10  # levels after which the list of visited pages is written as one
 
 
 def normalize_seeds(seeds: DataFrame) -> DataFrame:
@@ -29,9 +31,9 @@ def allowed_hosts(urls: DataFrame, seeds: DataFrame, same_host: bool = True) ->
     return urls.join(hosts, netloc("url") == F.col("host"), "left_semi")
 
 
-def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
+def unseen(candidates: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
     """Candidates that were never queued before."""
-    return candidates.join(seen.select("url"), "url", "left_anti")
+    return candidates.join(seen.select(key), key, "left_anti")
 
 
 def _leading(level: DataFrame, room: int) -> DataFrame:
@@ -60,47 +62,51 @@ def reachable(
     """Pages a crawl from the seeds would store, with depth and discovery order.
 
     Breadth first: a page comes after its parent, siblings in the order of the
-    parent and then of their URL. A URL is queued once. Only stored pages that
+    parent and then of their URL. Only stored pages that the host limit and the
     robots rules allow count towards ``max_pages``, which cuts the last level.
-    Every level is written to the checkpoint folder, so plans do not grow.
+
+    Hosts and rules do not change on the way, so they are applied once and the
+    walk runs over the edges between open pages. Those lie by source page, so a
+    level moves its own rows only. Each level goes to the checkpoint folder.
     """
     seeds = normalize_seeds(seeds)
-    stored = pages.select("url", "page_id")
-    edges = links.select(F.col("from_page_id").alias("page_id"), F.col("to_url").alias("url")).distinct()
-
-    def visit(queued: DataFrame, depth: int, room: int) -> DataFrame:
-        """Stored, permitted pages of a level, in order, at most ``room``."""
-        open_urls = queued
-        if bound_rules is not None:
-            open_urls = robots_allowed(queued, bound_rules).filter("allowed").drop("allowed")
-        level = open_urls.join(stored, "url").orderBy("parent", "url")
+    open_pages = allowed_hosts(pages.select("url", "page_id"), seeds, same_host)
+    if bound_rules is not None:
+        open_pages = robots_allowed(open_pages, bound_rules).filter("allowed").drop("allowed")
+    open_pages = cut(open_pages)
+    hrefs = links.select("from_page_id", F.col("to_url").alias("url")).distinct()
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = cut(
+        skew_join(hrefs, open_pages, ["url"], ["from_page_id"], "inner").repartition(
+            parts, "from_page_id"
+        )
+    )
+
+    def ordered(queued: DataFrame, depth: int) -> DataFrame:
         # Ids follow the sorted rows; the checkpoint then fixes them.
         order = F.monotonically_increasing_id()
-        level = cut(level.select("url", "page_id", F.lit(depth).alias("depth"), order.alias("order")))
-        return _leading(level, room) if level.count() > room else level
+        level = queued.orderBy("parent", "url")
+        return cut(level.select("url", "page_id", F.lit(depth).alias("depth"), order.alias("order")))
 
-    queued = cut(allowed_hosts(seeds, seeds, same_host).withColumn("parent", F.lit(0).cast("long")))
-    seen, levels, found, depth = queued.select("url"), [], 0, 0
+    first = open_pages.join(seeds, "url", "left_semi").withColumn("parent", F.lit(0))
+    level, seen, found, depth = ordered(first, 0), None, 0, 0
     while True:
-        level = visit(queued, depth, max_pages - found)
         size = level.count()
-        if size == 0:
-            break
-        levels.append(level)
-        found += size
-        if found >= max_pages:
-            break
-        candidates = (
-            edges.join(level.select("page_id", "order"), "page_id")
-            .groupBy("url")
-            .agg(F.min("order").alias("parent"))
+        if size > max_pages - found:
+            level = _leading(level, max_pages - found)
+        reached = level if depth == 0 else reached.unionByName(level)
+        found += min(size, max_pages - found)
+        if size == 0 or found >= max_pages:
+            return reached
+        visited = level.select("page_id")
+        seen = visited if seen is None else seen.unionByName(visited)
+        if depth % _FOLD_LEVELS == _FOLD_LEVELS - 1:
+            seen, reached = cut(seen.coalesce(parts)), cut(reached.coalesce(parts))
+        parents = level.select(F.col("page_id").alias("from_page_id"), F.col("order").alias("parent"))
+        queued = (
+            edges.join(parents, "from_page_id")
+            .groupBy("url", "page_id")
+            .agg(F.min("parent").alias("parent"))
         )
-        queued = cut(unseen(allowed_hosts(candidates, seeds, same_host), seen))
-        seen = seen.unionByName(queued.select("url"))
         depth += 1
-    if not levels:
-        return level
-    result = levels[0]
-    for level in levels[1:]:
-        result = result.unionByName(level)
-    return result
+        level = ordered(unseen(queued, seen, "page_id"), depth)
