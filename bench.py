@@ -22,7 +22,7 @@ from linkloom.operators.match import CLAUSE_SCHEMA, prepare
 from linkloom.operators.rank import inbound_counts
 from linkloom.operators.robots import agent_rules
 from linkloom.plans.search import ranked, search
-from linkloom.sources.tables import empty, read_index, read_table, write_index, write_table
+from linkloom.sources.tables import empty, read_index, read_table, spread, write_index, write_table
 from suite import fixtures as fixture
 from suite.search_queries import document_texts, page_texts
 from suite.table_queries import AGENT
@@ -63,7 +63,7 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
     docs = document_texts(spark, SF_DIR)
     fixture.fetch_log(spark, SF_DIR).write.parquet(f"{work}/log")
-    log = spark.read.parquet(f"{work}/log")
+    log = spread(spark.read.parquet(f"{work}/log"), "page_id", "rnd")
 
     timed("extract_pages", lambda: run(page_texts(spark, SF_DIR)))
     timed("index_build_stemmed", lambda: write_index(build_index(docs), f"{work}/index"))
