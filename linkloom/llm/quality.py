@@ -1,6 +1,7 @@
 """Quality classifier: naive Bayes log-count ratios scale the features of a linear SVM.
 
-A text is the set of its n-grams of 1 to 4 bytes, hashed to ``BUCKETS`` places.
+A text is the set of its n-grams of 1 to 4 bytes, hashed to ``BUCKETS`` places, and
+of the steps that the share of its word bigrams with twice the same word reaches.
 Class counts of every place come from all labelled rows and give the log-count
 ratio r. A row is its indicators times r, at length 1, and a linear hinge-loss
 model is fitted to such rows by dual coordinate descent. The fit uses a sample of
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,9 @@ BUCKETS = 1 << 16
 SAMPLE_ROWS = 6000
 #: Labelled doc_ids that are broadcast to the texts; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: Shares of repeated-word bigrams, one more place each.
+REPEATS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5)
+PLACES = BUCKETS + len(REPEATS)
 _LONGEST = 4
 #: Fixed odd multipliers, one for each n-gram length.
 _MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
@@ -36,13 +41,18 @@ _CHUNK = 1 << 20
 
 def features(text: bytes) -> np.ndarray:
     """Sorted places of the n-grams that a text has; none for an empty text."""
-    marks = np.zeros(BUCKETS, bool)
+    marks = np.zeros(PLACES, bool)
+    bigrams = twice = 0
     for at in range(0, len(text), _CHUNK):
         data = np.frombuffer(text[at : at + _CHUNK + _LONGEST - 1], np.uint8).astype(np.uint32)
         value = np.zeros(len(data), np.uint32)
         for n in range(min(_LONGEST, len(data))):
             value = (value[: len(data) - n] << np.uint32(8)) | data[n:]
             marks[(value + np.uint32(n)) * _MIX[n] >> np.uint32(16)] = True
+        words = text[at : at + _CHUNK].split()
+        bigrams += max(0, len(words) - 1)
+        twice += sum(map(eq, words, words[1:]))
+    marks[BUCKETS:] = [twice > 0 and twice >= share * bigrams for share in REPEATS]
     return np.flatnonzero(marks).astype(np.int32)
 
 
@@ -76,7 +86,7 @@ def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qualit
 
 
 def _class_counts(batches):
-    counts = np.zeros((2, BUCKETS), np.int64)
+    counts = np.zeros((2, PLACES), np.int64)
     for batch in batches:
         for label, text in zip(column_of(batch, "label").to_pylist(), as_bytes(column_of(batch, "text")), strict=True):
             counts[label, features(text)] += 1
@@ -86,7 +96,7 @@ def _class_counts(batches):
 
 def _feature_rows(batches):
     for batch in batches:
-        rows = [features(x).astype(np.uint16).tobytes() for x in as_bytes(column_of(batch, "text"))]
+        rows = [features(x).tobytes() for x in as_bytes(column_of(batch, "text"))]
         yield pa.record_batch({"doc_id": column_of(batch, "doc_id"), "label": column_of(batch, "label"), "places": pa.array(rows, pa.binary())})
 
 
@@ -136,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = texts.join(F.broadcast(marks) if marks.count() <= MOST_BROADCAST else marks, "doc_id")
     table = known.select("label", "text").mapInArrow(_class_counts, "place long, zeros long, ones long")
     table = table.groupBy("place").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).collect()
-    zeros, ones = np.full(BUCKETS, smoothing), np.full(BUCKETS, smoothing)
+    zeros, ones = np.full(PLACES, smoothing), np.full(PLACES, smoothing)
     for place, a, b in table:
         zeros[place] += a
         ones[place] += b
@@ -144,11 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     first = cut(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
     sample = texts.join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
     found = sample.mapInArrow(_feature_rows, "doc_id long, label int, places binary").collect()
-    found = [(r.label, np.frombuffer(r.places, np.uint16).astype(np.int32)) for r in sorted(found, key=lambda r: r.doc_id)]
+    found = [(r.label, np.frombuffer(r.places, np.int32)) for r in sorted(found, key=lambda r: r.doc_id)]
     (fit_labels, fit_rows), (check_labels, check_rows) = ([np.array([y for y, _ in part]), [x for _, x in part]] for part in ([r for k, r in enumerate(found) if k % 3], found[::3]))
     if len({*fit_labels.tolist()}) < 2:
         share = float(np.mean(fit_labels)) if len(fit_labels) else 0.5
-        return Model(ratio, np.zeros(BUCKETS + 1), 0.0, float(np.log((share + 0.01) / (1.01 - share))))
+        return Model(ratio, np.zeros(PLACES + 1), 0.0, float(np.log((share + 0.01) / (1.01 - share))))
     weights = dual_coordinate_descent(fit_rows, np.where(fit_labels > 0, 1.0, -1.0), ratio, cost, epochs)
     if len({*check_labels.tolist()}) < 2:
         check_rows, check_labels = fit_rows, fit_labels
