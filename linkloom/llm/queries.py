@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import exact, packing, quality, simhash
+from linkloom.llm import ann, exact, packing, quality, simhash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
@@ -48,6 +52,7 @@ FROM d WINDOW g AS (PARTITION BY t)
 
 #: name: (query, its SQL or None)
 QUERIES = {
+    "op1_ann": (op1_ann, None),
     "op2_simhash": (op2_simhash, None),
     "op4_quality": (op4_quality, None),
     "op9_packing": (op9_packing, None),
