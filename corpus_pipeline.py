@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import exact, packing, quality, simhash
+from linkloom.llm import exact, packing, quality, secrets, simhash
+from linkloom.llm.queries import secret_model
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +25,11 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near(docs, shingle=3, max_bits=3)
 
 
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced."""
+    return secrets.redact(docs, *secret_model(docs))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens in their sequences."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
@@ -33,6 +39,7 @@ STAGES = [
     ("quality", keep_good),
     ("exact", drop_exact),
     ("near", drop_near),
+    ("secrets", hide_secrets),
     ("pack", pack),
 ]
 

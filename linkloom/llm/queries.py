@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import ann, exact, packing, quality, simhash
+from linkloom.llm import ann, exact, licenses, packing, quality, secrets, simhash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,6 +27,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.notices(spark))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -34,6 +38,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def secret_model(docs: DataFrame) -> tuple[secrets.Profile, secrets.Forest]:
+    """Corpus profile, and a forest trained on findings labelled by format, those of held-out documents left out."""
+    known = secrets.profile(docs)
+    rows = secrets.findings(docs.filter(~quality.held_out()), known)
+    return known, secrets.train(secrets.labelled_by_format(rows))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, *secret_model(docs)).withColumn("held_out", quality.held_out())
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(table(spark, sf_dir, "documents"), path, end_id=2, capacity=1024)
@@ -50,11 +66,43 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY t)
 """
 
+def _canonical_sql(text: str) -> str:
+    """The canonical form in SQL; its patterns are in the dialect both engines share."""
+    plain = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+    held = rf"regexp_replace({plain}, '(?m)^ *(copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+    form = rf"' ' || trim(regexp_replace({held}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) || ' '"
+    for old, new in licenses.SPELLINGS:
+        form = f"replace({form}, ' {old} ', ' {new} ')"
+    return f"trim({form})"
+
+
+def _op3_sql() -> str:
+    known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.NOTICES)
+    return rf"""
+WITH known AS (
+  SELECT sha256({_canonical_sql("text")}) AS digest, min(id) AS license_id FROM (VALUES {known}) AS t(id, text) GROUP BY 1),
+unit AS (
+  SELECT doc_id, 'document' AS scope, 0 AS part, text FROM documents
+  UNION ALL
+  SELECT doc_id, 'paragraph', i - 1, p[i] FROM (SELECT doc_id, regexp_split_to_array(text, '
+[ 	
+]*
+\s*') AS p FROM documents) AS a, range(1, len(p) + 1) AS r(i)
+  UNION ALL
+  SELECT doc_id, 'line', i - 1, p[i] FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) AS a, range(1, len(p) + 1) AS r(i))
+SELECT doc_id, scope, CAST(part AS INTEGER) AS part, license_id, digest
+FROM (SELECT doc_id, scope, part, sha256({_canonical_sql("text")}) AS digest FROM unit WHERE text <> '') AS u
+JOIN known USING (digest)
+"""
+
+
 #: name: (query, its SQL or None)
 QUERIES = {
     "op1_ann": (op1_ann, None),
     "op2_simhash": (op2_simhash, None),
+    "op3_licenses": (op3_licenses, _op3_sql()),
     "op4_quality": (op4_quality, None),
+    "op8_secrets": (op8_secrets, None),
     "op9_packing": (op9_packing, None),
     "op10_exact": (op10_exact, OP10),
 }
