@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import ann, exact, licenses, packing, pieces, quality, secrets, simhash
+from linkloom.llm import ann, exact, html_main, licenses, packing, pieces, quality, secrets, simhash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,6 +38,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -106,6 +110,7 @@ QUERIES = {
     "op2_simhash": (op2_simhash, None),
     "op3_licenses": (op3_licenses, _op3_sql()),
     "op4_quality": (op4_quality, None),
+    "op5_html": (op5_html, None),
     "op7_pieces": (op7_pieces, None),
     "op8_secrets": (op8_secrets, None),
     "op9_packing": (op9_packing, None),
