@@ -35,6 +35,8 @@ class Encoder:
         self._special = [t["content"] for t in spec.get("added_tokens", [])]
         symbols = _byte_symbols()
         ranks = {bytes(symbols[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in self._special}
+        #: Smallest type that holds every id.
+        self.dtype = np.dtype("<u2" if max(spec["model"]["vocab"].values()) < 1 << 16 else "<u4")
         self._fast = tiktoken.Encoding("byte-bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:

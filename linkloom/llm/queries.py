@@ -6,11 +6,14 @@ Queries take whole tables. Where SQL cannot express an operator there is none, a
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import ann, exact, html_main, licenses, packing, pieces, quality, secrets, simhash
+from linkloom.llm import ann, exact, html_main, licenses, packing, pieces, quality, secrets, simhash, training_order
+from linkloom.sources.lineage import ensure_checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,6 +45,12 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/training-order-{uuid.uuid4().hex}"
+    return training_order.write_order(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), length=512, key=20, end_id=2)
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -111,6 +120,7 @@ QUERIES = {
     "op3_licenses": (op3_licenses, _op3_sql()),
     "op4_quality": (op4_quality, None),
     "op5_html": (op5_html, None),
+    "op6_order": (op6_order, None),
     "op7_pieces": (op7_pieces, None),
     "op8_secrets": (op8_secrets, None),
     "op9_packing": (op9_packing, None),
