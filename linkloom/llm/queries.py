@@ -58,8 +58,8 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_model(docs: DataFrame) -> tuple[secrets.Profile, secrets.Forest]:
     """Corpus profile, and a forest trained on findings labelled by format, those of held-out documents left out."""
     known = secrets.profile(docs)
-    rows = secrets.findings(docs.filter(~quality.held_out()), known)
-    return known, secrets.train(secrets.labelled_by_format(rows))
+    found, made = (secrets.labelled_by_format(secrets.findings(rows, known)) for rows in (docs.filter(~quality.held_out()), secrets.example_documents(docs.sparkSession)))
+    return known, secrets.train(found, made)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from math import log
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.sources.lineage import cut
@@ -148,13 +148,15 @@ def findings(docs: DataFrame, known: Profile, id_col: str = "doc_id", text_col:
 # the forest
 
 
-def train(labelled: DataFrame, label_col: str = "is_secret", trees: int = 20, depth: int = 5, seed: int = 7) -> Forest:
+def train(labelled: DataFrame, examples: DataFrame | None = None, label_col: str = "is_secret", trees: int = 20, depth: int = 5, seed: int = 7) -> Forest:
     """Forest from findings with a boolean label; at most ``TRAIN_ROWS`` are used, rows without label are not.
 
+    All of ``examples``, a small table of the same columns, is used besides.
     Findings of one class alone give a forest that always answers it, none at all one that answers no.
     """
-    rows = labelled.filter(F.col(label_col).isNotNull()).select("value", *FEATURES, F.col(label_col).cast("double").alias("label"))
-    rows = rows.orderBy(F.xxhash64("value"), *FEATURES, "label").limit(TRAIN_ROWS)
+    points = lambda rows: rows.filter(F.col(label_col).isNotNull()).select("value", *FEATURES, F.col(label_col).cast("double").alias("label"))
+    rows = points(labelled).orderBy(F.xxhash64("value"), *FEATURES, "label").limit(TRAIN_ROWS)
+    rows = rows if examples is None else rows.unionByName(points(examples))
     shares = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
         return Forest((float(next(iter(shares), 0.0)),))
@@ -205,14 +207,14 @@ def scan(docs: DataFrame, known: Profile, forest: Forest, least: float = 0.5, id
 def redact(docs: DataFrame, known: Profile, forest: Forest, least: float = 0.5, text_col: str = "text", path_col: str | None = "source", by: str = "[SECRET]") -> DataFrame:
     """``docs`` with all columns, every secret in the text replaced. A null text stays null."""
     text = F.col(f"`{text_col}`")
-    names = docs.columns
-    rows = docs.select("*", F.when(F.regexp_like(text, F.lit(CANDIDATE)), _pieces(text)).alias("_pieces"))
+    rows = docs.select(F.struct("*").alias("_row"), _path(docs, path_col).alias("_path"), F.when(F.regexp_like(text, F.lit(CANDIDATE)), _pieces(text)).alias("_pieces"))
     pieces = F.col("_pieces")
-    chances = F.transform(_found(pieces, _path(docs, path_col), known), lambda f: probability(forest, f["features"]) >= least)
+    chances = F.transform(_found(pieces, F.col("_path"), known), lambda f: probability(forest, f["features"]) >= least)
     rows = rows.withColumn("_secret", F.when(pieces.isNotNull(), chances))
     hidden = F.transform(pieces, lambda p, i: F.when((i % 2 == 1) & F.get("_secret", ((i - 1) / 2).cast("int")), F.lit(by)).otherwise(p))
-    new = F.when(pieces.isNull(), text).otherwise(_joined(hidden))
-    return rows.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])
+    old = lambda c: F.col("_row").getField(c)
+    new = F.when(pieces.isNull(), old(text_col)).otherwise(_joined(hidden))
+    return rows.select(*[(new if c == text_col else old(c)).alias(c) for c in docs.columns])
 
 
 #: Formats that issuers document for their keys, by which findings are labelled where no review is at hand.
@@ -221,6 +223,26 @@ ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_\-]+\.[A-Z
 PLAIN = r"^([0-9\-]+|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$"
 
 
+def example_documents(spark: SparkSession, each: int = 100) -> DataFrame:
+    """doc_id, text: ``each`` made-up strings of every issued and plain format, as a corpus may lack some of them."""
+    seed = F.col("id").cast("string")
+    digest = lambda salt: F.sha2(F.concat(F.lit(salt), seed), 256)
+    upper = F.upper(F.translate(F.substring(digest("a"), 1, 16), "0189", "ghjk"))
+    mixed = F.translate(F.base64(F.unhex(digest("b"))), "+/=", "xyz")
+    web = lambda salt: F.translate(F.base64(F.unhex(digest(salt))), "+/=", "-_A")
+    plain = F.translate(F.substring(digest("c"), 1, 16), "abcdef", "123456")
+    uuid = F.regexp_replace(F.substring(digest("d"), 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
+    texts = (
+        F.concat(F.lit("x AKIA"), upper, F.lit(" y")),
+        F.concat(F.lit("x ghp_"), F.substring(mixed, 1, 36), F.lit(" y")),
+        F.concat(F.lit("x eyJ"), F.concat_ws(".", web("e"), web("f"), web("g")), F.lit(" y")),
+        F.concat(F.lit('token = "'), F.substring(digest("h"), 1, 40), F.lit('"')),
+        F.concat(F.lit("x "), plain, F.lit(" y")),
+        F.concat(F.lit("x "), uuid, F.lit(" y")),
+    )
+    return spark.range(each).select(F.lit(None).cast("long").alias("doc_id"), F.explode(F.array(*texts)).alias("text"))
+
+
 def labelled_by_format(rows: DataFrame) -> DataFrame:
     """Findings with is_secret where the format of the value settles it, null elsewhere.
 
