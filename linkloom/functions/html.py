@@ -28,7 +28,9 @@ _NOT_SHOWN = r"(?is)<template\b.*?</template\s*>|<rt\b.*?</rt\s*>|<rp\b.*?</rp\s
 # The possessive groups step over quoted attribute values without recursion.
 _TAG = r"""<[A-Za-z/!?](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|<[A-Za-z/!?][^>]*>"""
 _TITLE = r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)"
-_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+_ATTRIBUTES = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+# Attributes of every anchor; unbalanced quotes end at the next bracket.
+_ANCHOR = rf"(?is)<a(\s(?:{_ATTRIBUTES}(?=>)|[^>]*))>"
 _ENTITY_PIECES = r"(&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?|[^&]+|&)"
 
 _FREQUENT_FIRST = ("amp", "lt", "gt", "quot", "nbsp")
@@ -96,15 +98,25 @@ def page_text(stripped: Column) -> Column:
     return _text_of(F.regexp_replace(stripped, _NOT_SHOWN, _GAP))
 
 
+def _up_to(name: str) -> str:
+    """Pattern of the attributes before the one of a name. Values, quoted or not, are stepped over."""
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"']++)"""
+    return rf"""(?:\s++(?!{name}\b\s*=)[^\s=>"']++(?:\s*+=\s*+{value})?+)*+"""
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    """Decoded value of an attribute, empty without one."""
+    pattern = rf"""(?is)^{_up_to(name)}\s++{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+    quoted = F.regexp_extract(attributes, pattern, 1)
+    return decode_entities(F.regexp_replace(quoted, r"""(?s)^(["'])(.*)\1\z""", "$2"))
+
+
 def page_links(stripped: Column, url: Column | str) -> Column:
     """Canonical absolute link targets in order of first occurrence."""
-    raw = F.regexp_extract_all(stripped, F.lit(_HREF), F.lit(1))
-
-    def value(quoted: Column) -> Column:
-        return decode_entities(F.regexp_replace(quoted, r"""(?s)^(["'])(.*)\1\z""", "$2"))
+    anchors = F.regexp_extract_all(stripped, F.lit(_ANCHOR), F.lit(1))
 
     def targets(base: Column) -> Column:
-        hrefs = F.filter(F.transform(raw, value), lambda h: h != "")
+        hrefs = F.filter(F.transform(anchors, lambda a: _attribute(a, "href")), lambda h: h != "")
         return F.filter(
             F.transform(hrefs, lambda h: canonical_url(resolve_url(base, h))),
             lambda u: u.isNotNull(),
@@ -113,26 +125,29 @@ def page_links(stripped: Column, url: Column | str) -> Column:
     return F.array_distinct(let(base_parts(url), targets))
 
 
-def _class_attribute(token: str) -> str:
-    """Pattern of a class attribute whose value lists ``token``."""
+def _with_class(token: str) -> str:
+    """Pattern of the attributes of a start tag whose class lists ``token``."""
     return (
-        rf"""class\s*=\s*(?:"(?:[^"]*\s)?{token}(?:\s[^"]*)?\""""
-        rf"""|'(?:[^']*\s)?{token}(?:\s[^']*)?'|{token}(?=[\s>/]))"""
+        _up_to("class")
+        + rf"""\s++class\s*+=\s*+(?:"(?:[^"]*\s)?{token}(?:\s[^"]*)?\""""
+        + rf"""|'(?:[^']*\s)?{token}(?:\s[^']*)?'|{token}(?=[\s>/])){_ATTRIBUTES}"""
     )
 
 
-_DATE_BLOCK = rf"(?is)<div\s(?:[^>]*?\s)?{_class_attribute('post_meta')}[^>]*>(.*)"
-_DATE_ELEMENT = rf"(?is)<([a-z][a-z0-9]*)(\s(?:[^>]*?\s)?{_class_attribute('post_date')}[^>]*)>"
-_DATE_TEXT = _DATE_ELEMENT + r"(.*?)(?:</\1\s*>|\z)"
-_DATETIME = r"""(?is)\sdatetime\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+_DATE_BLOCK = rf"(?is)<div{_with_class('post_meta')}>(.*)"
+_DATE_ELEMENT = rf"(?is)<([a-z][a-z0-9]*)({_with_class('post_date')})>(.*)"
+
 
+def _body(rest: Column, name: Column, end: str) -> Column:
+    """The part of ``rest`` up to the tag that closes the element of this name before it.
 
-def _first_div_body(rest: Column) -> Column:
-    """The part of ``rest`` up to the tag closing the div that precedes it."""
+    ``end`` stands for its inner end tags in the result.
+    """
+    start_tag = F.concat(F.lit("(?i)<"), name, F.lit(r"(?=[\s/>])"))
+    end_tag = F.concat(F.lit("(?i)</"), name, F.lit(r"\s*>"))
 
     def step(acc: Column, part: Column) -> Column:
-        opened = F.regexp_count(part, F.lit(r"(?i)<div\b"))
-        depth = acc["depth"] + opened - 1
+        depth = acc["depth"] + F.regexp_count(part, start_tag) - 1
         return F.struct(
             F.when(acc["depth"] > 0, depth).otherwise(acc["depth"]).alias("depth"),
             F.when(acc["depth"] > 0, acc["parts"] + 1).otherwise(acc["parts"]).alias("parts"),
@@ -140,10 +155,10 @@ def _first_div_body(rest: Column) -> Column:
 
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("parts"))
     return let(
-        F.split(rest, r"(?i)</div\s*>"),
+        F.split(rest, end_tag),
         lambda parts: F.array_join(
             F.slice(parts, F.lit(1), F.reduce(parts, start, step, lambda a: a["parts"])),
-            "</div>",
+            end,
         ),
     )
 
@@ -152,14 +167,13 @@ def raw_post_date(stripped: Column) -> Column:
     """Date text of the first ``post_date`` element in the first ``post_meta`` div."""
 
     def from_block(block: Column) -> Column:
-        attribute = F.regexp_extract(F.regexp_extract(block, _DATE_ELEMENT, 2), _DATETIME, 1)
-        attribute = decode_entities(F.regexp_replace(attribute, r"""^["']|["']\z""", ""))
-        text = _text_of(F.regexp_extract(block, _DATE_TEXT, 3))
+        name, attributes, rest = (F.regexp_extract(block, _DATE_ELEMENT, i) for i in (1, 2, 3))
+        stamp = _attribute(attributes, "datetime")
         return F.when(
-            block.rlike(_DATE_ELEMENT), F.when(attribute != "", attribute).otherwise(text)
+            block.rlike(_DATE_ELEMENT), F.when(stamp != "", stamp).otherwise(_text_of(_body(rest, name, "</x>")))
         )
 
     return F.when(
         stripped.contains("post_meta"),
-        let(_first_div_body(F.regexp_extract(stripped, _DATE_BLOCK, 1)), from_block),
+        let(_body(F.regexp_extract(stripped, _DATE_BLOCK, 1), F.lit("div"), "</div>"), from_block),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.dates import display_date, normalize_post_date
-from linkloom.functions.html import page_links, page_text, page_title, strip_ignored
+from linkloom.functions.html import page_links, page_text, page_title, raw_post_date, strip_ignored
 from linkloom.functions.urls import base_parts, canonical_url, netloc, origin, path_and_query, resolve_url
 from linkloom.operators import fetches as fx
 from linkloom.operators import links as lk
@@ -104,6 +104,39 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 A
 FROM firsts"""
 
 
+_SITE = "regexp_extract(url, '^https?://[^/?#]+')"
+_ODD_ANCHORS = (
+    '<a title="a > b" href="', "/x?p=1\">1</a><a href='/y'>2</a><a title=\"see href=bad\" href=\"/z?id=",
+    '">3</a><a data-href="/no" HREF = /w>4</a><a href="/y">5</a>',
+)
+
+
+def odd_links(spark, sf_dir):
+    """Anchors with brackets and names of attributes within values, single quotes and none."""
+    site = F.regexp_extract("url", "^https?://[^/?#]+", 0)
+    one, two, three = map(F.lit, _ODD_ANCHORS)
+    html = F.concat(one, site, two, F.col("page_id").cast("string"), three)
+    pages = table(spark, sf_dir, "pages").select("page_id", page_links(html, canonical_url("url")).alias("l"))
+    return pages.select("page_id", F.posexplode("l").alias("position", "to_url"))
+
+
+ODD_LINKS_SQL = f"""
+WITH p AS (SELECT page_id, lower({_SITE}) AS site FROM pages)
+SELECT page_id, CAST(k AS INTEGER) AS position,
+  site || CASE k WHEN 0 THEN '/x?p=1' WHEN 1 THEN '/y' WHEN 2 THEN '/z?id=' || page_id ELSE '/w' END AS to_url
+FROM p CROSS JOIN range(4) AS r(k)"""
+
+
+def odd_dates(spark, sf_dir):
+    """Dates within nested elements of one name, behind attributes with brackets."""
+    day = F.format_string("%02d", 1 + F.col("page_id") % 28)
+    html = F.concat(
+        F.lit("<div title='a>b' class=\"x post_meta y\"><div>n</div><span data-class=post_date>no</span>"
+              "<span title=\"2 > 1\" class='post_date'><span>Aug</span> "), day, F.lit(", 2023</span> z</div>"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", normalize_post_date(raw_post_date(strip_ignored(html)))["post_date_iso"].alias("post_date_iso"))
+
+
 def post_dates(spark, sf_dir):
     return fx.parse_fetches(fixture.fetch_log(spark, sf_dir)).select(
         "page_id", "rnd", text("post_date").alias("post_date"), "post_date_iso"
@@ -146,6 +179,11 @@ def fetch_outcomes(spark, sf_dir):
         "page_id", "rnd", "url", "status", "drop_reason", F.sha2("html", 256).alias("content_hash"))
 
 
+def large_fetches(spark, sf_dir):
+    """Outcomes under a body limit that some pages exceed."""
+    return fx.drop_reasons(fixture.fetch_log(spark, sf_dir), max_bytes=3000)
+
+
 def fetch_counters(spark, sf_dir):
     return fx.fetch_counters(fixture.fetch_log(spark, sf_dir))
 
@@ -197,8 +235,13 @@ def page_upsert(spark, sf_dir):
 
 def upsert_report(spark, sf_dir):
     parsed = parsed_log(spark, sf_dir)
-    before = cut(st.upsert_pages(empty(spark, "pages"), parsed.filter("rnd < 1")))
-    return st.upsert_report(before, parsed.filter("rnd = 1"))
+    before = empty(spark, "pages")
+    reports = []
+    for rnd in range(3):
+        batch = parsed.filter(F.col("rnd") == rnd)
+        reports.append(st.upsert_report(before, batch).withColumn("rnd", F.lit(rnd)))
+        before = cut(st.upsert_pages(before, batch))
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
 
 
 def version_history(spark, sf_dir):
@@ -284,7 +327,8 @@ def canonical_groups(spark, sf_dir):
 
 def link_edges(spark, sf_dir):
     parsed, pages, _ = stored(spark, sf_dir)
-    return lk.link_edges(parsed.filter("rnd = 2"), pages)
+    rounds = [lk.link_edges(parsed.filter(F.col("rnd") == rnd), pages).withColumn("rnd", F.lit(rnd)) for rnd in range(3)]
+    return rounds[0].unionByName(rounds[1]).unionByName(rounds[2])
 
 
 def inbound(spark, sf_dir):
@@ -356,6 +400,19 @@ def reachable_pages(spark, sf_dir):
     return found.select("page_id", "url", "depth")
 
 
+def reachable_same_host(spark, sf_dir):
+    """The walk on the hosts of the seeds."""
+    _, pages, links = stored(spark, sf_dir)
+    found = reachable(links, pages, fixture.seeds(spark, sf_dir), None, max_pages=10**9, same_host=True)
+    return found.select("page_id", "url", "depth")
+
+
+def reachable_some(spark, sf_dir):
+    """A walk that ends within its second level."""
+    _, pages, links = stored(spark, sf_dir)
+    return reachable(links, pages, fixture.seeds(spark, sf_dir), None, max_pages=5, same_host=False).select("page_id", "depth")
+
+
 REACHABLE_SQL = f"""
 WITH RECURSIVE {sql.LINKS}, {sql.ROBOTS},
 open_pages AS (
@@ -373,6 +430,30 @@ walk(page_id, depth) USING KEY (page_id) AS (
 SELECT page_id, url, CAST(depth AS INTEGER) AS depth FROM walk JOIN open_pages USING (page_id)"""
 
 
+REACHABLE_HOST_SQL = f"""
+WITH RECURSIVE {sql.LINKS},
+seed AS (SELECT {sql.canonical("url")} AS url FROM pages WHERE page_id < 3),
+open_pages AS (SELECT page_id, url FROM stored WHERE split_part(url, '/', 3) IN (SELECT split_part(url, '/', 3) FROM seed)),
+walk(page_id, depth) USING KEY (page_id) AS (
+  SELECT page_id, 0 FROM open_pages WHERE url IN (SELECT url FROM seed)
+  UNION
+  SELECT o.page_id, min(w.depth) + 1 FROM walk w JOIN links l ON l.from_page_id = w.page_id
+    JOIN open_pages o ON o.page_id = l.to_page_id
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.page_id = o.page_id)
+  GROUP BY o.page_id)
+SELECT page_id, url, CAST(depth AS INTEGER) AS depth FROM walk JOIN open_pages USING (page_id)"""
+
+# Seeds in the order of their URLs, then the pages they link to by (parent, URL), five in all.
+REACHABLE_SOME_SQL = f"""
+WITH {sql.LINKS},
+first AS (SELECT page_id, url, row_number() OVER (ORDER BY url) AS place FROM stored
+          WHERE url IN (SELECT {sql.canonical("url")} FROM pages WHERE page_id < 3)),
+second AS (SELECT s.page_id, s.url, min(f.place) AS parent FROM first f JOIN links l ON l.from_page_id = f.page_id
+           JOIN stored s ON s.page_id = l.to_page_id WHERE s.page_id NOT IN (SELECT page_id FROM first) GROUP BY ALL),
+ranked AS (SELECT page_id, 0 AS depth, place AS a, '' AS b FROM first UNION ALL SELECT page_id, 1, parent, url FROM second)
+SELECT page_id, CAST(depth AS INTEGER) AS depth FROM ranked ORDER BY depth, a, b LIMIT 5"""
+
+
 # --- Streaming ------------------------------------------------------------
 
 
@@ -407,6 +488,9 @@ QUERIES = {
           min(raw) AS first_spelling FROM u GROUP BY 1"""),
     "page_features": (page_features, f"WITH {sql.PAGE_TEXTS} SELECT page_id, title, text, sha256(html) AS content_hash FROM docs"),
     "page_out_links": (page_out_links, OUT_LINKS_SQL),
+    "odd_links": (odd_links, ODD_LINKS_SQL),
+    "odd_dates": (odd_dates, """
+        SELECT page_id, strftime(make_date(2023, 8, CAST(1 + page_id % 28 AS INTEGER)), '%Y-%m-%dT00:00:00+00:00') AS post_date_iso FROM pages"""),
     "post_dates": (post_dates, f"WITH {sql.PARSED} SELECT page_id, rnd, {sql.stamp('post_date')} AS post_date, post_date_iso FROM parsed"),
     "missing_dates": (missing_dates, f"""WITH {sql.PARSED}
         SELECT regexp_extract(url, '^[^:]+://([^/]+)', 1) AS host, count(*) AS n FROM parsed WHERE post_date IS NULL GROUP BY 1"""),
@@ -417,16 +501,18 @@ QUERIES = {
         SELECT count(DISTINCT url) AS seen, count(*) AS fetched, count(*) FILTER (drop_reason IS NULL) AS to_store,
           count(DISTINCT url) FILTER (drop_reason IS NULL) AS pages FROM cleaned"""),
     "drop_reasons": (drop_reasons, f"WITH {sql.CLEANED} SELECT coalesce(drop_reason, 'stored') AS outcome, count(*) AS n FROM cleaned GROUP BY 1"),
+    "large_fetches": (large_fetches, f"""WITH {sql.CLEANED.replace("> 2000000", "> 3000")}
+        SELECT coalesce(drop_reason, 'stored') AS outcome, count(*) AS n FROM cleaned GROUP BY 1"""),
     "fetch_throughput": (fetch_throughput, THROUGHPUT_SQL),
     "content_changes": (content_changes, f"""WITH {sql.CLEANED}
         SELECT url, {sql.stamp("fetched_at")} AS fetched_at, content_hash,
           content_hash <> lag(content_hash) OVER (PARTITION BY url ORDER BY fetched_at) AS changed FROM kept"""),
     "page_upsert": (page_upsert, PAGES_SQL),
     "upsert_report": (upsert_report, f"""WITH {sql.CLEANED},
-        a AS (SELECT url, arg_max(content_hash, fetched_at) AS h FROM kept WHERE rnd = 0 GROUP BY url),
-        b AS (SELECT url, arg_max(content_hash, fetched_at) AS h FROM kept WHERE rnd = 1 GROUP BY url)
-        SELECT CASE WHEN a.h IS NULL THEN 'new' WHEN a.h = b.h THEN 'refreshed' ELSE 'changed' END AS change,
-          count(*) AS n FROM b LEFT JOIN a USING (url) GROUP BY 1"""),
+        b AS (SELECT url, rnd, arg_max(content_hash, fetched_at) AS h FROM kept GROUP BY ALL),
+        c AS (SELECT rnd, h, lag(h) OVER (PARTITION BY url ORDER BY rnd) AS a FROM b)
+        SELECT CASE WHEN a IS NULL THEN 'new' WHEN a = h THEN 'refreshed' ELSE 'changed' END AS change,
+          count(*) AS n, CAST(rnd AS INTEGER) AS rnd FROM c GROUP BY ALL"""),
     "version_history": (version_history, VERSIONS_SQL),
     "link_upsert": (link_upsert, f"WITH {sql.LINKS} SELECT {_LINK_COLUMNS} FROM links"),
     "live_links": (live_links, f"""WITH {sql.LINKS}
@@ -446,9 +532,9 @@ QUERIES = {
         SELECT doc_id AS page_id, sha256(text) AS content_hash, count(*) OVER (PARTITION BY text) AS n_pages,
           min(doc_id) OVER (PARTITION BY text) AS keeper FROM documents QUALIFY n_pages > 1"""),
     "link_edges": (link_edges, f"""WITH {sql.LINKS}, o AS (
-          SELECT f.*, p.rnd FROM firsts f JOIN parsed p ON p.page_id = f.page_id AND p.fetched_at = f.fetched_at WHERE p.rnd = 2)
-        SELECT page_id AS from_page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS position,
-          to_url, id AS to_page_id FROM o LEFT JOIN ids ON ids.url = o.to_url"""),
+          SELECT f.*, p.rnd FROM firsts f JOIN parsed p ON p.page_id = f.page_id AND p.fetched_at = f.fetched_at)
+        SELECT page_id AS from_page_id, CAST(row_number() OVER (PARTITION BY page_id, rnd ORDER BY pos) - 1 AS INTEGER) AS position,
+          to_url, id AS to_page_id, CAST(rnd AS INTEGER) AS rnd FROM o LEFT JOIN ids ON ids.url = o.to_url"""),
     "inbound_counts": (inbound, f"""WITH {sql.LINKS}
         SELECT to_page_id AS page_id, count(DISTINCT from_page_id) AS inbound FROM links WHERE to_page_id IS NOT NULL GROUP BY 1"""),
     "outbound_top": (outbound_top, f"""WITH {sql.LINKS},
@@ -462,6 +548,8 @@ QUERIES = {
     "robots_rules": (robots_rule_table, ROBOTS_RULES_SQL),
     "robots_check": (robots_check, ROBOTS_CHECK_SQL),
     "reachable_pages": (reachable_pages, REACHABLE_SQL),
+    "reachable_same_host": (reachable_same_host, REACHABLE_HOST_SQL),
+    "reachable_some": (reachable_some, REACHABLE_SOME_SQL),
     "streamed_pages": (streamed_pages, f"""
         SELECT url, title, text, content_hash, status_code, fetched_at, post_date_iso FROM ({PAGES_SQL})"""),
 }

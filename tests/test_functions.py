@@ -32,9 +32,9 @@ def apply(spark, values, function):
 
 def test_canonical_url(spark):
     cases = {
-        "HTTP://Example.com:80/a//b?x=1#frag": "http://example.com/a/b?x=1",
-        "ftp://example.com/file": None,
-        "example.com/no-scheme": None,
+        "HTTPS://Shop.Test:443/x///y//z?q=1&r=2#part": "https://shop.test/x/y/z?q=1&r=2",
+        "gopher://shop.test/x": None,
+        "shop.test/x": None,
         "https://example.com:443": "https://example.com/",
         "https://example.com:80/": "https://example.com:80/",
         "http://example.com:443/": "http://example.com:443/",
@@ -82,31 +82,27 @@ def test_resolve_url(spark):
     assert [(r.b, r.h, r.r) for r in got] == [(b, h, e) for (b, h), e in zip(rows, expected)]
 
 
-PAGE = """<!DOCTYPE html>
-<html><head><title> Example <b>Title</b> </title>
-<script>console.log('<p>skip</p>');</script><style>p{}</style>
-</head><body><!-- <a href="/hidden">no</a> -->
-<p>First   paragraph &amp; more</p><p title="a > b">Second&nbsp;</p>
-<a href="/a">First Link</a> <a class=x href='https://example.com/b'>Second</a>
-<a href="/a">Again</a> <a href="mailto:test@example.com">Mail</a> <a href="">none</a>
-<a data-href="/no">x</a><a href=c?x=1&amp;y=2>c</a> 1 < 2 <template>hid</template>
-<noscript>off</noscript></body></html>"""
+PAGE = """<!doctype html>
+<html><head><title>
+ Harbour <em>news</em> </title><style>a{}</style>
+<script>document.write('<p>never</p>');</script></head><body>
+<!-- <a href="/old">gone</a> --><h1 title="x > y">Tide &lt; 4 m</h1>
+<p>Ships&nbsp;come   in</p> <a href="tides?d=1&amp;m=2">tides</a>
+<a id=k href='//port.test/x'>port</a> <a title="5 > 4" href="/deep">deep</a>
+<a href="tides?d=1&amp;m=2#top">twice</a> <a href="tel:123">call</a> <a href="">none</a> <a name=x>no</a>
+<a title="see href=bad" href="/good">good</a> <a data-href="/no" hreflang=en HREF = /caps>caps</a>
+<a href="/cut">3 < 4<template>hidden</template></a><noscript>off</noscript></body></html>"""
 
 
 def test_extraction(spark):
     stripped = lambda c: strip_ignored(c)
-    assert apply(spark, [PAGE], lambda c: page_title(stripped(c))) == ["Example Title"]
+    assert apply(spark, [PAGE], lambda c: page_title(stripped(c))) == ["Harbour news"]
     assert apply(spark, [PAGE], lambda c: page_text(stripped(c))) == [
-        "Example Title First   paragraph & more Second First Link Second Again Mail none x c 1 < 2"
-    ]
-    links = apply(spark, [PAGE], lambda c: page_links(stripped(c), F.lit("https://example.com/base/")))
-    assert links == [
-        [
-            "https://example.com/a",
-            "https://example.com/b",
-            "https://example.com/base/c?x=1&y=2",
-        ]
+        "Harbour news Tide < 4 m Ships\u00a0come   in tides port deep twice call none no good caps 3 < 4"
     ]
+    links = apply(spark, [PAGE], lambda c: page_links(stripped(c), F.lit("https://bay.test/en/")))
+    paths = ["/en/tides?d=1&m=2", None, "/deep", "/good", "/caps", "/cut"]
+    assert links == [[f"https://bay.test{p}" if p else "https://port.test/x" for p in paths]]
     assert apply(spark, ["<p>x</p>", "<title></title>x"], lambda c: page_title(stripped(c))) == [None, ""]
     assert apply(spark, ["a<script>b"], lambda c: page_text(stripped(c))) == ["a"]
 
@@ -134,6 +130,10 @@ def test_post_date_block(spark):
         '<div class="post_meta"><div><p>a</p></div><i class=post_date datetime=""> b <u>c</u></i></div>': "b c",
         '<div class="post_meta_x"><span class="post_date">2023</span></div>': None,
         "<div><span class='post_date'>2023</span></div>": None,
+        '<div title="a>b" class="post_meta"><p data-x=\'>\' class="q post_date">2023</p></div>': "2023",
+        '<div class="post_meta"><span class="post_date"><span>Aug</span> 30, <b><span>2023</span></b></span> x</div>': "Aug 30, 2023",
+        '<div data-class="post_meta"><span class="post_date">no</span></div>': None,
+        '<div class="post_meta"><span title="class=post_date">no</span><em class="post_date" title="datetime=1">yes</em></div>': "yes",
     }
     assert apply(spark, cases, lambda c: raw_post_date(strip_ignored(c))) == list(cases.values())
 
