@@ -56,6 +56,8 @@ NOTICES = (
 
 #: Digests that are broadcast; a larger table of known licences is joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Marking words by which texts are sorted out before their digests are made; with more words all digests are.
+MOST_WORDS = 64
 _HOLDER = r"^ *(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
@@ -90,6 +92,26 @@ def known_digests(known: DataFrame, id_col: str = "license_id", text_col: str =
     return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+def marking_words(known: DataFrame, text_col: str = "text") -> list[str] | None:
+    """Words of which a text has at least one if it is a known licence: of each, the longest that no spelling changes.
+
+    None if a licence has no such word, or if there are too many words to look for.
+    """
+    forms = known.select(canonical(F.col(f"`{text_col}`")).alias("form")).filter("form <> ''").distinct().limit(MOST_WORDS + 1).collect()
+    changed = {w for pair in SPELLINGS for text in pair for w in text.split()}
+    words = {max((w for w in r.form.split() if w.isascii() and w not in changed), key=len, default="") for r in forms}
+    return None if "" in words or len(forms) > MOST_WORDS else sorted(words)
+
+
+def _marked(text: Column, words: list[str] | None) -> Column:
+    if words is None:
+        return F.lit(True)
+    low, found = F.lower(text), F.lit(False)
+    for word in words:
+        found = found | low.contains(word)
+    return found
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: bool = True) -> DataFrame:
     """doc_id, scope, part, license_id, digest: one row for every text unit that is a known licence.
 
@@ -100,11 +122,13 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     without doc_id and repeated rows are scanned like others. Other columns are
     not read.
     """
+    words = marking_words(known)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("_text")).filter("_text is not null and _text <> ''")
+    rows = rows.filter(_marked(F.col("_text"), words))
     units = F.array(F.struct(F.lit("document").alias("scope"), F.lit(0).alias("part"), F.col("_text").alias("text")))
     if parts:
         units = F.concat(units, _units("paragraph", r"\n[ \t\r]*\n\s*"), _units("line", r"\n"))
-    units = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.scope", "u.part", digest(F.col("u.text")).alias("digest"))
+    units = rows.select("doc_id", F.explode(units).alias("u")).filter(_marked(F.col("u.text"), words)).select("doc_id", "u.scope", "u.part", digest(F.col("u.text")).alias("digest"))
     table = known_digests(known)
     if table.count() <= MOST_BROADCAST:
         table = F.broadcast(table)
