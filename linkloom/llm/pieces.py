@@ -27,7 +27,7 @@ from linkloom.llm.shared import as_texts, column_of, pick
 
 SPACE = "▁"
 #: Chunks that each of the two generations of the cache holds.
-CACHE = 150_000
+CACHE = 300_000
 #: Longest chunk whose pairs are kept in the common table of a batch; longer ones have a heap of their own.
 SHORT = 24
 #: Texts that are encoded and decoded together.
@@ -181,16 +181,13 @@ class Pieces:
         """Ids of each text, without an end id."""
         split = [self._chunks.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         young, old = self._young, self._old
-        found = [list(map(young.get, chunks)) for chunks in split]
-        fresh = {c for chunks, ids in zip(split, found, strict=True) if None in ids for c, x in zip(chunks, ids, strict=True) if x is None}
-        for chunk in fresh & old.keys():
-            young[chunk] = old[chunk]
+        fresh = [c for c in set(chain.from_iterable(split)) if c not in young]
+        young.update((c, old[c]) for c in fresh if c in old)
         self._learn([c for c in fresh if c not in old])
         out = []
-        for text, chunks, ids in zip(texts, split, found, strict=True):
-            if None in ids:
-                ids = list(map(young.get, chunks))
-            if _DIFFERS in ids:
+        for text, chunks in zip(texts, split, strict=True):
+            ids = list(map(young.__getitem__, chunks))
+            if self.differing and _DIFFERS in ids:
                 self.by_library += 1
                 out.append(self.library.encode(text))
             else:
