@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from linkloom.operators import store as st
 from linkloom.operators.fetches import drop_reasons, fetch_throughput, kept_fetches, parse_fetches
 from linkloom.operators.frontier import reachable
-from linkloom.operators.index import build_index
 from linkloom.operators.match import CLAUSE_SCHEMA, prepare
 from linkloom.operators.rank import inbound_counts
 from linkloom.operators.robots import agent_rules
 from linkloom.plans.search import ranked, search
-from linkloom.sources.tables import empty, read_index, read_table, spread, write_index, write_table
+from linkloom.sources.index_store import IndexStore
+from linkloom.sources.tables import empty, read_table, spread, write_table
 from suite import fixtures as fixture
 from suite.search_queries import document_texts, page_texts
 from suite.table_queries import AGENT
@@ -66,9 +66,9 @@ def main() -> None:
     log = spread(spark.read.parquet(f"{work}/log"), "page_id", "rnd")
 
     timed("extract_pages", lambda: run(page_texts(spark, SF_DIR)))
-    timed("index_build_stemmed", lambda: write_index(build_index(docs), f"{work}/index"))
-    timed("index_build_plain", lambda: write_index(build_index(docs, stem=False), f"{work}/plain"))
-    index = read_index(spark, f"{work}/index")
+    timed("index_build_stemmed", lambda: IndexStore(spark, f"{work}/index").build(docs))
+    timed("index_build_plain", lambda: IndexStore(spark, f"{work}/plain").build(docs, stem=False))
+    index = IndexStore(spark, f"{work}/index").read()
     words = [r.token for r in index.postings.groupBy("token").agg(F.count("*").alias("n"))
              .orderBy(F.desc("n"), "token").limit(2000).collect()][::20]
     rows = [(q, c, c, "must", "term", 7, 0, 0, words[(q * 7 + c * 31) % len(words)]) for q in range(100) for c in range(2)]

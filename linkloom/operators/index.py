@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.analysis import (
@@ -25,12 +25,22 @@ COLUMNS = ("title", "text", "url")
 
 @dataclass(frozen=True)
 class Index:
-    """The tables of a full-text index over (title, text, url)."""
+    """The tables of a full-text index over (title, text, url).
+
+    A stored index also has its vocabulary, and its postings a column ``bucket``,
+    ``bucket_of(token, buckets)``, by which the scan skips folders.
+    """
 
     postings: DataFrame  # token, page_id, col, tf, doc_len, positions
     doc_stats: DataFrame  # page_id, len_title, len_text, len_url, doc_len
     corpus_stats: DataFrame  # n_docs, total_len, avg_len
     stemmed: bool = True
+    vocabulary: DataFrame | None = None  # token, df
+    buckets: int | None = None
+
+
+def bucket_of(token: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
 def analyzed(pages: DataFrame, stem: bool = True) -> DataFrame:
@@ -66,11 +76,6 @@ def stem_vocabulary(occurrences: DataFrame) -> DataFrame:
     return counted.select("token", stem_column(F.col("token")).alias("stem"), "n")
 
 
-def _doc_stats(lists: DataFrame) -> DataFrame:
-    lengths = lists.select("page_id", *(F.size(c).alias(f"len_{c}") for c in COLUMNS))
-    return lengths.withColumn("doc_len", sum((F.col(f"len_{c}") for c in COLUMNS), F.lit(0)))
-
-
 def corpus_stats(doc_stats: DataFrame) -> DataFrame:
     return doc_stats.agg(
         F.count("*").alias("n_docs"),
@@ -78,13 +83,28 @@ def corpus_stats(doc_stats: DataFrame) -> DataFrame:
     ).withColumn("avg_len", F.try_divide(F.col("total_len").cast("double"), F.col("n_docs")))
 
 
-def build_index(pages: DataFrame, stem: bool = True) -> Index:
-    """Index of a page table with columns page_id, title, text and url."""
-    lists = analyzed(pages, stem=False)
-    # A page is one row, so its tokens are grouped where they are, without a shuffle.
+def page_entries(pages: DataFrame, stem: bool = True) -> DataFrame:
+    """One row per page: page_id, column lengths, doc_len and ``entries``, its grouped tokens.
+
+    A page is one row, so its tokens are grouped where they are, without a shuffle.
+    """
     group = group_stems if stem else group_tokens
-    grouped = _by_column(lists).select("page_id", "doc_len", "col", group(F.col("tokens")).alias("g"))
-    postings = grouped.select("page_id", "doc_len", "col", F.explode("g").alias("g")).select(
+    lists = analyzed(pages, stem=False)
+    lengths = [F.size(c).alias(f"len_{c}") for c in COLUMNS]
+    doc_len = sum((F.size(c) for c in COLUMNS), F.lit(0)).alias("doc_len")
+    entries = F.array(
+        *(F.struct(F.lit(i).cast("tinyint").alias("col"), group(F.col(c)).alias("g")) for i, c in enumerate(COLUMNS))
+    )
+    return lists.select("page_id", *lengths, doc_len, entries.alias("entries"))
+
+
+def entry_stats(entries: DataFrame) -> DataFrame:
+    return entries.select("page_id", *(f"len_{c}" for c in COLUMNS), "doc_len")
+
+
+def entry_postings(entries: DataFrame) -> DataFrame:
+    columns = entries.select("page_id", "doc_len", F.explode("entries").alias("e"))
+    return columns.select("page_id", "doc_len", "e.col", F.explode("e.g").alias("g")).select(
         "g.token",
         "page_id",
         "col",
@@ -92,22 +112,31 @@ def build_index(pages: DataFrame, stem: bool = True) -> Index:
         "doc_len",
         "g.positions",
     )
-    stats = _doc_stats(lists)
-    return Index(postings, stats, corpus_stats(stats), stem)
+
+
+def build_index(pages: DataFrame, stem: bool = True) -> Index:
+    """Index of a page table with columns page_id, title, text and url.
+
+    Nothing is stored; ``sources.index_store`` analyzes pages once for all tables.
+    """
+    entries = page_entries(pages, stem)
+    stats = entry_stats(entries)
+    return Index(entry_postings(entries), stats, corpus_stats(stats), stem)
 
 
 def sync_index(index: Index, changed: DataFrame, removed_ids: DataFrame | None = None) -> Index:
-    """Index after pages changed or went away; the other pages are not read again.
+    """Index after pages changed or went away; the other pages are not analyzed again.
 
-    ``changed`` holds new and modified pages, ``removed_ids`` a page_id column.
+    ``changed`` holds new and modified pages, ``removed_ids`` a page_id column. The
+    result is a view; ``sources.index_store`` keeps such changes as small segments.
     """
     fresh = build_index(changed, index.stemmed)
     gone = changed.select("page_id")
     if removed_ids is not None:
         gone = gone.unionByName(removed_ids.select("page_id")).distinct()
-    postings = index.postings.join(gone, "page_id", "left_anti").unionByName(fresh.postings)
+    old = index.postings.drop("bucket").join(gone, "page_id", "left_anti")
     stats = index.doc_stats.join(gone, "page_id", "left_anti").unionByName(fresh.doc_stats)
-    return Index(postings, stats, corpus_stats(stats), index.stemmed)
+    return Index(old.unionByName(fresh.postings), stats, corpus_stats(stats), index.stemmed)
 
 
 def verify_index(index: Index, pages: DataFrame) -> DataFrame:

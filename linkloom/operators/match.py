@@ -13,14 +13,15 @@ A NEAR clause has one row per phrase, numbered by ``phrase_no``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.analysis import stem_tokens, tokenize
 from linkloom.functions.columns import strip
-from linkloom.operators.index import Index
+from linkloom.operators.index import Index, bucket_of
+from linkloom.sources.lineage import cut
 
 CLAUSE_SCHEMA = (
     "query_id int, clause_id int, group_id int, op string, kind string, col_mask int, "
@@ -28,11 +29,10 @@ CLAUSE_SCHEMA = (
 )
 PHRASE = ("query_id", "clause_id", "phrase_no")
 
-# A batch with at most this many term rows is planned as a local table, which
-# Spark may broadcast. A larger one stays distributed and is joined by shuffle.
+# A batch with at most this many term rows is broadcast to the postings of its
+# buckets. A larger one is joined by shuffle; both read the same buckets.
 SMALL_BATCH = 20_000
-# Token lists up to this size go into the scan as a filter.
-PUSHED_TOKENS = 1_000
+OPS, KINDS = ("must", "should", "not"), ("term", "phrase", "prefix", "near", "initial")
 
 
 def plain_clauses(queries: DataFrame) -> DataFrame:
@@ -58,6 +58,20 @@ def plain_clauses(queries: DataFrame) -> DataFrame:
     )
 
 
+def checked_clauses(clauses: DataFrame) -> DataFrame:
+    """The clauses; one with an unknown op or kind, or a column mask without a column, is an error.
+
+    So is a query of nothing but ``not`` clauses, which says nothing about what to find.
+    """
+    wrong = ~F.coalesce(F.col("op").isin(*OPS) & F.col("kind").isin(*KINDS), F.lit(False))
+    wrong = wrong | ~F.coalesce((F.col("col_mask") > 0) & (F.col("col_mask") < 8), F.lit(False))
+    per_query = clauses.groupBy("query_id").agg(F.max(wrong).alias("wrong"), F.max(F.col("op") != "not").alias("positive"))
+    bad = per_query.filter(F.col("wrong") | ~F.coalesce("positive", F.lit(False))).limit(5).collect()
+    if bad:
+        raise ValueError(f"queries with invalid clauses or without a positive one: {sorted(str(r.query_id) for r in bad)}")
+    return clauses
+
+
 def clause_terms(clauses: DataFrame, stem: bool = True) -> DataFrame:
     """One row per term of each clause, analyzed like the indexed text.
 
@@ -94,46 +108,58 @@ class Terms:
 
     rows: DataFrame
     small: bool
-    tokens: tuple[str, ...] | None  # every exact token, when few enough to push down
-    prefixes: tuple[str, ...] | None
-    prefix_lengths: tuple[int, ...]
+    prefix_lengths: tuple[int, ...] = ()
     positional: bool = True  # whether any phrase needs positions
     near: bool = True
+    buckets: tuple[int, ...] | None = None  # of the stored index; None reads all
 
 
 def prepare(clauses: DataFrame, stem: bool = True) -> Terms:
-    """Analyze the clauses and look at the size of the batch.
+    """Check and analyze the clauses and look at the size of the batch.
 
     A small batch is fetched once (its size is checked first) and turned into a
     local table. A large one is left where it is.
     """
-    rows = clause_terms(clauses, stem)
+    rows = clause_terms(checked_clauses(clauses), stem)
     sample = rows.limit(SMALL_BATCH + 1).toArrow()
     if sample.num_rows > SMALL_BATCH:
         lengths = rows.filter("is_prefix").select(F.length("token").alias("n")).distinct()
-        return Terms(rows, False, None, None, tuple(r.n for r in lengths.collect()))
+        return Terms(rows, False, tuple(r.n for r in lengths.collect()))
     local = clauses.sparkSession.createDataFrame(sample, rows.schema)
     values = {c: sample.column(c).to_pylist() for c in ("token", "is_prefix", "positional", "n_phrases")}
-    words = list(zip(values["token"], values["is_prefix"]))
-    exact = tuple(sorted({w for w, is_prefix in words if not is_prefix}))
-    prefixes = tuple(sorted({w for w, is_prefix in words if is_prefix}))
-    lengths = tuple(sorted({len(p) for p in prefixes}))
-    if len(exact) + len(prefixes) > PUSHED_TOKENS:
-        exact = prefixes = None
+    lengths = {len(word) for word, is_prefix in zip(values["token"], values["is_prefix"]) if is_prefix}
     positional, near = any(values["positional"]), any(n > 1 for n in values["n_phrases"])
-    return Terms(local, True, exact, prefixes, lengths, positional, near)
+    return Terms(local, True, tuple(sorted(lengths)), positional, near)
+
+
+def located(index: Index, terms: Terms) -> Terms:
+    """Terms with prefixes replaced by the words of the vocabulary, and the buckets they lie in.
+
+    A prefix is looked up among the distinct words, never among the postings. The
+    buckets of any number of words are at most those of the index.
+    """
+    rows, small = terms.rows, terms.small
+    if terms.prefix_lengths:
+        words = index.vocabulary if index.vocabulary is not None else index.postings.select("token").distinct()
+        starts = F.array(*(F.left("token", F.lit(n)) for n in terms.prefix_lengths))
+        # A short word yields itself for several lengths.
+        heads = words.select("token", F.explode(F.array_distinct(starts)).alias("head"))
+        wanted = rows.filter("is_prefix").withColumnRenamed("token", "head")
+        found = heads.join(_sized(terms, wanted), "head").drop("head").select(*rows.columns)
+        rows = cut(rows.filter(~F.col("is_prefix")).unionByName(found))
+        small = rows.count() <= SMALL_BATCH
+    buckets = None
+    if index.buckets is not None:
+        here = rows.select(bucket_of("token", index.buckets).alias("bucket")).distinct()
+        buckets = tuple(sorted(r.bucket for r in here.collect()))
+    return replace(terms, rows=rows, small=small, prefix_lengths=(), buckets=buckets)
 
 
 def _wanted(postings: DataFrame, terms: Terms) -> DataFrame:
-    """Postings of the query tokens only; the filter reaches the Parquet scan."""
-    if terms.tokens is None:
+    """Postings of the terms' buckets: a filter on folders, whatever the number of words."""
+    if terms.buckets is None:
         return postings
-    condition = F.lit(False)
-    if terms.tokens:
-        condition = F.col("token").isin(*terms.tokens)
-    for prefix in terms.prefixes or ():
-        condition = condition | F.col("token").startswith(prefix)
-    return postings.filter(condition)
+    return postings.filter(F.col("bucket").isin(*terms.buckets) if terms.buckets else F.lit(False)).drop("bucket")
 
 
 def _sized(terms: Terms, rows: DataFrame) -> DataFrame:
@@ -141,14 +167,8 @@ def _sized(terms: Terms, rows: DataFrame) -> DataFrame:
 
 
 def _term_hits(postings: DataFrame, terms: Terms, rows: DataFrame) -> DataFrame:
-    """Postings joined with the term rows they satisfy, exact and prefix terms alike."""
-    hits = postings.join(_sized(terms, rows.filter(~F.col("is_prefix"))), "token")
-    if terms.prefix_lengths:
-        starts = F.array(*(F.left("token", F.lit(n)) for n in terms.prefix_lengths))
-        # A short token yields itself for several lengths.
-        heads = postings.withColumn("head", F.explode(F.array_distinct(starts)))
-        wanted = rows.filter("is_prefix").withColumnRenamed("token", "head")
-        hits = hits.unionByName(heads.join(_sized(terms, wanted), "head").drop("head"))
+    """Postings joined with the term rows they satisfy."""
+    hits = postings.join(_sized(terms, rows), "token")
     return hits.filter(F.getbit("col_mask", F.col("col").cast("int")) == 1)
 
 
@@ -240,7 +260,7 @@ def _with_ordinals(rows: DataFrame) -> DataFrame:
 def instances(index: Index, terms: Terms, within: DataFrame | None = None) -> DataFrame:
     """Phrase instances (query, clause, phrase, page, col, start, n_terms), NEAR applied.
 
-    ``within`` restricts the search to some (query_id, page_id) pairs.
+    ``within`` restricts the search to some (query_id, page_id) pairs. ``terms`` are located.
     """
     postings = _wanted(index.postings, terms)
     if within is not None:
@@ -297,9 +317,12 @@ def match(
 ) -> DataFrame:
     """Pages matching each query with their BM25 score (lower is better).
 
-    Columns: query_id, page_id, score. Every phrase counts with its document
+    ``terms`` come from ``prepare``, and from ``located`` if they serve several
+    jobs. Columns: query_id, page_id, score. Every phrase counts with its document
     frequency inside its own column filter.
     """
+    if terms.buckets is None:
+        terms = located(index, terms)
     hits = phrase_hits(index, terms, weights)
     phrases = terms.rows.select(*PHRASE, "group_id", "op", "n_groups").distinct()
     frequency = hits.groupBy(*PHRASE).agg(F.count("*").alias("n"))

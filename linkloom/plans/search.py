@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.dates import display_date
 from linkloom.operators.index import Index
-from linkloom.operators.match import Terms, hit_counts, instances, match, prepare
+from linkloom.operators.match import Terms, hit_counts, instances, located, match, prepare
 from linkloom.operators.rank import (
     BOOST_CAP,
     BOOST_WEIGHT,
@@ -72,7 +72,7 @@ def search(
     through the checkpoint folder, which keeps the plans short.
     """
     limit, offset = clamp(limit, offset)
-    terms = prepare(clauses, index.stemmed)
+    terms = located(index, prepare(clauses, index.stemmed))
     matched = match(index, terms, weights).persist()
     totals = cut(page_info(hit_counts(matched, clauses), limit, offset))
     scored = matched if inbound is None else boost(matched, inbound)

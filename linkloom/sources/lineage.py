@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +21,47 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """The same rows read back from the checkpoint folder, without their lineage."""
+    """The same rows read back from the checkpoint folder, without their lineage.
+
+    Spark removes the files of frames that are no longer referenced when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder with the file system that its path belongs to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables that a job writes for its own use; they are removed when it ends.
+
+    ``with Scratch(spark) as scratch: rows = scratch.keep(frame)``. Nothing that
+    reads them may be used after the block.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._folder, self._n = spark, shared_folder(spark, "scratch"), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete_folder(self._spark, self._folder)
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        """The rows of ``frame``, written once and read back."""
+        path = f"{self._folder}/{self._n}"
+        self._n += 1
+        frame.write.parquet(path)
+        return self._spark.read.schema(frame.schema).parquet(path)

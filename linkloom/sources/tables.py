@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from linkloom.operators.index import Index, corpus_stats
 
 SCHEMAS = {
     "fetch_log": (
@@ -27,10 +24,6 @@ SCHEMAS = {
     ),
     "robots": "origin string, status int, body string",
     "seeds": "url string",
-    "postings": (
-        "token string, page_id long, col tinyint, tf int, doc_len int, positions array<int>"
-    ),
-    "doc_stats": "page_id long, len_title int, len_text int, len_url int, doc_len int",
 }
 
 
@@ -62,37 +55,9 @@ def write_table(frame: DataFrame, path: str, sorted_by: str | None = None) -> No
     frame.write.mode("overwrite").parquet(path)
 
 
-TOKEN_SPREAD = 16
-
-
-def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Postings in token order within each file, so that scans skip row groups.
-
-    The rows of one token go to at most ``TOKEN_SPREAD`` files: few to read for a
-    rare token, yet a frequent one is not the work of a single task. Hashing needs
-    no sampling pass, which would analyze the texts a second time.
-    """
-    part = F.pmod(F.xxhash64("page_id"), F.lit(TOKEN_SPREAD))
-    placed = postings.repartition("token", part)
-    placed.sortWithinPartitions("token", "page_id", "col").write.mode(mode).parquet(path)
-
-
-def write_index(index: Index, path: str) -> None:
-    write_postings(index.postings, f"{path}/postings")
-    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-
-
-def read_index(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
-    stats = read_table(spark, "doc_stats", f"{path}/doc_stats")
-    postings = read_table(spark, "postings", f"{path}/postings")
-    return Index(postings, stats, corpus_stats(stats), stemmed)
-
-
 def stream_fetches(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Fetch log as a stream of Parquet files."""
     reader = spark.readStream.schema(SCHEMAS["fetch_log"])
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
-
-

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from linkloom.functions.urls import canonical_url
 from linkloom.operators.fetches import MAX_BYTES, kept_fetches, parse_fetches, window_counts
-from linkloom.operators.index import Index, build_index, corpus_stats
+from linkloom.operators.index import Index
 from linkloom.operators.store import (
     LINK_COLUMNS,
     PAGE_COLUMNS,
@@ -26,8 +27,9 @@ from linkloom.operators.store import (
     new_versions,
     page_changes,
 )
-from linkloom.sources.lineage import cut
-from linkloom.sources.tables import SCHEMAS, write_postings
+from linkloom.sources.index_store import IndexStore, missing_path
+from linkloom.sources.lineage import Scratch
+from linkloom.sources.tables import SCHEMAS
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,9 @@ class State:
         """Number of the last committed batch, -1 before the first."""
         try:
             commits = self.spark.read.schema("batch long").parquet(f"{self.folder}/commits")
-        except AnalysisException:
+        except AnalysisException as error:
+            if not missing_path(error):
+                raise
             return -1
         return commits.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
 
@@ -51,7 +55,9 @@ class State:
         schema = SCHEMAS[table] + ", batch long"
         try:
             rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if not missing_path(error):
+                raise
             return self.spark.createDataFrame([], schema)
         return rows.filter(F.col("batch") <= last)
 
@@ -71,80 +77,94 @@ class State:
         edges = fold_links(self.deltas("links", last).select(*LINK_COLUMNS))
         return backfill(edges, self.pages(last))
 
-    def index(self, last: int | None = None, stemmed: bool = True) -> Index:
-        """Index without the entries that a later batch replaced."""
-        stats = self.deltas("doc_stats", last)
-        newest = stats.groupBy("page_id").agg(F.max("batch").alias("batch"))
-        replaced = stats.select("page_id", "batch").join(newest, ["page_id", "batch"], "left_anti")
-        postings = self.deltas("postings", last).join(replaced, ["page_id", "batch"], "left_anti")
-        stats = stats.join(replaced, ["page_id", "batch"], "left_anti").drop("batch")
-        return Index(postings.drop("batch"), stats, corpus_stats(stats), stemmed)
+    def index(self) -> Index:
+        """Index of the current pages, with the analyzer it was begun with."""
+        return self._index_store().read()
+
+    def _index_store(self) -> IndexStore:
+        return IndexStore(self.spark, f"{self.folder}/index")
 
     def apply(self, fetches: DataFrame, batch: int, max_bytes: int = MAX_BYTES, stem: bool = True) -> None:
-        """Apply one batch of raw fetches: pages, versions, links, index, commit."""
+        """Apply one batch of raw fetches: pages, versions, links, index, commit.
+
+        ``stem`` counts for the first batch; the index keeps its analyzer.
+        """
         if batch <= self.last_batch():
             return
 
         def write(frame: DataFrame, table: str) -> None:
             frame.write.mode("overwrite").parquet(f"{self.folder}/{table}/batch={batch}")
 
-        parsed = cut(parse_fetches(fetches, max_bytes))
-        changes = cut(page_changes(self.pages(batch - 1), parsed))
-        write(changes.drop("change"), "pages")
-        pages = self.pages(batch)
-        write(new_versions(self.versions(batch - 1), parsed, pages), "page_versions")
-        write(link_sightings(parsed, pages), "links")
-        # A refresh without new content leaves the index alone.
-        index = build_index(changes.filter(F.col("change").isin("new", "changed")), stem)
-        write_postings(index.postings, f"{self.folder}/postings/batch={batch}")
-        write(index.doc_stats, "doc_stats")
-        self.spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.mode(
-            "overwrite"
-        ).parquet(f"{self.folder}/commits/part={batch}")
+        with Scratch(self.spark) as scratch:
+            parsed = scratch.keep(parse_fetches(fetches, max_bytes))
+            changes = scratch.keep(page_changes(self.pages(batch - 1), parsed))
+            write(changes.drop("change"), "pages")
+            # every URL of the batch is among its changes, so their ids are all it takes
+            write(new_versions(self.versions(batch - 1), parsed, changes), "page_versions")
+            write(link_sightings(parsed, changes), "links")
+            # A refresh without new content leaves the index alone.
+            self._index_store().sync(changes.filter(F.col("change").isin("new", "changed")), segment=batch, stem=stem)
+        self._commit(self.folder, batch)
+
+    def _commit(self, folder: str, batch: int) -> None:
+        row = self.spark.range(1).select(F.lit(batch).cast("long").alias("batch"))
+        row.write.mode("overwrite").parquet(f"{folder}/commits/part={batch}")
 
     def compact(self, target: str) -> State:
-        """The same tables written to a new folder as one batch."""
+        """The same tables written to a new folder as one batch; ingest may go on there."""
         last = self.last_batch()
-        index = self.index(last)
-        tables = {
-            "pages": self.pages(last),
-            "page_versions": self.versions(last),
-            "links": self.links(last),
-            "doc_stats": index.doc_stats,
-        }
+        tables = {"pages": self.pages(last), "page_versions": self.versions(last), "links": self.links(last)}
         for table, frame in tables.items():
             frame.write.mode("overwrite").parquet(f"{target}/{table}/batch={last}")
-        write_postings(index.postings, f"{target}/postings/batch={last}")
-        self.spark.range(1).select(F.lit(last).cast("long").alias("batch")).write.mode(
-            "overwrite"
-        ).parquet(f"{target}/commits/part={last}")
-        return State(self.spark, target)
+        index = self.index()
+        compacted = State(self.spark, target)
+        compacted._index_store().adopt(index, last)
+        self._commit(target, last)
+        return compacted
 
 
 def start_ingest(
     stream: DataFrame, folder: str, checkpoint: str, max_bytes: int = MAX_BYTES, stem: bool = True,
-    once: bool = False,
+    once: bool = False, compact_every: int = 0,
 ) -> StreamingQuery:
     """Run a fetch stream into the tables under ``folder``.
 
-    ``once`` stops after the data that is there now, file group by file group.
+    ``once`` stops after the data that is there now, file group by file group. With
+    ``compact_every`` the state is folded after every so many batches: generation
+    g lives in ``folder/g<g>`` and ``current_state`` finds the newest.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        State(batch.sparkSession, folder).apply(batch, number, max_bytes, stem)
+        spark = batch.sparkSession
+        if not compact_every:
+            State(spark, folder).apply(batch, number, max_bytes, stem)
+            return
+        state, generation = _generation(spark, folder)
+        state.apply(batch, number, max_bytes, stem)
+        if (number + 1) % compact_every == 0:
+            state.compact(f"{folder}/g{generation + 1}")
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def parsed_stream(stream: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Stateless part of the ingest: kept fetches with their features."""
-    return parse_fetches(stream, max_bytes)
+def _generation(spark: SparkSession, folder: str) -> tuple[State, int]:
+    """Newest generation with a commit, and its number."""
+    generation = 0
+    while State(spark, f"{folder}/g{generation + 1}").last_batch() >= 0:
+        generation += 1
+    return State(spark, f"{folder}/g{generation}"), generation
+
+
+def current_state(spark: SparkSession, folder: str) -> State:
+    """State of an ingest with ``compact_every``."""
+    return _generation(spark, folder)[0]
 
 
 def first_seen(stream: DataFrame, lateness: str | None = "7 days") -> DataFrame:
-    """First fetch of each URL. With a lateness the remembered URLs expire; without
-    one every URL is remembered, as a crawl does."""
+    """First fetch of each canonical URL; unusable URLs are dropped. With a lateness the
+    remembered URLs expire; without one every URL is remembered, as a crawl does."""
+    stream = stream.withColumn("url", canonical_url("url")).filter(F.col("url").isNotNull())
     if lateness is None:
         return stream.dropDuplicates(["url"])
     timed = stream.withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))

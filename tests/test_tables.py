@@ -15,7 +15,7 @@ from linkloom.operators.rank import inbound_counts
 from linkloom.operators.robots import agent_rules, robots_allowed
 from linkloom.operators.skew import skew_join
 from linkloom.sources.lineage import cut
-from linkloom.sources.tables import empty, read_index, read_table, write_index, write_table
+from linkloom.sources.tables import empty, read_table, write_table
 from suite import fixtures as fixture
 
 
@@ -276,8 +276,6 @@ def test_throughput(spark, log):
 
 
 def test_snapshots(spark, parsed, stored_tables, tmp_path):
-    from linkloom.operators.index import build_index
-
     pages, _, _ = stored_tables
     write_table(pages, f"{tmp_path}/pages", sorted_by="page_id")
     again = read_table(spark, "pages", f"{tmp_path}/pages")
@@ -285,9 +283,3 @@ def test_snapshots(spark, parsed, stored_tables, tmp_path):
     some = pages.first()
     assert st.page_by_id(again, some.page_id).first().html == some.html
     assert st.page_by_id(again, -1).count() == 0
-    index = build_index(pages, stem=False)
-    write_index(index, f"{tmp_path}/index")
-    back = read_index(spark, f"{tmp_path}/index", stemmed=False)
-    assert rows(back.postings) == rows(index.postings)
-    plan = back.postings.filter(F.col("token").isin("from", "with"))._jdf.queryExecution().toString()
-    assert "PushedFilters: [In(token" in plan
