@@ -27,7 +27,7 @@ from linkloom.sources.lineage import cut
 #: Places of the hashed n-grams.
 BUCKETS = 1 << 16
 #: Most labelled rows that the model is fitted to (two in three) and calibrated by (the others).
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 #: Labelled doc_ids that are broadcast to the texts; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Shares of repeated-word bigrams, one more place each.
@@ -103,8 +103,8 @@ def _feature_rows(batches):
 def dual_coordinate_descent(rows: list[np.ndarray], signs: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int = 0) -> np.ndarray:
     """Weights, intercept last, of the L2-regularized hinge loss, row costs balanced between the classes."""
     weights = np.zeros(len(ratio) + 1)
-    scaled = [ratio[places] for places in rows]
-    scaled = [x / (np.sqrt(x @ x) or 1.0) for x in scaled]
+    ratio = ratio.astype(np.float32)
+    scaled = [x / (np.sqrt(x @ x) or 1.0) for x in (ratio[places] for places in rows)]
     norms = np.array([x @ x + 1.0 for x in scaled])
     share = np.where(signs > 0, (signs > 0).mean(), (signs < 0).mean())
     most = cost * 0.5 / share
@@ -145,16 +145,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = cut(marks)
     known = texts.join(F.broadcast(marks) if marks.count() <= MOST_BROADCAST else marks, "doc_id")
     table = known.select("label", "text").mapInArrow(_class_counts, "place long, zeros long, ones long")
-    table = table.groupBy("place").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).collect()
+    table = table.groupBy("place").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
     zeros, ones = np.full(PLACES, smoothing), np.full(PLACES, smoothing)
-    for place, a, b in table:
-        zeros[place] += a
-        ones[place] += b
+    zeros[table["place"].to_numpy()] += table["zeros"].to_numpy()
+    ones[table["place"].to_numpy()] += table["ones"].to_numpy()
     ratio = np.log(ones / ones.sum()) - np.log(zeros / zeros.sum())
     first = cut(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
     sample = texts.join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
-    found = sample.mapInArrow(_feature_rows, "doc_id long, label int, places binary").collect()
-    found = [(r.label, np.frombuffer(r.places, np.int32)) for r in sorted(found, key=lambda r: r.doc_id)]
+    found = sample.mapInArrow(_feature_rows, "doc_id long, label int, places binary").toArrow().sort_by("doc_id")
+    found = [(y, np.frombuffer(x, np.int32)) for y, x in zip(found["label"].to_pylist(), found["places"].to_pylist(), strict=True)]
     (fit_labels, fit_rows), (check_labels, check_rows) = ([np.array([y for y, _ in part]), [x for _, x in part]] for part in ([r for k, r in enumerate(found) if k % 3], found[::3]))
     if len({*fit_labels.tolist()}) < 2:
         share = float(np.mean(fit_labels)) if len(fit_labels) else 0.5
