@@ -28,7 +28,8 @@ from linkloom.operators.rank import (
     top_per_query,
 )
 from linkloom.plans.search import ranked, search
-from linkloom.sources.lineage import cut
+from linkloom.sources.index_store import IndexStore
+from linkloom.sources.lineage import cut, shared_folder
 from linkloom.sources.tables import empty
 from suite import fixtures as fixture
 from suite import sql
@@ -292,6 +293,75 @@ def index_gaps(spark, sf_dir):
     return missing_ids(_split_index(spark, sf_dir), document_texts(spark, sf_dir))
 
 
+def _store(spark, name: str) -> IndexStore:
+    return IndexStore(spark, shared_folder(spark, name))
+
+
+def search_stored(spark, sf_dir):
+    """All batches at once, over ten words, on an index that was written and read back."""
+    store = _store(spark, "index")
+    store.build(page_texts(spark, sf_dir), stem=False)
+    rows = [(100 * k + row[0], *row[1:]) for k, name in enumerate(BATCHES) for row in BATCHES[name][0]]
+    return shown(ranked(store.read(), prepare(spark.createDataFrame(rows, CLAUSE_SCHEMA), stem=False)))
+
+
+def _renumbered() -> list:
+    """Phrases of all batches, with query numbers of their own for each batch."""
+    return [(100 * k + p[0], *p[1:]) for k, name in enumerate(BATCHES) for p in BATCHES[name][1]]
+
+
+def search_many_words(spark, sf_dir):
+    """Hits of every word of the documents, a query each, on a stored index."""
+    docs = document_texts(spark, sf_dir)
+    store = _store(spark, "index")
+    store.build(docs, stem=False)
+    index = store.read()
+    words = cut(index.vocabulary.select(F.hash("token").alias("query_id"), "token").dropDuplicates(["query_id"]))
+    zero = lambda name, kind: F.lit(0).cast(kind).alias(name)
+    batch = words.select(
+        "query_id", zero("clause_id", "int"), zero("group_id", "int"), F.lit("must").alias("op"), F.lit("term").alias("kind"),
+        F.lit(7).alias("col_mask"), zero("slop", "int"), zero("phrase_no", "int"), F.col("token").alias("text"))
+    found = match(index, prepare(batch, stem=False)).groupBy("query_id").agg(F.count("*").alias("hits"))
+    return found.agg(F.count("*").alias("n_words"), F.sum("hits").alias("hits"), F.max("hits").alias("most"))
+
+
+SEARCH_MANY_SQL = f"""
+WITH {DOCUMENT_TOKENS}, w AS (SELECT token, count(DISTINCT page_id) AS hits FROM tok GROUP BY token)
+SELECT count(*) AS n_words, CAST(sum(hits) AS BIGINT) AS hits, max(hits) AS most FROM w"""
+
+
+def search_limits(spark, sf_dir):
+    """A limit beyond the largest and an offset below zero."""
+    terms = prepare(clauses(spark, "search_terms"), stem=False)
+    return shown(ranked(page_index(spark, sf_dir), terms, limit=99, offset=-5))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("token").agg(
+        F.count("*").alias("n"), F.sum("tf").alias("tf"), F.sum("page_id").alias("ids"),
+        F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p)).alias("places"))
+
+
+def index_segments(spark, sf_dir):
+    """An older index brought up to date by segments of changed, new and deleted documents."""
+    docs = document_texts(spark, sf_dir)
+    store = _store(spark, "segments")
+    store.build(docs.filter("page_id % 5 <> 2").withColumn("text", F.when(F.col("page_id") % 5 == 1, "old text").otherwise(F.col("text"))), stem=False)
+    store.sync(docs.filter("page_id % 5 in (1, 2)"))
+    store.delete(docs.filter("page_id % 5 = 4").select("page_id"), docs)
+    return _summed(store.read().postings)
+
+
+def reindexed(spark, sf_dir):
+    """A full build over an older one, then all segments folded."""
+    docs = document_texts(spark, sf_dir).filter("page_id % 5 <> 4")
+    store = _store(spark, "reindex")
+    store.build(docs.filter("page_id % 5 = 0"), stem=False)
+    store.build(docs, stem=False)
+    store.compact()
+    return _summed(store.read().postings)
+
+
 def search_results(spark, sf_dir):
     """Complete stemmed search with snippets and paging facts in each row."""
     pages, _ = stored_tables(spark, sf_dir)
@@ -327,6 +397,11 @@ QUERIES = {
         SELECT n_docs, CAST(total_len AS BIGINT) AS total_len, round(avg_len, 4) AS avg_len FROM corpus"""),
     "vocabulary_stems": (vocabulary_stems, None),
     "index_sync": (index_sync, INDEX_SYNC_SQL),
+    "search_stored": (search_stored, f"WITH {PAGE_TOKENS}, {sql.scores(_renumbered())} {sql.TOP}"),
+    "search_many_words": (search_many_words, SEARCH_MANY_SQL),
+    "search_limits": (search_limits, f"WITH {PAGE_TOKENS}, {sql.scores(BATCHES['search_terms'][1])} " + sql.TOP.replace("<= 10", "<= 50")),
+    "index_segments": (index_segments, INDEX_SYNC_SQL),
+    "reindexed": (reindexed, INDEX_SYNC_SQL),
     "index_verification": (index_verification, """
         SELECT count(*) AS n_pages, count(*) FILTER (doc_id % 5 <> 4) AS n_indexed, count(*) FILTER (doc_id % 5 = 4) AS n_missing,
           CAST(0 AS BIGINT) AS n_orphaned, count(*) FILTER (doc_id % 5 = 4) AS n_different,

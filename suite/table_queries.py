@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +14,9 @@ from linkloom.operators import store as st
 from linkloom.operators.frontier import allowed_hosts, normalize_seeds, reachable, unseen
 from linkloom.operators.rank import inbound_counts
 from linkloom.operators.robots import agent_rules, robots_allowed, robots_rules
-from linkloom.sources.lineage import cut
-from linkloom.sources.tables import SCHEMAS, empty, stream_fetches
-from linkloom.streaming.ingest import State, start_ingest
+from linkloom.sources.lineage import cut, shared_folder
+from linkloom.sources.tables import SCHEMAS, empty, read_table, stream_fetches, write_table
+from linkloom.streaming.ingest import State, current_state, first_seen, start_ingest, stream_throughput
 from suite import fixtures as fixture
 from suite import sql
 
@@ -457,18 +454,106 @@ SELECT page_id, CAST(depth AS INTEGER) AS depth FROM ranked ORDER BY depth, a, b
 # --- Streaming ------------------------------------------------------------
 
 
-def streamed_pages(spark, sf_dir):
-    """The fetch log written as stream files, ingested in micro-batches, read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+def ingested(spark, sf_dir, rounds=(0, 1, 2), **options) -> tuple[str, str]:
+    """The fetch log written as stream files round by round and ingested; (log folder, state folder)."""
+    folder = shared_folder(spark, "stream")
     columns = [c.split()[0] for c in SCHEMAS["fetch_log"].split(", ")]
     log = cut(fixture.fetch_log(spark, sf_dir))
-    for rnd in range(3):
+    for rnd in rounds:
         log.filter(F.col("rnd") == rnd).select(*columns).write.mode("append").parquet(f"{folder}/log")
         stream = stream_fetches(spark, f"{folder}/log")
-        start_ingest(stream, f"{folder}/state", f"{folder}/checkpoint", stem=False, once=True).awaitTermination()
-    pages = State(spark, f"{folder}/state").pages()
-    return _shown_pages(pages).drop("page_id")
+        start_ingest(stream, f"{folder}/state", f"{folder}/checkpoint", stem=False, once=True, **options).awaitTermination()
+    return f"{folder}/log", f"{folder}/state"
+
+
+def streamed_pages(spark, sf_dir):
+    """Pages of a stream of three micro-batches."""
+    return _shown_pages(State(spark, ingested(spark, sf_dir)[1]).pages()).drop("page_id")
+
+
+def streamed_late_pages(spark, sf_dir):
+    """The same pages when the last round comes first."""
+    return _shown_pages(State(spark, ingested(spark, sf_dir, (2, 0, 1))[1]).pages()).drop("page_id")
+
+
+def streamed_compacted_pages(spark, sf_dir):
+    """The same pages when the state is folded after every batch."""
+    _, folder = ingested(spark, sf_dir, compact_every=1)
+    return _shown_pages(current_state(spark, folder).pages()).drop("page_id")
+
+
+def streamed_versions(spark, sf_dir):
+    state = State(spark, ingested(spark, sf_dir)[1])
+    urls = state.pages().select("page_id", "url")
+    return st.version_history(state.versions()).join(urls, "page_id").select(
+        "url", "number", "content_hash", "status_code", text("fetched_at").alias("fetched_at"))
+
+
+def streamed_links(spark, sf_dir):
+    state = State(spark, ingested(spark, sf_dir)[1])
+    urls = state.pages().select("page_id", F.col("url").alias("from_url"))
+    links = state.links().join(urls.withColumnRenamed("page_id", "from_page_id"), "from_page_id")
+    return links.select("from_url", "to_url", F.col("to_page_id").isNotNull().alias("resolved"),
+                        text("first_seen_at").alias("first_seen_at"), text("last_seen_at").alias("last_seen_at"))
+
+
+def streamed_index(spark, sf_dir):
+    """Words of the stream's index with the pages and places they occur in."""
+    rows = State(spark, ingested(spark, sf_dir)[1]).index().postings
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+
+
+STREAMED_INDEX_SQL = f"""
+WITH {sql.STORED}, docs AS (SELECT * FROM stored), {sql.TOKENS},
+p AS (SELECT token, page_id, col, count(*) AS tf FROM tok GROUP BY ALL)
+SELECT token, count(*) AS n, CAST(sum(tf) AS BIGINT) AS tf FROM p GROUP BY token"""
+
+
+def _to_files(frame: DataFrame, spark: SparkSession) -> DataFrame:
+    """All rows that a stream gives, by way of a file sink."""
+    folder = shared_folder(spark, "sink")
+    writer = frame.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{folder}/rows")
+
+
+def first_seen_urls(spark, sf_dir):
+    """Distinct URLs of a stream that spells each in two ways."""
+    log, _ = ingested(spark, sf_dir, (0,))
+    spelled = F.explode(F.array("url", F.concat("url", F.lit("#x"))))
+    stream = stream_fetches(spark, log, 1).withColumn("url", spelled)
+    return _to_files(first_seen(stream, lateness=None).select("url"), spark)
+
+
+def streamed_windows(spark, sf_dir):
+    """Kept fetches of the minutes that are closed when the stream ends."""
+    log, _ = ingested(spark, sf_dir)
+    rows = _to_files(stream_throughput(stream_fetches(spark, log), 60), spark)
+    return rows.select(text("window_start").alias("window_start"), "n")
+
+
+def _written(frame: DataFrame, name: str) -> DataFrame:
+    """A table written to files and read back."""
+    folder = shared_folder(frame.sparkSession, name)
+    write_table(frame, folder)
+    return read_table(frame.sparkSession, name, folder)
+
+
+def stored_versions(spark, sf_dir):
+    parsed = parsed_log(spark, sf_dir)
+    pages = cut(st.upsert_pages(empty(spark, "pages"), parsed))
+    versions = _written(st.append_versions(empty(spark, "page_versions"), parsed, pages), "page_versions")
+    return st.version_history(versions).select(
+        "page_id", "number", "content_hash", "status_code", text("fetched_at").alias("fetched_at"))
+
+
+def stored_links(spark, sf_dir):
+    return _shown_links(_written(stored(spark, sf_dir)[2], "links"))
+
+
+def delete_remaining(spark, sf_dir):
+    """Pages that stay after a deletion."""
+    return _shown_pages(_after_delete(spark, sf_dir)[0])
 
 
 QUERIES = {
@@ -550,6 +635,20 @@ QUERIES = {
     "reachable_pages": (reachable_pages, REACHABLE_SQL),
     "reachable_same_host": (reachable_same_host, REACHABLE_HOST_SQL),
     "reachable_some": (reachable_some, REACHABLE_SOME_SQL),
-    "streamed_pages": (streamed_pages, f"""
-        SELECT url, title, text, content_hash, status_code, fetched_at, post_date_iso FROM ({PAGES_SQL})"""),
+    **{name: (query, f"SELECT url, title, text, content_hash, status_code, fetched_at, post_date_iso FROM ({PAGES_SQL})")
+       for name, query in (("streamed_pages", streamed_pages), ("streamed_late_pages", streamed_late_pages),
+                           ("streamed_compacted_pages", streamed_compacted_pages))},
+    "streamed_versions": (streamed_versions, f"SELECT v.* EXCLUDE (page_id), url FROM ({VERSIONS_SQL}) v JOIN ({PAGES_SQL}) p USING (page_id)"),
+    "streamed_links": (streamed_links, f"""
+        SELECT url AS from_url, to_url, to_page_id IS NOT NULL AS resolved, first_seen_at, last_seen_at
+        FROM (WITH {sql.LINKS} SELECT {_LINK_COLUMNS} FROM links) l JOIN ({PAGES_SQL}) p ON p.page_id = l.from_page_id"""),
+    "streamed_index": (streamed_index, STREAMED_INDEX_SQL),
+    "first_seen_urls": (first_seen_urls, f"SELECT DISTINCT {sql.canonical('url')} AS url FROM pages"),
+    "streamed_windows": (streamed_windows, f"""WITH {sql.CLEANED}
+        SELECT {sql.stamp("time_bucket(INTERVAL 60 SECOND, fetched_at)")} AS window_start, count(*) AS n FROM kept
+        GROUP BY time_bucket(INTERVAL 60 SECOND, fetched_at)
+        HAVING time_bucket(INTERVAL 60 SECOND, fetched_at) + INTERVAL 60 SECOND <= (SELECT max(fetched_at) FROM kept) - INTERVAL 10 MINUTE"""),
+    "stored_versions": (stored_versions, VERSIONS_SQL),
+    "stored_links": (stored_links, f"WITH {sql.LINKS} SELECT {_LINK_COLUMNS} FROM links"),
+    "delete_remaining": (delete_remaining, f"SELECT * FROM ({PAGES_SQL}) WHERE page_id % 10 <> 3"),
 }
