@@ -204,6 +204,12 @@ def delete_pages(
     )
 
 
+def repeated_page_ids(pages: DataFrame) -> DataFrame:
+    """Ids that several pages share, as hashed ids may at very many URLs; versions, links and
+    index entries of such pages could not be told apart."""
+    return pages.groupBy("page_id").agg(F.count("*").alias("n"), F.min("url").alias("first_url")).filter("n > 1")
+
+
 def page_by_id(pages: DataFrame, page_id: int) -> DataFrame:
     """The stored copy of one page; empty when there is none."""
     return pages.filter(F.col("page_id") == page_id).select("page_id", "url", "title", "html")

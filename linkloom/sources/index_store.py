@@ -29,6 +29,7 @@ from linkloom.operators.index import (
     page_entries,
     verify_index,
 )
+from linkloom.operators.store import repeated_page_ids
 from linkloom.sources.lineage import Scratch
 
 #: Postings of a bucket, about, and of the part of a frequent word that one task sorts.
@@ -110,10 +111,13 @@ class IndexStore:
     def build(self, pages: DataFrame, stem: bool = True, segment: int | None = None) -> bool:
         """Index all pages anew, check the result against them, then switch readers to it.
 
-        False, and nothing written, without pages. An index that fails the check is not committed.
+        False, and nothing written, without pages. An index that fails the check is not
+        committed; pages that share an id are an error.
         """
         if pages.isEmpty():
             return False
+        if shared := repeated_page_ids(pages).limit(5).collect():
+            raise ValueError(f"pages share an id: {sorted(r.page_id for r in shared)}")
         segment = self.last_segment() + 1 if segment is None else segment
         with Scratch(self.spark) as scratch:
             entries = scratch.keep(page_entries(pages, stem))

@@ -1,9 +1,11 @@
 """Streaming ingest of a fetch log into the page, version, link and index tables.
 
 State is a folder with one sub-folder per table and micro-batch. A batch writes
-only what it changes, so its cost follows its own size; readers take the newest
-row of each key. A batch counts once its commit is written, and a replayed batch
-overwrites its own folders, so the result is the same after any restart.
+only what it changes; readers take the newest row of each key. Pages lie in buckets
+of their URL, versions in buckets of their page, and a batch reads the buckets it
+touches, so its cost follows its own size. A batch counts once its commit is
+written, and a replayed batch overwrites its own folders, so the result is the same
+after any restart.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,6 +34,20 @@ from linkloom.sources.lineage import Scratch
 from linkloom.sources.tables import SCHEMAS
 
 
+#: Folders that the pages and the versions of a batch are dealt to, by a hash of the key.
+BUCKETS = 256
+_KEYS = {"pages": "url", "page_versions": "page_id"}
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _touched(rows: DataFrame, key: str) -> list[int]:
+    """Buckets of the keys, of which there are ``BUCKETS`` at most."""
+    return sorted(r.bucket for r in rows.select(_bucket(key).alias("bucket")).distinct().collect())
+
+
 @dataclass(frozen=True)
 class State:
     """Tables under ``folder`` as of the last committed micro-batch."""
@@ -49,28 +65,31 @@ class State:
             return -1
         return commits.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
 
-    def deltas(self, table: str, last: int | None = None) -> DataFrame:
-        """All rows of a table up to a batch, with the batch they were written in."""
+    def deltas(self, table: str, last: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """All rows of a table up to a batch, with the batch they were written in; of some buckets if named."""
         last = self.last_batch() if last is None else last
-        schema = SCHEMAS[table] + ", batch long"
+        schema = SCHEMAS[table] + ", batch long" + (", bucket int" if table in _KEYS else "")
         try:
             rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
         except AnalysisException as error:
             if not missing_path(error):
                 raise
             return self.spark.createDataFrame([], schema)
-        return rows.filter(F.col("batch") <= last)
+        rows = rows.filter(F.col("batch") <= last)
+        if buckets is not None:
+            rows = rows.filter(F.col("bucket").isin(*buckets) if buckets else F.lit(False))
+        return rows.drop("bucket")
 
-    def _newest(self, table: str, key: str, last: int | None) -> DataFrame:
-        rows = self.deltas(table, last)
+    def _newest(self, table: str, key: str, last: int | None, buckets: list[int] | None) -> DataFrame:
+        rows = self.deltas(table, last, buckets)
         newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
         return rows.join(newest, [key, "batch"], "left_semi")
 
-    def pages(self, last: int | None = None) -> DataFrame:
-        return self._newest("pages", "url", last).select(*PAGE_COLUMNS)
+    def pages(self, last: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        return self._newest("pages", "url", last, buckets).select(*PAGE_COLUMNS)
 
-    def versions(self, last: int | None = None) -> DataFrame:
-        return self.deltas("page_versions", last).drop("batch")
+    def versions(self, last: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        return self.deltas("page_versions", last, buckets).drop("batch")
 
     def links(self, last: int | None = None) -> DataFrame:
         """Edges folded over all batches, targets looked up in the current pages."""
@@ -92,20 +111,29 @@ class State:
         if batch <= self.last_batch():
             return
 
-        def write(frame: DataFrame, table: str) -> None:
-            frame.write.mode("overwrite").parquet(f"{self.folder}/{table}/batch={batch}")
-
+        write = lambda frame, table: self._write(frame, table, self.folder, batch)
         with Scratch(self.spark) as scratch:
             parsed = scratch.keep(parse_fetches(fetches, max_bytes))
-            changes = scratch.keep(page_changes(self.pages(batch - 1), parsed))
+            known = self.pages(batch - 1, _touched(parsed, "url"))
+            changes = scratch.keep(page_changes(known, parsed))
             write(changes.drop("change"), "pages")
             # every URL of the batch is among its changes, so their ids are all it takes
-            write(new_versions(self.versions(batch - 1), parsed, changes), "page_versions")
+            versions = self.versions(batch - 1, _touched(changes, "page_id"))
+            write(new_versions(versions, parsed, changes), "page_versions")
             write(link_sightings(parsed, changes), "links")
             # A refresh without new content leaves the index alone.
             self._index_store().sync(changes.filter(F.col("change").isin("new", "changed")), segment=batch, stem=stem)
         self._commit(self.folder, batch)
 
+    @staticmethod
+    def _write(frame: DataFrame, table: str, folder: str, batch: int) -> None:
+        path, key = f"{folder}/{table}/batch={batch}", _KEYS.get(table)
+        if key:
+            frame = frame.withColumn("bucket", _bucket(key)).repartition("bucket")
+            frame.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        else:
+            frame.write.mode("overwrite").parquet(path)
+
     def _commit(self, folder: str, batch: int) -> None:
         row = self.spark.range(1).select(F.lit(batch).cast("long").alias("batch"))
         row.write.mode("overwrite").parquet(f"{folder}/commits/part={batch}")
@@ -115,7 +143,7 @@ class State:
         last = self.last_batch()
         tables = {"pages": self.pages(last), "page_versions": self.versions(last), "links": self.links(last)}
         for table, frame in tables.items():
-            frame.write.mode("overwrite").parquet(f"{target}/{table}/batch={last}")
+            self._write(frame, table, target, last)
         index = self.index()
         compacted = State(self.spark, target)
         compacted._index_store().adopt(index, last)

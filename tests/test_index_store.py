@@ -86,6 +86,11 @@ def test_failed_build_changes_nothing(spark, store, docs, monkeypatch):
     same(store.read(), build_index(docs, stem=False))
 
 
+def test_shared_ids_are_an_error(store, docs):
+    with pytest.raises(ValueError, match="share an id"):
+        store.build(docs.unionByName(docs.filter("page_id = 3").withColumn("url", F.lit("other"))))
+
+
 def test_clauses_are_checked(spark):
     good = (0, 0, 0, "must", "term", 7, 0, 0, "x")
     for place, wrong in ((3, "shuold"), (4, "trem"), (5, 0), (3, "not"), (4, None)):

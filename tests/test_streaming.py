@@ -40,6 +40,9 @@ def test_stream_equals_batch(spark, log_folder, tmp_path):
     assert rows(state.links()) == rows(links)
     assert rows(state.index().postings.drop("bucket")) == rows(index.postings)
     assert rows(state.index().doc_stats) == rows(index.doc_stats)
+    few = state.pages(buckets=[3, 9])
+    assert few.count() == pages.filter("pmod(xxhash64(url), 256) in (3, 9)").count()
+    assert "bucket" in few._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("]")[0]
     before = rows(state.versions())
     state.apply(spark.read.schema(SCHEMAS["fetch_log"]).parquet(log_folder), 1)  # replayed
     assert rows(state.versions()) == before
