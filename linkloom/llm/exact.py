@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.shared import as_bytes, attach, column_of, pick
+from linkloom.llm.shared import as_bytes, attach, column_of, parts, pick
 from linkloom.sources.lineage import cut
 
 #: Bytes of text that a map task combines, or that a trie holds, before it lets go of some.
@@ -100,8 +100,8 @@ class PatriciaTrie:
             yield b"", self._root.entry
         for first in sorted({*self._root.children, *self._runs}):
             child = self._root.children.get(first)
-            parts = [_read(run) for run in self._runs.get(first, ())] + ([_walk(child)] if child else [])
-            for data, same in itertools.groupby(heapq.merge(*parts, key=lambda x: x[0]), key=lambda x: x[0]):
+            runs = [_read(run) for run in self._runs.get(first, ())] + ([_walk(child)] if child else [])
+            for data, same in itertools.groupby(heapq.merge(*runs, key=lambda x: x[0]), key=lambda x: x[0]):
                 entry = next(same)[1]
                 for _, other in same:
                     entry = merged(entry, other, self._largest)
@@ -142,7 +142,7 @@ def _digest(data: bytes) -> str:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         texts = [x.lower() for x in as_bytes(column_of(batch, "text"))]
         yield pa.record_batch(
             {"doc_id": column_of(batch, "doc_id"), "n_bytes": pa.array([len(x) for x in texts], pa.int64()), "text_sha256": pa.array([_digest(x) for x in texts], pa.string())}
@@ -155,7 +155,7 @@ def _combiner(largest: bool, budget: int) -> Callable:
     def combine(batches):
         seen: dict[bytes, Entry] = {}
         held = 0
-        for batch in batches:
+        for batch in parts(batches):
             for doc, data in zip(column_of(batch, "doc_id").to_pylist(), as_bytes(column_of(batch, "text")), strict=True):
                 data = data.lower()
                 known = seen.get(data)
@@ -178,7 +178,7 @@ def _combiner(largest: bool, budget: int) -> Callable:
 def _owner(largest: bool, budget: int) -> Callable:
     def own(batches):
         trie = PatriciaTrie(largest, budget)
-        for batch in batches:
+        for batch in parts(batches):
             columns = [column_of(batch, c).to_pylist() for c in ("data", "keep_id", "n", "twins")]
             for data, *entry in zip(*columns, strict=True):
                 trie.insert(data, tuple(entry))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.bpe import encoder
-from linkloom.llm.shared import as_texts, column_of, pick
+from linkloom.llm.shared import as_texts, column_of, parts, pick
 from linkloom.sources.lineage import cut
 
 #: (length, first rank, number of pieces, first sequence, place in the sequence)
@@ -39,7 +39,7 @@ def piece_spans(n: int, capacity: int) -> list[tuple[int, int]]:
 def _tokenizer(path: str, end_id: int, capacity: int) -> Callable:
     def run(batches):
         encode = encoder(path).ids
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for doc, text in zip(column_of(batch, "doc_id").to_pylist(), as_texts(column_of(batch, "text")), strict=True):
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
@@ -128,10 +128,10 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranked = cut(dealt.withColumns({"_part": F.spark_partition_id(), "_local": local}))
     sizes = [tuple(r) for r in ranked.groupBy("_part", "length").count().groupBy("length").agg(F.sum("count")).collect()]
-    parts = sorted(tuple(r) for r in ranked.groupBy("_part").count().collect())
-    before = np.cumsum([0] + [n for _, n in parts])
+    splits = sorted(tuple(r) for r in ranked.groupBy("_part").count().collect())
+    before = np.cumsum([0] + [n for _, n in splits])
     ahead = np.cumsum([0] + [n for _, n in sorted(sizes, reverse=True)])
-    starts = [(part, int(n)) for (part, _), n in zip(parts, before, strict=False)]
+    starts = [(part, int(n)) for (part, _), n in zip(splits, before, strict=False)]
     firsts = [(size, int(n)) for (size, _), n in zip(sorted(sizes, reverse=True), ahead, strict=False)]
     moves = spark.createDataFrame(supersteps(sizes, capacity), "_length long, _rank long, _n long, _sequence long, offset long")
     starts = spark.createDataFrame(starts, "_part int, _before long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.shared import as_bytes, column_of, pick
+from linkloom.llm.shared import as_bytes, column_of, parts, pick
 from linkloom.sources.lineage import cut
 
 #: Places of the hashed n-grams.
@@ -87,7 +87,7 @@ def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qualit
 
 def _class_counts(batches):
     counts = np.zeros((2, PLACES), np.int64)
-    for batch in batches:
+    for batch in parts(batches):
         for label, text in zip(column_of(batch, "label").to_pylist(), as_bytes(column_of(batch, "text")), strict=True):
             counts[label, features(text)] += 1
     seen = np.flatnonzero(counts.any(axis=0))
@@ -95,7 +95,7 @@ def _class_counts(batches):
 
 
 def _feature_rows(batches):
-    for batch in batches:
+    for batch in parts(batches):
         rows = [features(x).tobytes() for x in as_bytes(column_of(batch, "text"))]
         yield pa.record_batch({"doc_id": column_of(batch, "doc_id"), "label": column_of(batch, "label"), "places": pa.array(rows, pa.binary())})
 
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _scorer(model: Model) -> Callable:
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             scores = [model.score(features(x)) for x in as_bytes(column_of(batch, "text"))]
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
             yield pa.record_batch(dict(kept) | {"score": pa.array(scores, pa.float64())})
@@ -189,7 +189,7 @@ def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text", least:
     place = names.index(text_col)
 
     def keep(batches):
-        for batch in batches:
+        for batch in parts(batches):
             good = [model.score(features(x)) >= least for x in as_bytes(batch.column(place))]
             yield batch.filter(pa.array(good, pa.bool_()))
 

@@ -32,9 +32,11 @@ def pick(frame: DataFrame, **columns: str) -> DataFrame:
     return frame.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
-def slices(array: pa.Table | pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, array.num_rows, rows):
-        yield array.slice(at, rows)
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in short stretches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def attach(rows: DataFrame, table: DataFrame, on: Sequence[str], counted: str, total: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
-from linkloom.llm.shared import as_bytes, attach, column_of, pick
+from linkloom.llm.shared import as_bytes, attach, column_of, parts, pick
 from linkloom.sources.lineage import cut
 
 #: Members of an anchor that one task compares at once; beyond it the anchor is cut into cells.
@@ -85,7 +85,7 @@ def fingerprint(text: bytes, size: int) -> int:
 
 def _fingerprints(size: int) -> Callable:
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             found = np.array([fingerprint(x, size) for x in as_bytes(column_of(batch, "text"))], np.uint64)
             yield pa.record_batch({"doc_id": column_of(batch, "doc_id"), "fp": pa.array(found.view(np.int64))})
 
@@ -292,9 +292,9 @@ def close_links(prints: DataFrame, max_bits: int, cell: int = CELL) -> DataFrame
     met = cut(dealt.mapInArrow(_meet(max_bits, cell), "block long, anchor long, home boolean, a long, b long"))
     links = met.filter("b is not null").select("a", "b")
     hot = met.filter("b is null").select("block", "anchor", "home", F.col("a").alias("fp"))
-    parts = hot.groupBy("block", "anchor").agg(F.ceil(F.count("*") * 2 / F.lit(cell)).cast("int").alias("parts"))
+    sizes = hot.groupBy("block", "anchor").agg(F.ceil(F.count("*") * 2 / F.lit(cell)).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    pairs = hot.join(parts, ["block", "anchor"]).select("block", "anchor", "home", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pairs = hot.join(sizes, ["block", "anchor"]).select("block", "anchor", "home", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cells = pairs.select("block", "anchor", "home", "fp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     keys = ["block", "anchor", "i", "j"]
     more = cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_meet_cells(max_bits), "a long, b long")
