@@ -104,7 +104,12 @@ def entry_stats(entries: DataFrame) -> DataFrame:
 
 def entry_postings(entries: DataFrame) -> DataFrame:
     columns = entries.select("page_id", "doc_len", F.explode("entries").alias("e"))
-    return columns.select("page_id", "doc_len", "e.col", F.explode("e.g").alias("g")).select(
+    return _postings(columns.select("page_id", "doc_len", "e.*"))
+
+
+def _postings(grouped: DataFrame) -> DataFrame:
+    """One row per token of a page column, from page_id, doc_len, col and its groups g."""
+    return grouped.select("page_id", "doc_len", "col", F.explode("g").alias("g")).select(
         "g.token",
         "page_id",
         "col",
@@ -119,9 +124,12 @@ def build_index(pages: DataFrame, stem: bool = True) -> Index:
 
     Nothing is stored; ``sources.index_store`` analyzes pages once for all tables.
     """
-    entries = page_entries(pages, stem)
-    stats = entry_stats(entries)
-    return Index(entry_postings(entries), stats, corpus_stats(stats), stem)
+    group = group_stems if stem else group_tokens
+    lists = analyzed(pages, stem=False)
+    grouped = _by_column(lists).select("page_id", "doc_len", "col", group(F.col("tokens")).alias("g"))
+    stats = lists.select("page_id", *(F.size(c).alias(f"len_{c}") for c in COLUMNS))
+    stats = stats.withColumn("doc_len", sum((F.col(f"len_{c}") for c in COLUMNS), F.lit(0)))
+    return Index(_postings(grouped), stats, corpus_stats(stats), stem)
 
 
 def sync_index(index: Index, changed: DataFrame, removed_ids: DataFrame | None = None) -> Index:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 CHEAP = ["messy_urls", "page_features", "page_out_links", "fetch_outcomes", "duplicate_pages",
-         "robots_check", "search_boolean", "search_near", "postings", "index_verification"]
+         "robots_check", "odd_links", "odd_dates", "large_fetches", "index_segments", "search_boolean", "search_near", "postings", "index_verification"]
 
 
 @pytest.fixture(scope="module")
