@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one in so many rows, so there are at most that many hot keys.
 HOT_SHARE = 2048
 
 
+#: Rows of an Arrow batch, in a session that works on documents.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Make the session's Arrow batches short, as documents are long.
+
+    The default of 10,000 rows is made for narrow tables. With documents a batch
+    reaches its limit of 64 MB, several times over in a task's off-heap buffers.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
