@@ -11,10 +11,12 @@ on which the two differ is encoded by the library.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -27,7 +29,7 @@ from linkloom.llm.shared import as_texts, column_of, pick
 
 SPACE = "▁"
 #: Chunks that each of the two generations of the cache holds.
-CACHE = 300_000
+CACHE = 600_000
 #: Longest chunk whose pairs are kept in the common table of a batch; longer ones have a heap of their own.
 SHORT = 24
 #: Texts that are encoded and decoded together.
@@ -35,7 +37,19 @@ _TOGETHER = 256
 
 
 #: Stands for the ids of a chunk on which the library differs.
-_DIFFERS = [-1]
+_DIFFERS = (-1,)
+
+
+@contextmanager
+def _no_collector() -> Iterator[None]:
+    """No cycle search meanwhile: nothing here makes cycles, and the cache holds many small tuples."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 class Pieces:
@@ -58,8 +72,8 @@ class Pieces:
         self._chunks = re.compile(next(safe, ".+"), re.DOTALL)
         self._names = [str(k) for k in size]
         self._tables()
-        self._young: dict[str, list[int]] = {}
-        self._old: dict[str, list[int]] = {}
+        self._young: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
         #: Chunks, and texts, that the library had to encode.
         self.differing = self.by_library = 0
 
@@ -179,6 +193,10 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, without an end id."""
+        with _no_collector():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
         split = [self._chunks.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         young, old = self._young, self._old
         fresh = [c for c in set(chain.from_iterable(split)) if c not in young]
@@ -206,7 +224,7 @@ class Pieces:
         for chunk, own, a, b in zip(chunks, led, self._merge_all(chunks), theirs, strict=True):
             same = a == (b if own else b[lead:])
             self.differing += not same
-            self._young[chunk] = a if same else _DIFFERS
+            self._young[chunk] = tuple(a) if same else _DIFFERS
 
     def named(self, ids: list[int]) -> str:
         """Ids as decimal numbers with a space between."""
