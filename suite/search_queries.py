@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.html import page_text, page_title, strip_ignored
@@ -316,7 +316,9 @@ def search_many_words(spark, sf_dir):
     store = _store(spark, "index")
     store.build(docs, stem=False)
     index = store.read()
-    words = cut(index.vocabulary.select(F.hash("token").alias("query_id"), "token").dropDuplicates(["query_id"]))
+    part = F.pmod(F.xxhash64("token"), F.lit(1024)).cast("int")
+    number = F.row_number().over(Window.partitionBy(part).orderBy("token")) * 1024 + part
+    words = cut(index.vocabulary.select(number.alias("query_id"), "token"))
     zero = lambda name, kind: F.lit(0).cast(kind).alias(name)
     batch = words.select(
         "query_id", zero("clause_id", "int"), zero("group_id", "int"), F.lit("must").alias("op"), F.lit("term").alias("kind"),
