@@ -1,7 +1,7 @@
 """Secret scans: a random forest sorts candidate strings into secrets and false alarms.
 
-Candidates are runs of at least 16 key characters with a digit, and signed web
-tokens. The forest sees their length, how usual their character transitions are in
+Candidates are runs of at least 16 key characters with a digit, signed web tokens,
+and values of any length that are assigned to a name with a key word. The forest sees their length, how usual their character transitions are in
 the corpus, how much of them the corpus dictionary covers, the path of the document
 and the words around them. It is trained on labelled findings; its trees are turned
 into plain conditions, so a scan is built-in expressions in one stage without a
@@ -33,9 +33,26 @@ FEATURES = (
     "length", "transitions", "coverage", "digits", "upper", "runs", "test_path", "config_path",
     "key_word", "other_word", "assigned", "quoted",
 )
+#: Words that name a key, of equal length in each pattern, as patterns that look back have fixed lengths.
+_NAMES = (r"pwd", r"token|passw", r"secret|apikey", r"api[_\-]key", r"accesskey", r"access[_\-]key|privatekey|credential|passphrase", r"private[_\-]key")
+#: Most characters between such a word and the sign of an assignment, as in PASSWORD_PROD= and "password" : .
+_GAP = 12
+
+
+def _assigned() -> str:
+    """Pattern of the places right after a key word, at most ``_GAP`` characters, and an assignment sign."""
+    word = "(?:" + "|".join(f"(?<={names})" for names in _NAMES) + ")"
+    name = "|".join([word, r"(?<=\bauth)", *(rf"(?<={word}[\w\-. \"'\]]{{{n}}})" for n in range(1, _GAP + 1))])
+    opened = ("", r"\s", r"[\"']", r"\s[\"']")
+    # the short patterns sort out nearly all places
+    short = "|".join(f"(?<=[=:]{x})" for x in opened)
+    return f"(?:{short})(?i:" + "|".join(f"(?<=(?:{name})[=:]{x})" for x in opened) + ")"
+
+
 CANDIDATE = (
-    r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
-    r"|(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+    rf"{_assigned()}(?:(?<=[\"'])[^\r\n\"'\x01\x02]{{1,128}}(?=[\"'])|[^\s\"'`<>,;&\x01\x02]*[^\s\"'`<>,;&\x01\x02.:)\]}}])"
+    r"|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
+    r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 )
 _KEY_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|credential|bearer|auth)"
 _OTHER_WORDS = r"(?i)(sha|commit|md5|checksum|digest|uuid|guid|isbn|phone|card|order|version)"
@@ -221,6 +238,8 @@ def redact(docs: DataFrame, known: Profile, forest: Forest, least: float = 0.5,
 ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+)$"
 #: Formats of numbers that are not keys.
 PLAIN = r"^([0-9\-]+|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$"
+#: Short values that stand for a secret or for none.
+STAND_IN = r"(?i)^([$<{%\[(].*|\*+|x+|true|false|null|none|yes|no|empty|required|optional|string)$"
 
 
 def example_documents(spark: SparkSession, each: int = 100) -> DataFrame:
@@ -230,6 +249,8 @@ def example_documents(spark: SparkSession, each: int = 100) -> DataFrame:
     upper = F.upper(F.translate(F.substring(digest("a"), 1, 16), "0189", "ghjk"))
     mixed = F.translate(F.base64(F.unhex(digest("b"))), "+/=", "xyz")
     web = lambda salt: F.translate(F.base64(F.unhex(digest(salt))), "+/=", "-_A")
+    short = lambda salt: F.substring(F.translate(F.base64(F.unhex(digest(salt))), "+/=", "!#_"), 1, (F.col("id") % 8 + 6).cast("int"))
+    letters = lambda salt: F.substring(F.translate(digest(salt), "0123456789", "ghijklmnop"), 1, (F.col("id") % 8 + 6).cast("int"))
     plain = F.translate(F.substring(digest("c"), 1, 16), "abcdef", "123456")
     uuid = F.regexp_replace(F.substring(digest("d"), 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
     texts = (
@@ -237,6 +258,16 @@ def example_documents(spark: SparkSession, each: int = 100) -> DataFrame:
         F.concat(F.lit("x ghp_"), F.substring(mixed, 1, 36), F.lit(" y")),
         F.concat(F.lit("x eyJ"), F.concat_ws(".", web("e"), web("f"), web("g")), F.lit(" y")),
         F.concat(F.lit('token = "'), F.substring(digest("h"), 1, 40), F.lit('"')),
+        F.concat(F.lit("GITHUB_TOKEN=ghp_"), F.substring(mixed, 1, 36)),
+        F.concat(F.lit("export AWS_ACCESS_KEY_ID=AKIA"), upper),
+        F.concat(F.lit("https://x.example/?api_key=AKIA"), upper, F.lit("&page=1")),
+        F.concat(F.lit("PASSWORD="), short("k")),
+        F.concat(F.lit("password: "), short("l")),
+        F.concat(F.lit('"password": "'), short("m"), F.lit('"')),
+        F.concat(F.lit("PASSWORD="), letters("n")),
+        F.concat(F.lit("password: '"), letters("o"), F.lit("'")),
+        F.concat(F.lit("token_count="), F.col("id").cast("string")),
+        F.concat(F.lit("password: "), F.element_at(F.split(F.lit("${PASSWORD} <password> null true none required"), " "), (F.col("id") % 6 + 1).cast("int"))),
         F.concat(F.lit("x "), plain, F.lit(" y")),
         F.concat(F.lit("x "), uuid, F.lit(" y")),
     )
@@ -247,9 +278,13 @@ def labelled_by_format(rows: DataFrame) -> DataFrame:
     """Findings with is_secret where the format of the value settles it, null elsewhere.
 
     Issued key formats, and hexadecimal strings of 32 or more assigned in quotes
-    after a key word, are secrets; plain numbers and UUIDs are not.
+    after a key word, are secrets; plain numbers and UUIDs are not. Of values shorter
+    than 16, which are all assigned to a name with a key word, those of six or more
+    characters are secrets unless they stand in for one or are common words.
     """
     value = F.col("value")
     hexed = value.rlike("^[0-9a-fA-F]{32,}$") & (F.col("key_word") > 0) & (F.col("assigned") > 0)
     label = F.when(value.rlike(ISSUED) | hexed, True).when(value.rlike(PLAIN), False)
+    short = F.length(value) < 16
+    label = label.when(short & (value.rlike(STAND_IN) | (F.col("coverage") >= 0.5)), False).when(short & (F.length(value) >= 6), True)
     return rows.withColumn("is_secret", label)

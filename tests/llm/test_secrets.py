@@ -97,3 +97,26 @@ def test_held_out_findings(spark):
         assert r.is_secret == (not value.isdigit())
         checked += 1
     assert checked > 50
+
+
+def test_assigned_values(spark, model):
+    """Unquoted names, shell exports, URL parameters and short passwords."""
+    known, forest = model
+    token, password = "ghp_" + "aB3dE6gH9jK2mN5pQ8sT" * 2, "hunter2!x"
+    token = token[:40]
+    texts = {
+        f"GITHUB_TOKEN={token}": token,
+        f"export AWS_ACCESS_KEY_ID={KEY}\nexport X=1": KEY,
+        f"see https://a.example/?api_key={KEY}&page=2 there": KEY,
+        f"DB_PASSWORD_PROD={password}": password,
+        f"password: {password}.": password,
+        f'{{"password" : "{password}"}}': password,
+        "pwd = 'two wordz9'": "two wordz9",
+        "PASSWORD=qzkfwpvm": "qzkfwpvm",
+        "password: ${PASSWORD}": None,
+        "token_count=12": None,
+        "the token is plain, the secret too": None,
+    }
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs, known, forest).collect()}
+    assert got == {k: t if v is None else t.replace(v, "[SECRET]") for k, (t, v) in enumerate(texts.items())}
