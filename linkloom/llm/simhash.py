@@ -87,7 +87,8 @@ def _fingerprints(size: int) -> Callable:
     def run(batches):
         for batch in parts(batches):
             found = np.array([fingerprint(x, size) for x in as_bytes(column_of(batch, "text"))], np.uint64)
-            yield pa.record_batch({"doc_id": column_of(batch, "doc_id"), "fp": pa.array(found.view(np.int64))})
+            kept = {c: column_of(batch, c) for c in batch.schema.names if c != "text"}
+            yield pa.record_batch(kept | {"fp": pa.array(found.view(np.int64))})
 
     return run
 
@@ -307,6 +308,12 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
+def _roots(classes: DataFrame, max_bits: int) -> DataFrame:
+    """``classes``, one row per fingerprint fp, with the root of each one's group."""
+    nodes = components(close_links(classes, max_bits))
+    return cut(classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every row of ``docs``.
 
@@ -318,9 +325,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: st
     """
     rows = cut(fingerprints(docs, shingle, id_col, text_col))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    nodes = components(close_links(classes, max_bits))
-    rooted = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = cut(rooted.select("fp", "least", "n", "root"))
+    rooted = _roots(classes, max_bits)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     table = cut(rooted.join(least, "root").select("fp", "n", "component_id"))
     found = attach(rows, table, ["fp"], "n", rows.count())
@@ -330,9 +335,29 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: st
 def drop_near(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group: that with the smallest doc_id.
 
-    Rows without doc_id stay: they cannot be told apart. Repeated rows stay or go together.
+    Rows are told apart by doc_id and text, so a doc_id with two texts stays with
+    the one and goes with the other. Of texts that share the smallest doc_id of
+    their group, the one with the smallest SHA-256 stays. Of the rows without
+    doc_id of a group one stays besides, chosen alike. Of repeated rows that stay,
+    one does.
     """
-    groups = near_groups(docs, shingle, max_bits, id_col, text_col)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    row = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"))
-    return row.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    sha = lambda text: F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", sha("text").alias("sha"))
+    rows = cut(rows.mapInArrow(_fingerprints(shingle), "doc_id long, sha string, fp long"))
+    named, unnamed = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sha")), F.when(F.col("doc_id").isNull(), F.col("sha"))
+    classes = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(named).alias("named"), F.min(unnamed).alias("unnamed")))
+    rooted = _roots(classes, max_bits)
+    best = rooted.groupBy("root").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
+    table = cut(rooted.select("fp", "n", "root").join(best, "root").select("fp", "n", "named", "unnamed"))
+    stays = F.when(F.col("doc_id").isNull(), F.col("sha") == F.col("unnamed")).otherwise((F.col("doc_id") == F.col("named.doc_id")) & (F.col("sha") == F.col("named.sha")))
+    found = attach(rows, table, ["fp"], "n", rows.count()).select("doc_id", "sha", stays.alias("stays"))
+    found = found.groupBy("doc_id", "sha", "stays").agg(F.count("*").alias("copies")).filter("not stays or copies > 1")
+    marks = cut(found.select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_text"), F.col("stays").alias("_stays")))
+    row = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), sha(f"`{text_col}`").alias("_sha"))
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_sha") == F.col("_text"))
+    stay = row.join(marks, same, "left_anti").select("_row.*")
+    twins = marks.filter("_stays")
+    if twins.isEmpty():
+        return stay
+    one = row.join(twins, same, "left_semi").dropDuplicates(["_id", "_sha"]).select("_row.*")
+    return stay.unionByName(one)

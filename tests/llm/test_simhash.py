@@ -103,3 +103,12 @@ def test_drop(messy, nothing):
     assert kept.count(None) == 2 and {1, 3, 6, 7, -11, 10, 12} <= {*kept} and not {2, 4, 5} & {*kept}
     assert simhash.near_groups(nothing).count() == simhash.drop_near(nothing).count() == 0
     assert len(ROWS) == messy.count()
+
+
+def test_drop_leaves_one_of_each_group(spark):
+    """A doc_id on two texts, groups of rows without doc_id, texts that share a fingerprint and a doc_id."""
+    a, b, c, d, e = (" ".join(f"{w}{k}" for k in range(200)) for w in "abcde")
+    rows = [(1, a), (2, a.upper()), (2, b), (3, b.upper()), (None, c), (None, c.upper()), (None, c), (None, d), (5, e), (5, e.upper()), (5, e)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text.lower()) for r in simhash.drop_near(table).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, a), (2, b), (None, c), (None, d), (5, e)]))
