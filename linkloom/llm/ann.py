@@ -63,7 +63,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def fit_lists(rows: DataFrame, k: int, reach: float = REACH, rounds: int = 8, seed: int = 0) -> Lists | None:
-    """Spherical k-means on the sample, about sqrt(n) / 2 lists for n vectors; None without vectors."""
+    """Spherical k-means on the sample, about sqrt(n) / 2 lists for n ids, each with one vector; None without vectors."""
+    rows = rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(FIT_ROWS).collect()
     if not sample:
@@ -94,9 +95,13 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, d)
 
 
-def _assign(lists: Lists, many: bool) -> Callable:
-    """Rows with the nearest list, or one row for each of the lists that a query probes."""
-    d, probes = lists.centroids.shape[1], lists.probes if many else 1
+def _assign(lists: Lists, sizes: np.ndarray | None = None, k: int = 0) -> Callable:
+    """Rows with the nearest list, or with ``sizes`` one row for each of the lists that a query probes.
+
+    A query probes further lists until those probed hold k ids besides its own;
+    ``sizes`` has the ids of each list.
+    """
+    d = lists.centroids.shape[1]
 
     def run(batches):
         for batch in batches:
@@ -104,8 +109,14 @@ def _assign(lists: Lists, many: bool) -> Callable:
                 part = batch.slice(at, 1024)
                 vec = column_of(part, "vec")
                 rows = vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                nearest = np.argsort(-(_unit(rows) @ lists.centroids.T), axis=1, kind="stable")[:, :probes]
-                row = np.repeat(np.arange(len(rows)), nearest.shape[1])
+                nearest = np.argsort(-(_unit(rows) @ lists.centroids.T), axis=1, kind="stable")
+                if sizes is None:
+                    taken = np.arange(nearest.shape[1]) < 1
+                else:
+                    before = np.cumsum(sizes[nearest], axis=1) - sizes[nearest]
+                    taken = (np.arange(nearest.shape[1]) < lists.probes) | (before < k + 1)
+                row, place = np.nonzero(np.broadcast_to(taken, nearest.shape))
+                nearest = nearest[row, place]
                 data = [x.tobytes() for x in rows]
                 yield pa.record_batch(
                     {"list": pa.array(nearest.ravel().astype(np.int32)), "vec_id": column_of(part, "vec_id").take(pa.array(row)), "data": pa.array([data[i] for i in row], pa.binary())}
@@ -118,7 +129,10 @@ class Block:
     """The vectors of one block of a list, rotated, in column blocks."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, rotation: np.ndarray):
-        self.ids, self.rows = ids, rows
+        keys = np.concatenate([ids.astype(np.int64)[:, None], np.ascontiguousarray(rows).view(np.int64)], axis=1)
+        alone = np.sort(np.unique(np.ascontiguousarray(keys).view(f"V{keys.shape[1] * 8}").ravel(), return_index=True)[1])
+        self.ids, self.rows = ids, rows = ids[alone], rows[alone]  # repeated rows once
+        self.repeats = len(np.unique(ids)) < len(ids)
         self.length = np.sqrt((rows * rows).sum(axis=1))
         turned = (rows / self.length[:, None]) @ rotation
         self.columns = [np.ascontiguousarray(turned[:, at : at + WIDTH]) for at in range(0, turned.shape[1], WIDTH)]
@@ -131,7 +145,12 @@ class Block:
             return self.ids[:0], self.length[:0]
         diff = self.columns[0][left] - turned[:WIDTH]
         partial = np.einsum("ij,ij->i", diff, diff)
-        first = left if len(left) <= k else left[np.argpartition(partial, k - 1)[:k]]
+        if self.repeats:
+            # the limit is that of k ids, each by one of its vectors
+            order = np.argsort(partial, kind="stable")
+            first = left[order[np.sort(np.unique(self.ids[left[order]], return_index=True)[1])[:k]]]
+        else:
+            first = left if len(left) <= k else left[np.argpartition(partial, k - 1)[:k]]
         limit = sum(np.einsum("ij,ij->i", x, x) for x in (c[first] - turned[n * WIDTH : (n + 1) * WIDTH] for n, c in enumerate(self.columns))).max()
         limit += 1e-9
         for n, column in enumerate(self.columns):
@@ -203,8 +222,12 @@ def search(frame: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id"
     if lists is None:
         return spark.createDataFrame([], schema)
     kinds = "list int, vec_id long, data binary"
-    index = cut(rows.mapInArrow(_assign(lists, False), kinds))
-    asked = cut(rows.filter(queries).mapInArrow(_assign(lists, True), kinds))
+    index = cut(rows.mapInArrow(_assign(lists), kinds))
+    sizes = np.zeros(len(lists.centroids), np.int64)
+    # an id in several lists counts in one of them
+    for r in index.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    asked = cut(rows.filter(queries).mapInArrow(_assign(lists, sizes, k), kinds))
     loads = index.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("q")), "list")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("n") * F.col("q") / BLOCK_PAIRS)).cast("int")
     loads = F.broadcast(loads.select("list", blocks.alias("blocks")))  # at most MOST_LISTS rows

@@ -62,3 +62,24 @@ def test_awkward_vectors(spark):
     assert got == {(0, 1): 50, (0, 2): 8, (50, 1): 0, (50, 2): 8}
     assert ann.search(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert ann.search(table.filter("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_every_row_six_times(spark):
+    """Repeated rows do not take the places of others; lists too small for k are not the end of a search."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(300)]
+    for copies, k in ((6, 5), (1, 40)):
+        table = spark.createDataFrame(rows * copies, "vec_id long, embedding array<double>").repartition(4)
+        got = ann.search(table, F.col("vec_id") % 50 == 0, k=k).collect()
+        want = brute(rows, k)
+        assert len(got) == k * len(want)
+        assert sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) >= 0.9 * len(got)
+
+
+def test_few_rows_in_the_probed_list(spark, monkeypatch):
+    """The nearest list holds two ids; the query goes on to others."""
+    lists = ann.Lists(np.eye(2), np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]]), 1)
+    monkeypatch.setattr(ann, "fit_lists", lambda *_: lists)
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1])] + [(i, [0.1, float(i)]) for i in range(2, 6)] + [(i, [-1.0, 0.0]) for i in range(6, 9)]
+    got = ann.search(spark.createDataFrame(rows * 2, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5)
+    assert [r.vec_id for r in got.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
