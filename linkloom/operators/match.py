@@ -8,7 +8,8 @@ a term, a phrase, a prefix, an initial phrase (``^``) or a NEAR group:
 
 ``op`` is must, should or not; ``kind`` is term, phrase, prefix, near or
 initial; ``col_mask`` has bit 0 for title, 1 for text, 2 for url (7 for all).
-A NEAR clause has one row per phrase, numbered by ``phrase_no``.
+A NEAR clause has one row per phrase, numbered by ``phrase_no``; a phrase of kind prefix
+among them ends in a prefix.
 """
 
 from __future__ import annotations
@@ -88,16 +89,15 @@ def clause_terms(clauses: DataFrame, stem: bool = True) -> DataFrame:
             "is_prefix",
             (F.col("kind") == "prefix") & (F.col("term_pos") == F.col("n_terms") - 1),
         )
-        .withColumn(
-            "positional", (F.col("n_terms") > 1) | F.col("kind").isin("initial", "near")
-        )
     )
     # Windows over the clauses of one query.
     query = Window.partitionBy("query_id")
     wanted_groups = F.collect_set(F.when(F.col("op") != "not", F.col("group_id"))).over(query)
     phrases = F.collect_set("phrase_no").over(Window.partitionBy("query_id", "clause_id"))
+    positional = (F.col("n_terms") > 1) | (F.col("n_phrases") > 1) | F.col("kind").isin("initial", "near")
     return (
         terms.withColumns({"n_groups": F.size(wanted_groups), "n_phrases": F.size(phrases)})
+        .withColumn("positional", positional)
         .filter(F.col("n_groups") > 0)
     )
 
@@ -172,83 +172,78 @@ def _term_hits(postings: DataFrame, terms: Terms, rows: DataFrame) -> DataFrame:
     return hits.filter(F.getbit("col_mask", F.col("col").cast("int")) == 1)
 
 
-def _near_kept(instances: DataFrame) -> DataFrame:
-    """NEAR instances with a flag: part of a group within the allowed distance.
+def _phrase_starts(number: Column) -> Column:
+    """Ascending starts of a clause's phrase in one page column, from its ``places``.
 
-    All phrases of a group must lie close to one anchor, the instance that starts
-    last: each other phrase must end at most ``slop`` tokens before the anchor
-    starts. Both directions are running lookups within one page column.
+    The positions of each term, moved back by its place in the phrase, are
+    intersected. Words that fit the prefix at the end share a place.
     """
-    column = ["query_id", "clause_id", "page_id", "col"]
-    kinds = F.sequence(F.lit(0), F.col("n_phrases") - 1)
-    anchors = (
-        instances.select(*column, "start", "slop", "n_phrases")
-        .distinct()
-        .withColumn("wanted", F.explode(kinds))
-    )
-    events = instances.withColumn("wanted", F.col("phrase_ordinal"))
-    per_phrase = Window.partitionBy(*column, "wanted").orderBy("start")
-    so_far = per_phrase.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    from_here = per_phrase.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    timeline = anchors.select(
-        *column, "wanted", "start", "slop", "n_phrases", F.lit(None).cast("int").alias("end")
-    ).unionByName(
-        events.select(
-            *column, "wanted", "start", "slop", "n_phrases",
-            (F.col("start") + F.col("n_terms")).alias("end"),
-        )
-    )
-    # The instance of a phrase that starts last has the largest end, too.
-    good = (
-        timeline.withColumn("last_end", F.max("end").over(so_far))
-        .filter(F.col("end").isNull() & (F.col("start") - F.col("last_end") <= F.col("slop")))
-        .groupBy(*column, "start", "n_phrases")
-        .agg(F.count("*").alias("close"))
-        .filter(F.col("close") == F.col("n_phrases"))
-        .select(*column, F.explode(kinds).alias("wanted"), "start", F.lit(True).alias("anchor"))
-    )
-    marked = events.withColumn("anchor", F.lit(False)).unionByName(good, allowMissingColumns=True)
-    next_anchor = F.min(F.when(F.col("anchor"), F.col("start"))).over(from_here)
-    return (
-        marked.withColumn("next_anchor", next_anchor)
-        .filter(~F.col("anchor"))
-        .withColumn(
-            "kept",
-            F.coalesce(
-                F.col("next_anchor") - F.col("start") - F.col("n_terms") <= F.col("slop"), F.lit(False)
-            ),
-        )
-        .select(*instances.columns, "kept")
-    )
+    own = F.filter("places", lambda p: p["phrase_ordinal"] == number)
+
+    def moved(k: Column) -> Column:
+        here = F.filter(own, lambda p: p["term_pos"] == k)
+        return F.flatten(F.transform(here, lambda p: F.transform(p["positions"], lambda x: x - k)))
+
+    later = F.filter(F.sequence(F.lit(0), F.get(own["n_terms"], F.lit(0)) - 1), lambda k: k > 0)
+    found = F.aggregate(later, moved(F.lit(0)), lambda found, k: F.array_intersect(found, moved(k)))
+    return F.coalesce(F.array_sort(found), F.array().cast("array<int>"))
+
+
+def _reached(starts: Column, reach: Column, last: Column) -> Column:
+    """Every place from a start to ``reach`` after it, up to ``last``; no place twice."""
+    end = lambda s, k: F.least(F.get(starts, k + 1) - 1, s + F.least(reach, last - s))
+    return F.flatten(F.transform(starts, lambda s, k: F.sequence(s, end(s, k))))
+
+
+def _reaching(anchors: Column, reach: Column) -> Column:
+    """Every place from ``reach`` before an anchor to the anchor; no place twice."""
+    begin = lambda a, k: F.greatest(F.get(anchors, k - 1) + 1, a - F.least(reach, a))
+    return F.flatten(F.transform(anchors, lambda a, k: F.sequence(begin(a, k), a)))
+
+
+def _near_anchors() -> Column:
+    """Places of one page column that all phrases of a NEAR group are close to.
+
+    An anchor is the instance that starts last: each phrase must have one that ends
+    at most ``slop`` tokens before the anchor starts.
+    """
+    starts = F.col("phrases")["starts"]
+    every = F.array_sort(F.array_distinct(F.flatten(starts)))
+    close = lambda found, p: F.array_intersect(found, _reached(p["starts"], p["n_terms"] + F.col("slop"), F.get(every, F.size(every) - 1)))
+    return F.aggregate("phrases", every, close)
 
 
 def _positional(postings: DataFrame, terms: Terms, rows: DataFrame) -> DataFrame:
-    """Every instance of the given phrases: page, column and start position."""
-    starts = (
-        _term_hits(postings, terms, rows)
-        .withColumn("start", F.explode("positions"))
-        .withColumn("start", F.col("start") - F.col("term_pos"))
+    """Phrases with their instances: page, column and the array ``starts`` of those that count.
+
+    One row per phrase and page column where it occurs, also where no instance is
+    part of a NEAR group. Position lists are intersected as they are; there is
+    never a row per position.
+    """
+    column = ["query_id", "clause_id", "page_id", "col"]
+    place = F.struct("phrase_ordinal", "phrase_no", "term_pos", "n_terms", "positions")
+    number = lambda i, name: F.get(F.filter("places", lambda p: p["phrase_ordinal"] == i)[name], F.lit(0))
+    phrase = lambda i: F.struct(
+        number(i, "phrase_no").alias("phrase_no"), number(i, "n_terms").alias("n_terms"), _phrase_starts(i).alias("starts")
     )
-    keys = [*PHRASE, "page_id", "col", "start"]
-    # Each term of the phrase contributes one row per start where it fits.
-    instances = (
-        starts.groupBy(*keys)
-        .agg(
-            F.count("*").alias("fitting"),
-            *(
-                F.max(c).alias(c)
-                for c in ("doc_len", "n_terms", "kind", "slop", "n_phrases", "phrase_ordinal")
-            ),
-        )
-        .filter((F.col("fitting") == F.col("n_terms")) & (F.col("start") >= 0))
-        .filter((F.col("kind") != "initial") | (F.col("start") == 0))
-        .drop("fitting")
+    found = (
+        _term_hits(postings, terms, rows)
+        .repartition("query_id", "page_id")
+        .groupBy(*column)
+        # At most one entry per term of the clause and word of the page column.
+        .agg(F.collect_list(place).alias("places"), *(F.max(c).alias(c) for c in ("doc_len", "kind", "slop", "n_phrases")))
+        .withColumn("phrases", F.transform(F.sequence(F.lit(0), F.col("n_phrases") - 1), phrase))
     )
-    if not terms.near:
-        return instances.withColumn("kept", F.lit(True))
-    near = F.col("n_phrases") > 1
-    others = instances.filter(~near).withColumn("kept", F.lit(True))
-    return others.unionByName(_near_kept(instances.filter(near)))
+    if terms.near:
+        found = found.withColumn("anchors", F.when(F.col("n_phrases") > 1, F.array_sort(_near_anchors())))
+    each = found.select(*column, "doc_len", "kind", "slop", *(["anchors"] if terms.near else []), F.explode("phrases").alias("p"))
+    each = each.select(*[c for c in each.columns if c != "p"], "p.*").filter(F.size("starts") > 0)
+    starts = F.when(F.col("kind") == "initial", F.filter("starts", lambda s: s == 0)).otherwise(F.col("starts"))
+    if terms.near:
+        near = F.array_intersect("starts", _reaching(F.col("anchors"), F.col("n_terms") + F.col("slop")))
+        starts = F.when(F.col("anchors").isNotNull(), near).otherwise(starts)
+    each = each.withColumn("starts", starts).filter((F.col("kind") != "initial") | (F.size("starts") > 0))
+    return each.select(*PHRASE, "page_id", "col", "doc_len", "n_terms", "starts")
 
 
 def _with_ordinals(rows: DataFrame) -> DataFrame:
@@ -258,7 +253,7 @@ def _with_ordinals(rows: DataFrame) -> DataFrame:
 
 
 def instances(index: Index, terms: Terms, within: DataFrame | None = None) -> DataFrame:
-    """Phrase instances (query, clause, phrase, page, col, start, n_terms), NEAR applied.
+    """Phrase instances (query, clause, phrase, page, col, n_terms, starts), NEAR applied.
 
     ``within`` restricts the search to some (query_id, page_id) pairs. ``terms`` are located.
     """
@@ -266,7 +261,7 @@ def instances(index: Index, terms: Terms, within: DataFrame | None = None) -> Da
     if within is not None:
         postings = postings.join(within.select("page_id").distinct(), "page_id", "left_semi")
     found = _positional(postings, terms, _with_ordinals(terms.rows.filter(F.col("op") != "not")))
-    found = found.filter("kept").select(*PHRASE, "page_id", "col", "start", "n_terms")
+    found = found.filter(F.size("starts") > 0).drop("doc_len")
     if within is not None:
         found = found.join(within.select("query_id", "page_id"), ["query_id", "page_id"], "left_semi")
     return found
@@ -287,8 +282,8 @@ def phrase_hits(index: Index, terms: Terms, weights: tuple[float, float, float])
     if terms.positional:
         placed = _positional(postings, terms, _with_ordinals(terms.rows.filter("positional"))).select(
             *keep,
-            F.col("kept").cast("int").alias("hits"),
-            F.when(F.col("kept"), weight).otherwise(0.0).alias("weighted"),
+            F.size("starts").alias("hits"),
+            (F.size("starts") * weight).alias("weighted"),
         )
         bag = bag.unionByName(placed)
     # One shuffle by (query, page) serves this and the per-page step after it.

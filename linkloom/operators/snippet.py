@@ -105,6 +105,14 @@ def _best_start(hits: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return scored.groupBy(*page).agg(F.max_by(start.cast("int"), value).alias("begin"))
 
 
+def _with_runs(hits: DataFrame) -> DataFrame:
+    """Adds where the run of overlapping hits begins that a hit belongs to."""
+    by_place = Window.partitionBy("query_id", "page_id").orderBy("pos", "n_terms")
+    before = F.max(F.col("pos") + F.col("n_terms")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("pos") >= before, F.lit(True))
+    return hits.withColumn("fresh", F.when(fresh, F.col("pos"))).withColumn("run", F.max("fresh").over(by_place)).drop("fresh")
+
+
 def _render(size: int, opening: str, closing: str, ellipsis: str) -> Column:
     """Text of words begin .. begin + size - 1 with marks and ellipses."""
     stop = F.least(F.col("begin") + size, F.col("n")) - 1
@@ -148,7 +156,7 @@ def snippets(
 ) -> DataFrame:
     """Snippet of each result row (query_id, page_id, text).
 
-    ``found`` holds the phrase instances of these results. Every grouping here is
+    ``found`` holds the phrase instances of these results as arrays of starts. Every grouping here is
     within one page of one query, never across pages. A result without a hit in
     its text shows the beginning of it.
     """
@@ -156,17 +164,16 @@ def snippets(
     hits = found.filter(F.col("col") == TEXT_COLUMN).select(
         "query_id",
         "page_id",
-        F.col("start").alias("pos"),
+        F.explode("starts").alias("pos"),
         F.struct("clause_id", "phrase_no").alias("phrase"),
         "n_terms",
     )
     begins = _best_start(hits, texts, size)
     shown = (
-        hits.join(begins, ["query_id", "page_id"])
-        .filter(
-            (F.col("pos") < F.col("begin") + size)
-            & (F.col("pos") + F.col("n_terms") > F.col("begin"))
-        )
+        _with_runs(hits)
+        .join(begins, ["query_id", "page_id"])
+        # A run of overlapping hits that begins before the snippet is not marked.
+        .filter((F.col("pos") < F.col("begin") + size) & (F.col("run") >= F.col("begin")))
         # Hits within one snippet: at most its size times the phrases of the query.
         .groupBy("query_id", "page_id")
         .agg(F.max("begin").alias("begin"), F.collect_set(F.struct("pos", "n_terms")).alias("hits"))

@@ -1,5 +1,6 @@
 """Search results against SQLite's full-text engine, which follows the same rules."""
 
+import random
 import sqlite3
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import types as T
 
 from linkloom.functions.html import page_text, page_title, strip_ignored
 from linkloom.operators.index import build_index, missing_ids, sync_index, tokens, verify_index
-from linkloom.operators.match import CLAUSE_SCHEMA, hit_counts, match, plain_clauses, prepare
+from linkloom.operators.match import CLAUSE_SCHEMA, hit_counts, instances, located, match, phrase_hits, plain_clauses, prepare
 from linkloom.operators.rank import boost, page_info, top_per_query
 from linkloom.plans.search import search
 
@@ -33,6 +34,9 @@ QUERIES = [
     ("NEAR(the of, 0)", [C(0, 0, "must", "near", "the"), C(0, 0, "must", "near", "of", phrase=1)]),
     ('NEAR("of the" and, 3)', [C(0, 0, "must", "near", "of the", slop=3), C(0, 0, "must", "near", "and", slop=3, phrase=1)]),
     ("NEAR(the of and, 2)", [C(0, 0, "must", "near", t, slop=2, phrase=i) for i, t in enumerate(("the", "of", "and"))]),
+    ('NEAR("the of" the "of the", 4)', [C(0, 0, "must", "near", t, slop=4, phrase=i) for i, t in enumerate(("the of", "the", "of the"))]),
+    ("NEAR(the o*, 2)", [C(0, 0, "must", "near", "the", slop=2), C(0, 0, "must", "prefix", "o", slop=2, phrase=1)]),
+    ('"the of the of"', [C(0, 0, "must", "phrase", "the of the of")]),
     ("^the", [C(0, 0, "must", "initial", "the")]),
     ("^of AND the", [C(0, 0, "must", "initial", "of"), C(1, 1, "must", "term", "the")]),
     ("(from OR des) AND (with OR auf)", [
@@ -207,3 +211,58 @@ def test_incremental_index_equals_rebuild(spark, pages, stem):
     assert report.ok and report.n_pages == report.n_indexed == after.count()
     assert not verify_index(synced, before).first().ok
     assert missing_ids(synced, before).count() > 0
+
+
+def near_sweep(lists, sizes, slop):
+    """Starts that count, found by moving one instance of one phrase at a time.
+
+    While some instance ends too far before the one that starts last, it moves on; a
+    window that holds all phrases counts for all, and then the nearest next one moves.
+    """
+    at, kept = [0] * len(lists), [set() for _ in lists]
+    if not all(lists):
+        return kept
+    while True:
+        latest = max(starts[k] for starts, k in zip(lists, at, strict=True))
+        late = [i for i, k in enumerate(at) if lists[i][k] + sizes[i] + slop < latest]
+        if late:
+            moving = late[0]
+        else:
+            for i, k in enumerate(at):
+                kept[i].add(lists[i][k])
+            following = [(starts[k + 1], i) for i, (starts, k) in enumerate(zip(lists, at, strict=True)) if k + 1 < len(starts)]
+            if not following:
+                return kept
+            moving = min(following)[1]
+        at[moving] += 1
+        if at[moving] == len(lists[moving]):
+            return kept
+
+
+def test_near_counts_like_a_sweep(spark):
+    """Repeated words, phrases that overlap, prefixes, far apart and none at all, on dense and sparse texts."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["the", "of", "to", "tom", *"abcdefgh"[: rng.randint(0, 8)]]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts.append("the " * 300 + "x " * 20 + "of the " * 100)
+    groups = [["the", "the"], ["the of", "the", "of the"], ["of", "the", "of"], ["the", "t*"], ["to", "to", "to"], ["of the", "h"], ["a", "b", "c", "the"]]
+    rows, plans = [], []
+    for group in groups:
+        for slop in (0, 1, 4, 50, 10_000_000):
+            rows += [(len(plans), 0, 0, "must", "prefix" if "*" in p else "near", 7, slop, i, p) for i, p in enumerate(group)]
+            plans.append((group, slop))
+    pages = spark.createDataFrame([(k, None, t, "") for k, t in enumerate(texts)], "page_id long, title string, text string, url string")
+    index = build_index(pages, stem=False)
+    terms = located(index, prepare(spark.createDataFrame(rows, CLAUSE_SCHEMA), stem=False))
+    want = {}
+    for q, (group, slop) in enumerate(plans):
+        for page, text in enumerate(texts):
+            words = text.split()
+            fits = lambda w, p: w.startswith(p[:-1]) if p.endswith("*") else w == p
+            lists = [[i for i in range(len(words) - len(p.split()) + 1) if all(map(fits, words[i:], p.split()))] for p in group]
+            kept = near_sweep(lists, [len(p.split()) for p in group], slop)
+            want |= {(q, i, page): sorted(kept[i]) for i in range(len(group)) if kept[i]}
+    found = instances(index, terms)
+    assert {(r.query_id, r.phrase_no, r.page_id): r.starts for r in found.collect()} == want
+    hits = phrase_hits(index, terms, (1.0, 1.0, 1.0))
+    assert {(r.query_id, r.phrase_no, r.page_id): r.hits for r in hits.filter("hits > 0").collect()} == {k: len(v) for k, v in want.items()}
+    assert "explode(positions" not in hits._jdf.queryExecution().toString()
