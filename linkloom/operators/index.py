@@ -23,6 +23,14 @@ from linkloom.functions.analysis import (
 COLUMNS = ("title", "text", "url")
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """Bounds of words by block of pages (see ``operators.blocks``)."""
+
+    table: DataFrame  # bucket, token, block, max_tf, min_len, n_rows, n_pages
+    postings: DataFrame  # those of the index with their bucket and block
+
+
 @dataclass(frozen=True)
 class Index:
     """The tables of a full-text index over (title, text, url).
@@ -37,6 +45,7 @@ class Index:
     stemmed: bool = True
     vocabulary: DataFrame | None = None  # token, df
     buckets: int | None = None
+    bounds: Bounds | None = None
 
 
 def bucket_of(token: Column | str, buckets: int) -> Column:

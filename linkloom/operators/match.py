@@ -112,6 +112,7 @@ class Terms:
     positional: bool = True  # whether any phrase needs positions
     near: bool = True
     buckets: tuple[int, ...] | None = None  # of the stored index; None reads all
+    prefixes: bool = False  # whether any phrase ends in a prefix
 
 
 def prepare(clauses: DataFrame, stem: bool = True) -> Terms:
@@ -124,12 +125,13 @@ def prepare(clauses: DataFrame, stem: bool = True) -> Terms:
     sample = rows.limit(SMALL_BATCH + 1).toArrow()
     if sample.num_rows > SMALL_BATCH:
         lengths = rows.filter("is_prefix").select(F.length("token").alias("n")).distinct()
-        return Terms(rows, False, tuple(r.n for r in lengths.collect()))
+        lengths = tuple(r.n for r in lengths.collect())
+        return Terms(rows, False, lengths, prefixes=bool(lengths))
     local = clauses.sparkSession.createDataFrame(sample, rows.schema)
     values = {c: sample.column(c).to_pylist() for c in ("token", "is_prefix", "positional", "n_phrases")}
     lengths = {len(word) for word, is_prefix in zip(values["token"], values["is_prefix"]) if is_prefix}
     positional, near = any(values["positional"]), any(n > 1 for n in values["n_phrases"])
-    return Terms(local, True, tuple(sorted(lengths)), positional, near)
+    return Terms(local, True, tuple(sorted(lengths)), positional, near, prefixes=bool(lengths))
 
 
 def located(index: Index, terms: Terms) -> Terms:
@@ -274,18 +276,28 @@ def phrase_hits(index: Index, terms: Terms, weights: tuple[float, float, float])
     only for the phrases that need them.
     """
     postings = _wanted(index.postings, terms)
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("col").cast("int") + 1)
-    keep = [*PHRASE, "page_id", "doc_len"]
-    bag = _term_hits(postings.drop("positions"), terms, terms.rows.filter(~F.col("positional"))).select(
-        *keep, F.col("tf").alias("hits"), (F.col("tf") * weight).alias("weighted")
+    bag = _term_hits(postings.drop("positions"), terms, terms.rows.filter(~F.col("positional")))
+    if not terms.positional:
+        return term_hits(bag, weights)
+    weight, keep = _weight(weights), [*PHRASE, "page_id", "doc_len"]
+    bag = bag.select(*keep, F.col("tf").alias("hits"), (F.col("tf") * weight).alias("weighted"))
+    placed = _positional(postings, terms, _with_ordinals(terms.rows.filter("positional"))).select(
+        *keep, F.size("starts").alias("hits"), (F.size("starts") * weight).alias("weighted")
     )
-    if terms.positional:
-        placed = _positional(postings, terms, _with_ordinals(terms.rows.filter("positional"))).select(
-            *keep,
-            F.size("starts").alias("hits"),
-            (F.size("starts") * weight).alias("weighted"),
-        )
-        bag = bag.unionByName(placed)
+    return _per_page(bag.unionByName(placed))
+
+
+def _weight(weights: tuple[float, float, float]) -> Column:
+    return F.element_at(F.array(*map(F.lit, weights)), F.col("col").cast("int") + 1)
+
+
+def term_hits(hits: DataFrame, weights: tuple[float, float, float]) -> DataFrame:
+    """Instances per phrase and page of postings joined with the single words they satisfy."""
+    weighted = (F.col("tf") * _weight(weights)).alias("weighted")
+    return _per_page(hits.select(*PHRASE, "page_id", "doc_len", F.col("tf").alias("hits"), weighted))
+
+
+def _per_page(bag: DataFrame) -> DataFrame:
     # One shuffle by (query, page) serves this and the per-page step after it.
     return (
         bag.repartition("query_id", "page_id")
@@ -319,8 +331,12 @@ def match(
     if terms.buckets is None:
         terms = located(index, terms)
     hits = phrase_hits(index, terms, weights)
+    return scored(index, terms, hits, hits.groupBy(*PHRASE).agg(F.count("*").alias("n")))
+
+
+def scored(index: Index, terms: Terms, hits: DataFrame, frequency: DataFrame) -> DataFrame:
+    """query_id, page_id and score of the pages whose hits satisfy their query."""
     phrases = terms.rows.select(*PHRASE, "group_id", "op", "n_groups").distinct()
-    frequency = hits.groupBy(*PHRASE).agg(F.count("*").alias("n"))
     # At most one row per phrase of the batch.
     known = _sized(terms, frequency.join(_sized(terms, phrases), list(PHRASE)))
     n_docs = index.corpus_stats.select("n_docs").scalar()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.dates import display_date
+from linkloom.operators.blocks import best, can_bound
 from linkloom.operators.index import Index
 from linkloom.operators.match import Terms, hit_counts, instances, located, match, prepare
 from linkloom.operators.rank import (
@@ -49,7 +50,14 @@ def ranked(
     boost_weight: float = BOOST_WEIGHT,
     boost_cap: int = BOOST_CAP,
 ) -> DataFrame:
-    """Page ids and scores of one result page per query. Inbound counts turn on the boost."""
+    """Page ids and scores of one result page per query. Inbound counts turn on the boost.
+
+    Blocks of pages that cannot reach the result page are left out where the index
+    has bounds for them; the results are the same.
+    """
+    if inbound is None and can_bound(index, terms):
+        terms = located(index, terms) if terms.buckets is None else terms
+        return best(index, terms, *clamp(limit, offset), weights)[0]
     scored = match(index, terms, weights)
     if inbound is not None:
         scored = boost(scored, inbound, boost_weight, boost_cap)

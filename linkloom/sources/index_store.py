@@ -1,6 +1,7 @@
 """The stored full-text index: bucketed segments, tombstones, commits.
 
-    postings/segment=n/bucket=b   sorted by token, page and column
+    postings/segment=n/bucket=b   sorted by token, block, page and column
+    bounds/segment=n/bucket=b     bounds of words by block of pages, if asked for
     vocabulary/segment=n          token, df
     doc_stats/segment=n           one row per page
     removed/segment=n             pages whose entries in earlier segments are dead
@@ -20,7 +21,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.operators.blocks import block_bounds, block_of, spread_of
 from linkloom.operators.index import (
+    Bounds,
     Index,
     bucket_of,
     corpus_stats,
@@ -32,20 +35,23 @@ from linkloom.operators.index import (
 from linkloom.operators.store import repeated_page_ids
 from linkloom.sources.lineage import Scratch
 
-#: Postings of a bucket, about, and of the part of a frequent word that one task sorts.
+#: Postings of a bucket, about, and the most that one task sorts and writes as a file.
 BUCKET_ROWS, PART_ROWS = 2_000_000, 1_000_000
-#: Most folders of a segment.
+#: Most folders of a segment; a bucket has as many files as its postings need.
 MOST_BUCKETS = 16_384
+#: Fewest postings that are worth a task of their own.
+LEAST_ROWS = 50_000
 #: Tombstones that are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
-_POSTINGS = "token string, page_id long, col tinyint, tf int, doc_len int, positions array<int>, segment long, bucket int"
+_POSTINGS = "token string, page_id long, col tinyint, tf int, doc_len int, positions array<int>, block int, segment long, bucket int"
 _SCHEMAS = {
     "postings": _POSTINGS,
     "vocabulary": "token string, df long, segment long",
     "doc_stats": "page_id long, len_title int, len_text int, len_url int, doc_len int, segment long",
     "removed": "page_id long, segment long",
-    "commits": "base boolean, buckets int, stemmed boolean, n_docs long, total_len long, segment long",
+    "bounds": "token string, block int, max_tf long, min_len int, n_rows long, n_pages array<long>, segment long, bucket int",
+    "commits": "base boolean, buckets int, stemmed boolean, n_docs long, total_len long, spread int, segment long",
 }
 
 
@@ -94,13 +100,32 @@ class IndexStore:
             postings, stats = (self._alive(rows, dead) for rows in (postings, stats))
             words = words.groupBy("token").agg(F.sum("df").alias("df"))
         last = commits[-1] if commits else None
+        bounds = self._bounds(live[0], postings) if len(live) == 1 else None
         totals = [(last.n_docs, last.total_len)] if last else [(0, 0)]
         corpus = self.spark.createDataFrame(totals, "n_docs long, total_len long")
         corpus = corpus.withColumn("avg_len", F.try_divide(F.col("total_len").cast("double"), F.col("n_docs")))
         return Index(
-            postings.drop("segment"), stats.drop("segment"), corpus, last.stemmed if last else True, words.drop("segment"), last.buckets if last else 1
+            postings.drop("segment", "block"), stats.drop("segment"), corpus, last.stemmed if last else True, words.drop("segment"), last.buckets if last else 1, bounds
         )
 
+    def _bounds(self, segment: int, postings: DataFrame) -> Bounds | None:
+        """Bounds of a full build; they say nothing once pages of it are replaced."""
+        rows = self._read("bounds").filter(F.col("segment") == segment).drop("segment")
+        return None if rows.isEmpty() else Bounds(rows, postings.drop("segment"))
+
+    def add_bounds(self) -> None:
+        """Write bounds by block for the last full build, for faster top results (``operators.blocks``).
+
+        Segments added later turn them off; ``compact`` and this turn them on again.
+        """
+        commits = self._commits()
+        if not commits:
+            raise ValueError("there is no index yet")
+        segment = commits[0].segment
+        postings = self._read("postings").filter(F.col("segment") == segment)
+        rows = block_bounds(postings).repartition("bucket").sortWithinPartitions("bucket", "token", "block")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/bounds/segment={segment}")
+
     @staticmethod
     def _alive(rows: DataFrame, dead: DataFrame) -> DataFrame:
         marked = rows.join(dead, "page_id", "left")
@@ -121,13 +146,14 @@ class IndexStore:
         segment = self.last_segment() + 1 if segment is None else segment
         with Scratch(self.spark) as scratch:
             entries = scratch.keep(page_entries(pages, stem))
-            buckets = self._write_segment(segment, entries, None)
+            spread = spread_of(entries.count())
+            buckets = self._write_segment(segment, entries, None, spread)
             stats = self._read("doc_stats").filter(F.col("segment") == segment).drop("segment")
             totals = corpus_stats(stats).first()
             report = verify_index(Index(entry_postings(entries), stats, corpus_stats(stats)), pages).first()
         if not report.ok:
             raise ValueError(f"index differs from its pages: {report.asDict()}")
-        self._commit(segment, True, buckets, stem, totals.n_docs, totals.total_len)
+        self._commit(segment, True, buckets, stem, totals.n_docs, totals.total_len, spread)
         return True
 
     def sync(self, changed: DataFrame, removed_ids: DataFrame | None = None, segment: int | None = None, stem: bool = True) -> None:
@@ -150,10 +176,11 @@ class IndexStore:
             gone = scratch.keep(gone.distinct())
             old = self._before(commits).join(gone, "page_id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
             new = entries.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
-            buckets = self._write_segment(segment, entries, last.buckets if last else None)
+            spread = last.spread if last else spread_of(new[0])
+            buckets = self._write_segment(segment, entries, last.buckets if last else None, spread)
             self._write("removed", segment, gone)
         n, total = (last.n_docs, last.total_len) if last else (0, 0)
-        self._commit(segment, last is None, buckets, stem, n - old[0] + new[0], total - old[1] + new[1])
+        self._commit(segment, last is None, buckets, stem, n - old[0] + new[0], total - old[1] + new[1], spread)
 
     def delete(self, page_ids: DataFrame, pages: DataFrame) -> None:
         """Drop the entries of pages; ``pages`` gives the columns of a page table."""
@@ -164,9 +191,10 @@ class IndexStore:
         totals = index.corpus_stats.first()
         with Scratch(self.spark) as scratch:
             postings, stats = scratch.keep(index.postings.drop("bucket")), scratch.keep(index.doc_stats)
-            buckets = self._write_postings(segment, postings, None)
+            spread = spread_of(totals.n_docs)
+            buckets = self._write_postings(segment, postings, None, spread)
             self._write("doc_stats", segment, stats)
-        self._commit(segment, True, buckets, index.stemmed, totals.n_docs, totals.total_len)
+        self._commit(segment, True, buckets, index.stemmed, totals.n_docs, totals.total_len, spread)
 
     def compact(self) -> None:
         """Fold all segments into one full build."""
@@ -180,30 +208,37 @@ class IndexStore:
         dead = self._read("removed").filter(here).groupBy("page_id").agg(F.max("segment").alias("dead_before"))
         return self._alive(rows, dead) if len(live) > 1 else rows
 
-    def _write_segment(self, segment: int, entries: DataFrame, buckets: int | None) -> int:
+    def _write_segment(self, segment: int, entries: DataFrame, buckets: int | None, spread: int) -> int:
         self._write("doc_stats", segment, entry_stats(entries))
-        return self._write_postings(segment, entry_postings(entries), buckets)
+        return self._write_postings(segment, entry_postings(entries), buckets, spread)
 
-    def _write_postings(self, segment: int, postings: DataFrame, buckets: int | None) -> int:
+    def _write_postings(self, segment: int, postings: DataFrame, buckets: int | None, spread: int) -> int:
         """Vocabulary and postings of a segment; the number of buckets follows from the rows if it is open.
 
-        A word with more than ``PART_ROWS`` postings, or one in ten thousand of all, is dealt in parts.
+        Postings are dealt by range of (bucket, token, block, page), so a frequent word, or a
+        bucket of many rows, takes as many tasks as its rows need, and each file of a bucket
+        holds a stretch of its words.
         """
         self._write("vocabulary", segment, postings.groupBy("token").agg(F.count("*").alias("df")))
         words = self._read("vocabulary").filter(F.col("segment") == segment)
         total = words.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
         buckets = buckets or max(1, min(MOST_BUCKETS, -(-total // BUCKET_ROWS)))
-        part = max(PART_ROWS, total // 10_000)
-        hot = F.broadcast(words.filter(F.col("df") > part).select("token", F.ceil(F.col("df") / part).cast("int").alias("parts")))
-        spread = F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1)))
-        placed = postings.join(hot, "token", "left").withColumns({"bucket": bucket_of("token", buckets), "part": spread}).drop("parts")
-        placed = placed.repartition("bucket", "part").drop("part").sortWithinPartitions("bucket", "token", "page_id", "col")
+        order = ["bucket", "token", "block", "page_id", "col"]
+        placed = postings.withColumns({"bucket": bucket_of("token", buckets), "block": block_of("page_id", "doc_len", spread)})
+        placed = placed.repartitionByRange(self._tasks(total), *order).sortWithinPartitions(*order)
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
         return buckets
 
+    def _tasks(self, total: int) -> int:
+        """Tasks for so many postings: twice as many as their sizes need, as ranges are found from a
+        sample, and at least enough for the cores if there is work for them."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return max(1, -(-2 * total // PART_ROWS), min(2 * cores, total // LEAST_ROWS))
+
     def _write(self, table: str, segment: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{table}/segment={segment}")
 
-    def _commit(self, segment: int, base: bool, buckets: int, stem: bool, n_docs: int, total_len: int) -> None:
-        row = self.spark.createDataFrame([(base, buckets, stem, n_docs, total_len)], "base boolean, buckets int, stemmed boolean, n_docs long, total_len long")
+    def _commit(self, segment: int, base: bool, buckets: int, stem: bool, n_docs: int, total_len: int, spread: int) -> None:
+        kinds = "base boolean, buckets int, stemmed boolean, n_docs long, total_len long, spread int"
+        row = self.spark.createDataFrame([(base, buckets, stem, n_docs, total_len, spread)], kinds)
         self._write("commits", segment, row.coalesce(1))

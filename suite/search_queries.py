@@ -305,6 +305,22 @@ def search_stored(spark, sf_dir):
     return shown(ranked(store.read(), prepare(spark.createDataFrame(rows, CLAUSE_SCHEMA), stem=False)))
 
 
+_WORD_BATCHES = ("search_terms", "search_boolean", "search_columns")
+
+
+def search_best_blocks(spark, sf_dir):
+    """Single words on a stored index with bounds by block; other blocks are not scored."""
+    store = _store(spark, "blocks")
+    store.build(document_texts(spark, sf_dir), stem=False)
+    store.add_bounds()
+    rows = [(100 * k + row[0], *row[1:]) for k, name in enumerate(_WORD_BATCHES) for row in BATCHES[name][0]]
+    return shown(ranked(store.read(), prepare(spark.createDataFrame(rows, CLAUSE_SCHEMA), stem=False)))
+
+
+BEST_BLOCKS_SQL = f"""
+WITH {DOCUMENT_TOKENS}, {sql.scores([(100 * k + p[0], *p[1:]) for k, n in enumerate(_WORD_BATCHES) for p in BATCHES[n][1]])} {sql.TOP}"""
+
+
 def _renumbered() -> list:
     """Phrases of all batches, with query numbers of their own for each batch."""
     return [(100 * k + p[0], *p[1:]) for k, name in enumerate(BATCHES) for p in BATCHES[name][1]]
@@ -400,6 +416,7 @@ QUERIES = {
     "vocabulary_stems": (vocabulary_stems, None),
     "index_sync": (index_sync, INDEX_SYNC_SQL),
     "search_stored": (search_stored, f"WITH {PAGE_TOKENS}, {sql.scores(_renumbered())} {sql.TOP}"),
+    "search_best_blocks": (search_best_blocks, BEST_BLOCKS_SQL),
     "search_many_words": (search_many_words, SEARCH_MANY_SQL),
     "search_limits": (search_limits, f"WITH {PAGE_TOKENS}, {sql.scores(BATCHES['search_terms'][1])} " + sql.TOP.replace("<= 10", "<= 50")),
     "index_segments": (index_segments, INDEX_SYNC_SQL),

@@ -5,8 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.operators import blocks
 from linkloom.operators.index import build_index
 from linkloom.operators.match import CLAUSE_SCHEMA, located, match, prepare
+from linkloom.operators.rank import top_per_query
+from linkloom.plans.search import ranked
 from linkloom.sources import index_store
 from linkloom.sources.index_store import IndexStore
 from suite.search_queries import document_texts
@@ -21,7 +24,7 @@ def docs(spark, sf_dir):
 @pytest.fixture
 def store(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(index_store, "BUCKET_ROWS", 200)
-    monkeypatch.setattr(index_store, "PART_ROWS", 50)
+    monkeypatch.setattr(index_store, "PART_ROWS", 2_000)
     return IndexStore(spark, f"{tmp_path}/index")
 
 
@@ -58,6 +61,54 @@ def test_build_and_prune(spark, store, docs):
     assert got == plain > 0
 
 
+def test_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Many words, a word on most places and long pages: no task writes more than it may."""
+    monkeypatch.setattr(index_store, "PART_ROWS", 4_000)
+    rare = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("w"), (F.col("page_id") * 20 + i).cast("string")))
+    text = F.concat(F.lit("hot "), F.array_join(rare, " "))
+    pages = spark.range(3_000).withColumnRenamed("id", "page_id").select("page_id", F.lit("hot").alias("title"), text.alias("text"), F.lit("").alias("url"))
+    store = IndexStore(spark, f"{tmp_path}/index")
+    store.build(pages, stem=False)
+    files = spark.read.parquet(f"{tmp_path}/index/postings").groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task"))
+    sizes = [r["count"] for r in files.count().collect()]
+    assert sum(sizes) == 3_000 * 22 and max(sizes) <= 4_000 and len(sizes) >= 30
+    assert spark.read.parquet(f"{tmp_path}/index/postings").filter("token = 'hot'").select(F.input_file_name()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("pages_of_block", [2, 30])
+def test_best_blocks(spark, store, docs, monkeypatch, pages_of_block):
+    """The same results as from all matches, with fewer blocks scored."""
+    monkeypatch.setattr(blocks, "BLOCK_PAGES", pages_of_block)
+    store.build(docs, stem=False)
+    assert store.read().bounds is None
+    store.add_bounds()
+    index = store.read()
+    counts = index.vocabulary.orderBy(F.desc("df"), "token").limit(60).collect()
+    words = [r.token for r in counts]
+    rare = [r.token for r in index.vocabulary.filter("df between 2 and 6").orderBy("token").limit(20).collect()]
+    rows = []
+    for q in range(20):
+        rows += [(4 * q, 0, 0, "must", "term", 7, 0, 0, words[q])]
+        rows += [(4 * q + 1, c, c, "must", "term", 7, 0, 0, w) for c, w in enumerate((words[q], rare[q]))]
+        rows += [(4 * q + 2, c, 0, "should", "term", 1 + q % 7, 0, 0, w) for c, w in enumerate((words[q], words[q + 20], rare[q]))]
+        rows += [(4 * q + 3, 0, 0, "must", "term", 7, 0, 0, words[q + 1]), (4 * q + 3, 1, 1, "not", "term", 7, 0, 0, words[q + 30])]
+    terms = prepare(spark.createDataFrame(rows, CLAUSE_SCHEMA), stem=False)
+    assert blocks.can_bound(index, terms) and not blocks.can_bound(build_index(docs, stem=False), terms)
+    for weights, limit, offset in (((1.0, 1.0, 1.0), 10, 0), ((3.0, 1.0, 0.5), 5, 5)):
+        shown = lambda top: sorted((r.query_id, r.place, r.page_id, round(r.score, 9)) for r in top.collect())
+        want = shown(top_per_query(match(index, terms, weights), limit, offset))
+        assert shown(ranked(index, terms, limit, offset, weights)) == want
+    every = blocks.query_blocks(index, located(index, terms), (1.0, 1.0, 1.0))[0]
+    kept = blocks.best(index, located(index, terms), 3, 0)[1]
+    total = index.bounds.table.select("block").distinct().count()
+    assert kept.count() < 0.9 * every.count() and every.filter("query_id % 4 = 1").count() < 20 * total / 2
+    store.sync(docs.limit(3))
+    assert store.read().bounds is None
+    store.compact()
+    store.add_bounds()
+    assert store.read().bounds is not None
+
+
 def test_segments(spark, store, docs):
     assert store.last_segment() == -1 and store.read().postings.count() == 0
     assert not store.build(docs.limit(0))
