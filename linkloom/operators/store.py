@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.urls import canonical_url
 from linkloom.operators.skew import skew_join
+from linkloom.sources.lineage import cut
 
 PAGE_COLUMNS = (
     "page_id", "url", "title", "html", "text", "content_hash", "status_code",
     "fetched_at", "post_date", "post_date_iso", "post_date_seen_at",
 )
+#: A page without its content, which its hash stands for.
+HEAD_COLUMNS = tuple(c for c in PAGE_COLUMNS if c not in ("title", "html", "text"))
 VERSION_COLUMNS = ("page_id", "content_hash", "title", "html", "text", "status_code", "fetched_at")
 LINK_COLUMNS = ("from_page_id", "to_url", "to_page_id", "first_seen_at", "last_seen_at")
 _CONTENT = ("title", "html", "text")
@@ -57,13 +60,13 @@ def _attach_content(narrow: DataFrame, batch: DataFrame, keys: list[str]) -> Dat
     return narrow.join(one, keys)
 
 
-def page_changes(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """New state of the pages touched by a batch of parsed fetches.
+def head_changes(known: DataFrame, batch: DataFrame) -> DataFrame:
+    """New state of the pages touched by a batch of parsed fetches, without their content.
 
     ``change`` tells what happened: new, changed, refreshed (same content) or
-    late (older than the stored fetch).
+    late (older than the stored fetch, whose hash stays).
     """
-    known = current.select(
+    known = known.select(
         "url",
         "page_id",
         F.struct("fetched_at", "content_hash", "status_code").alias("known"),
@@ -85,7 +88,6 @@ def page_changes(current: DataFrame, batch: DataFrame) -> DataFrame:
             "dated.post_date",
             "dated.post_date_iso",
             F.col("dated.fetched_at").alias("post_date_seen_at"),
-            "wins",
             F.when(F.col("known").isNull(), "new")
             .when(~F.col("wins"), "late")
             .when(F.col("known.content_hash") == F.col("content_hash"), "refreshed")
@@ -93,8 +95,15 @@ def page_changes(current: DataFrame, batch: DataFrame) -> DataFrame:
             .alias("change"),
         )
     )
-    fresh = _attach_content(folded.filter("wins"), batch, ["url", "fetched_at", "content_hash"])
-    kept = folded.filter(~F.col("wins")).join(current.select("url", *_CONTENT), "url")
+    return folded.select(*HEAD_COLUMNS, "change")
+
+
+def page_changes(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """``head_changes`` with the content of each page, for tables that hold whole pages."""
+    folded = head_changes(current, batch)
+    late = F.col("change") == "late"
+    fresh = _attach_content(folded.filter(~late), batch, ["url", "fetched_at", "content_hash"])
+    kept = folded.filter(late).join(current.select("url", *_CONTENT), "url")
     return fresh.unionByName(kept).select(*PAGE_COLUMNS, "change")
 
 
@@ -107,19 +116,24 @@ def upsert_pages(current: DataFrame, batch: DataFrame) -> DataFrame:
 
 def upsert_report(current: DataFrame, batch: DataFrame) -> DataFrame:
     """Touched pages by kind of change."""
-    return page_changes(current, batch).groupBy("change").agg(F.count("*").alias("n"))
+    return head_changes(current, batch).groupBy("change").agg(F.count("*").alias("n"))
 
 
-def new_versions(current: DataFrame, batch: DataFrame, pages: DataFrame) -> DataFrame:
-    """Versions a batch adds: the first fetch of each content not seen before."""
+def version_keys(current: DataFrame, batch: DataFrame, pages: DataFrame) -> DataFrame:
+    """Versions a batch adds, without content: the first fetch of each content not seen before."""
     firsts = (
         batch.groupBy("url", "content_hash")
         .agg(F.min(F.struct("fetched_at", F.col("status").alias("status_code"))).alias("f"))
         .select("url", "content_hash", "f.*")
     )
-    unseen = skew_join(firsts, pages.select("url", "page_id"), ["url"], ["content_hash"], "inner").join(
+    return skew_join(firsts, pages.select("url", "page_id"), ["url"], ["content_hash"], "inner").join(
         current.select("page_id", "content_hash"), ["page_id", "content_hash"], "left_anti"
     )
+
+
+def new_versions(current: DataFrame, batch: DataFrame, pages: DataFrame) -> DataFrame:
+    """``version_keys`` with the content of each."""
+    unseen = version_keys(current, batch, pages)
     return _attach_content(unseen, batch, ["url", "content_hash", "fetched_at"]).select(*VERSION_COLUMNS)
 
 
@@ -172,9 +186,14 @@ def backfill(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def upsert_links(current: DataFrame, batch: DataFrame, pages: DataFrame) -> DataFrame:
-    """Link table after a batch; ``pages`` is the page table after it."""
+    """Link table after a batch; ``pages`` is the page table after it.
+
+    Only edges whose target is still open are looked up.
+    """
     sightings = current.select(*LINK_COLUMNS).unionByName(link_sightings(batch, pages))
-    return backfill(fold_links(sightings), pages)
+    folded = cut(fold_links(sightings))
+    open_edges = F.col("to_page_id").isNull()
+    return folded.filter(~open_edges).unionByName(backfill(folded.filter(open_edges), pages))
 
 
 def live_links(links: DataFrame, pages: DataFrame) -> DataFrame:
