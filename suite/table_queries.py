@@ -16,6 +16,7 @@ from linkloom.operators.rank import inbound_counts
 from linkloom.operators.robots import agent_rules, robots_allowed, robots_rules
 from linkloom.sources.lineage import cut, shared_folder
 from linkloom.sources.tables import SCHEMAS, empty, read_table, stream_fetches, write_table
+from linkloom.streaming.sightings import url_sightings
 from linkloom.streaming.ingest import State, current_state, first_seen, start_ingest, stream_throughput
 from suite import fixtures as fixture
 from suite import sql
@@ -525,6 +526,29 @@ def first_seen_urls(spark, sf_dir):
     return _to_files(first_seen(stream, lateness=None).select("url"), spark)
 
 
+def streamed_sightings(spark, sf_dir):
+    """First fetch, last fetch and late fetches of each URL when the last round comes second."""
+    folder = shared_folder(spark, "sightings")
+    columns = [c.split()[0] for c in SCHEMAS["fetch_log"].split(", ")]
+    log = cut(fixture.fetch_log(spark, sf_dir))
+    for rnd in (0, 2, 1):
+        log.filter(F.col("rnd") == rnd).select(*columns).write.mode("append").parquet(f"{folder}/log")
+        seen = url_sightings(stream_fetches(spark, f"{folder}/log"))
+        writer = seen.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+        writer.trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    rows = spark.read.schema(seen.schema).parquet(f"{folder}/rows")
+    return rows.groupBy("url").agg(
+        F.count("*").alias("n_batches"), F.count_if(F.col("event") == "new").alias("n_new"), text(F.min("first_seen")).alias("first_seen"),
+        text(F.max("last_fetch")).alias("last_fetch"), F.sum("n_fetches").alias("n_fetches"), F.sum("n_late").alias("n_late"))
+
+
+SIGHTINGS_SQL = f"""
+WITH {fixture.FETCH_LOG}, f AS (SELECT *, {sql.canonical("url")} AS canonical FROM fetch_log)
+SELECT canonical AS url, count(DISTINCT rnd) AS n_batches, CAST(1 AS BIGINT) AS n_new, {sql.stamp("min(fetched_at)")} AS first_seen,
+  {sql.stamp("max(fetched_at)")} AS last_fetch, count(*) AS n_fetches, count(*) FILTER (rnd = 1) AS n_late
+FROM f WHERE canonical IS NOT NULL GROUP BY 1"""
+
+
 def streamed_windows(spark, sf_dir):
     """Kept fetches of the minutes that are closed when the stream ends."""
     log, _ = ingested(spark, sf_dir)
@@ -644,6 +668,7 @@ QUERIES = {
         FROM (WITH {sql.LINKS} SELECT {_LINK_COLUMNS} FROM links) l JOIN ({PAGES_SQL}) p ON p.page_id = l.from_page_id"""),
     "streamed_index": (streamed_index, STREAMED_INDEX_SQL),
     "first_seen_urls": (first_seen_urls, f"SELECT DISTINCT {sql.canonical('url')} AS url FROM pages"),
+    "streamed_sightings": (streamed_sightings, SIGHTINGS_SQL),
     "streamed_windows": (streamed_windows, f"""WITH {sql.CLEANED}
         SELECT {sql.stamp("time_bucket(INTERVAL 60 SECOND, fetched_at)")} AS window_start, count(*) AS n FROM kept
         GROUP BY time_bucket(INTERVAL 60 SECOND, fetched_at)

@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from linkloom.sources.lineage import Scratch, cut
 from linkloom.sources.tables import SCHEMAS, empty, stream_fetches
 from linkloom.streaming import ingest
 from linkloom.streaming.ingest import State, first_seen, start_ingest, stream_throughput
+from linkloom.streaming.sightings import url_sightings
 from suite import fixtures as fixture
 from tests.test_tables import rows
 
@@ -140,3 +143,24 @@ def test_throughput_windows(spark, log_folder):
     got = {str(r.window_start): r.n for r in got.collect()}
     # The newest windows are still open.
     assert got and got.items() <= want.items()
+
+
+def test_sightings(spark, tmp_path):
+    """New, known and late URLs over restarts, and a notice when a URL falls silent."""
+    base = "http://site/"
+    batches = [[(f"{base}a", 1), (f"{base}a#x", 9), (f"{base}b", 5), ("mailto:x", 5)], [(f"{base}a", 4), (f"{base}c", 60)], [(f"{base}b", 6), (f"{base}c", 400)], [(f"{base}c", 401)]]
+    events = {}
+    for name, options in (("kept", {}), ("silent", {"quiet": timedelta(hours=2), "lateness": "10 minutes"})):
+        for k, batch in enumerate(batches):
+            fetched(spark, [(u, minute, [], "x") for u, minute in batch]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/log")
+            seen = url_sightings(stream_fetches(spark, f"{tmp_path}/{name}/log"), **options)
+            writer = seen.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/{name}/checkpoint")
+            writer.trigger(availableNow=True).start(f"{tmp_path}/{name}/rows").awaitTermination()
+        found = spark.read.schema(seen.schema).parquet(f"{tmp_path}/{name}/rows").collect()
+        minute = lambda t: int((t - datetime(2024, 1, 1)).total_seconds() // 60)
+        events[name] = sorted((r.url[-1], r.event, minute(r.first_seen), minute(r.last_fetch), r.n_fetches, r.n_late) for r in found)
+    kept = [("a", "known", 1, 9, 1, 1), ("a", "new", 1, 9, 2, 0), ("b", "known", 5, 6, 1, 0), ("b", "new", 5, 5, 1, 0),
+            ("c", "known", 60, 400, 1, 0), ("c", "known", 60, 401, 1, 0), ("c", "new", 60, 60, 1, 0)]
+    assert events["kept"] == kept
+    silent = [e for e in events["silent"] if e[1] == "silent"]
+    assert {e[0] for e in silent} == {"a", "b"} and ("a", "silent", 1, 9, 0, 0) in silent
