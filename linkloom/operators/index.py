@@ -31,6 +31,30 @@ class Bounds:
     postings: DataFrame  # those of the index with their bucket and block
 
 
+@dataclass(frozen=True)
+class WordRanges:
+    """The vocabulary in stretches of sorted words, and the first and last word of each."""
+
+    ranges: DataFrame  # segment, range, low, high
+    words: DataFrame  # token, segment, range
+
+    def starting_with(self, heads: DataFrame) -> DataFrame:
+        """Words of the stretches that hold any word that starts with a ``head``.
+
+        A prefix is the interval of words from itself on, so it meets few stretches; at
+        most all of them are fetched here, and the scan reads no other folders.
+        """
+        overlap = (F.col("high") >= F.col("head")) & ((F.col("low") <= F.col("head")) | F.startswith("low", "head"))
+        met = self.ranges.join(F.broadcast(heads.distinct()), overlap).select("segment", "range").distinct().collect()
+        by_segment: dict[int, list[int]] = {}
+        for r in met:
+            by_segment.setdefault(r.segment, []).append(r.range)
+        here = F.lit(False)
+        for segment, ranges in sorted(by_segment.items()):
+            here = here | ((F.col("segment") == segment) & F.col("range").isin(*sorted(ranges)))
+        return self.words.filter(here).select("token").distinct()
+
+
 @dataclass(frozen=True)
 class Index:
     """The tables of a full-text index over (title, text, url).
@@ -46,6 +70,7 @@ class Index:
     vocabulary: DataFrame | None = None  # token, df
     buckets: int | None = None
     bounds: Bounds | None = None
+    words: WordRanges | None = None
 
 
 def bucket_of(token: Column | str, buckets: int) -> Column:

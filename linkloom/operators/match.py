@@ -137,12 +137,17 @@ def prepare(clauses: DataFrame, stem: bool = True) -> Terms:
 def located(index: Index, terms: Terms) -> Terms:
     """Terms with prefixes replaced by the words of the vocabulary, and the buckets they lie in.
 
-    A prefix is looked up among the distinct words, never among the postings. The
-    buckets of any number of words are at most those of the index.
+    A prefix is looked up among the distinct words, never among the postings; in a stored
+    index only among stretches of sorted words that it can meet, unless the batch is large.
+    The buckets of any number of words are at most those of the index.
     """
     rows, small = terms.rows, terms.small
     if terms.prefix_lengths:
-        words = index.vocabulary if index.vocabulary is not None else index.postings.select("token").distinct()
+        if index.words is not None and small:
+            words = index.words.starting_with(rows.filter("is_prefix").select(F.col("token").alias("head")))
+        else:
+            words = index.vocabulary if index.vocabulary is not None else index.postings.select("token")
+            words = words.select("token").distinct()
         starts = F.array(*(F.left("token", F.lit(n)) for n in terms.prefix_lengths))
         # A short word yields itself for several lengths.
         heads = words.select("token", F.explode(F.array_distinct(starts)).alias("head"))

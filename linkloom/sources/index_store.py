@@ -2,7 +2,8 @@
 
     postings/segment=n/bucket=b   sorted by token, block, page and column
     bounds/segment=n/bucket=b     bounds of words by block of pages, if asked for
-    vocabulary/segment=n          token, df
+    vocabulary/segment=n/range=r  token, df: stretches of the sorted words
+    word_ranges/segment=n         first and last word of each stretch
     doc_stats/segment=n           one row per page
     removed/segment=n             pages whose entries in earlier segments are dead
     commits/segment=n             one row: base or delta, buckets, analyzer, corpus totals
@@ -25,6 +26,7 @@ from linkloom.operators.blocks import block_bounds, block_of, spread_of
 from linkloom.operators.index import (
     Bounds,
     Index,
+    WordRanges,
     bucket_of,
     corpus_stats,
     entry_postings,
@@ -39,6 +41,8 @@ from linkloom.sources.lineage import Scratch
 BUCKET_ROWS, PART_ROWS = 2_000_000, 1_000_000
 #: Most folders of a segment; a bucket has as many files as its postings need.
 MOST_BUCKETS = 16_384
+#: Words of a stretch of the vocabulary.
+RANGE_WORDS = 100_000
 #: Fewest postings that are worth a task of their own.
 LEAST_ROWS = 50_000
 #: Tombstones that are broadcast; more are joined by a shuffle.
@@ -47,7 +51,8 @@ MOST_BROADCAST = 1_000_000
 _POSTINGS = "token string, page_id long, col tinyint, tf int, doc_len int, positions array<int>, block int, segment long, bucket int"
 _SCHEMAS = {
     "postings": _POSTINGS,
-    "vocabulary": "token string, df long, segment long",
+    "vocabulary": "token string, df long, segment long, range int",
+    "word_ranges": "range int, low string, high string, segment long",
     "doc_stats": "page_id long, len_title int, len_text int, len_url int, doc_len int, segment long",
     "removed": "page_id long, segment long",
     "bounds": "token string, block int, max_tf long, min_len int, n_rows long, n_pages array<long>, segment long, bucket int",
@@ -93,6 +98,7 @@ class IndexStore:
         live = [r.segment for r in commits]
         here = F.col("segment").isin(*live) if live else F.lit(False)
         postings, stats, words = (self._read(t).filter(here) for t in ("postings", "doc_stats", "vocabulary"))
+        ranges = WordRanges(self._read("word_ranges").filter(here), words.select("token", "segment", "range"))
         if len(live) > 1:
             dead = self._read("removed").filter(here).groupBy("page_id").agg(F.max("segment").alias("dead_before"))
             dead = dead.cache()
@@ -105,7 +111,7 @@ class IndexStore:
         corpus = self.spark.createDataFrame(totals, "n_docs long, total_len long")
         corpus = corpus.withColumn("avg_len", F.try_divide(F.col("total_len").cast("double"), F.col("n_docs")))
         return Index(
-            postings.drop("segment", "block"), stats.drop("segment"), corpus, last.stemmed if last else True, words.drop("segment"), last.buckets if last else 1, bounds
+            postings.drop("segment", "block"), stats.drop("segment"), corpus, last.stemmed if last else True, words.select("token", "df"), last.buckets if last else 1, bounds, ranges
         )
 
     def _bounds(self, segment: int, postings: DataFrame) -> Bounds | None:
@@ -219,9 +225,10 @@ class IndexStore:
         bucket of many rows, takes as many tasks as its rows need, and each file of a bucket
         holds a stretch of its words.
         """
-        self._write("vocabulary", segment, postings.groupBy("token").agg(F.count("*").alias("df")))
-        words = self._read("vocabulary").filter(F.col("segment") == segment)
-        total = words.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        with Scratch(self.spark) as scratch:
+            words = scratch.keep(postings.groupBy("token").agg(F.count("*").alias("df")))
+            n_words, total = words.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+            self._write_words(segment, words, n_words)
         buckets = buckets or max(1, min(MOST_BUCKETS, -(-total // BUCKET_ROWS)))
         order = ["bucket", "token", "block", "page_id", "col"]
         placed = postings.withColumns({"bucket": bucket_of("token", buckets), "block": block_of("page_id", "doc_len", spread)})
@@ -229,6 +236,14 @@ class IndexStore:
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
         return buckets
 
+    def _write_words(self, segment: int, words: DataFrame, n_words: int) -> None:
+        """Words in sorted stretches, one for each task, and the bounds of these."""
+        dealt = words.repartitionByRange(max(1, -(-n_words // RANGE_WORDS)), "token").sortWithinPartitions("token")
+        dealt = dealt.withColumn("range", F.spark_partition_id())
+        dealt.write.mode("overwrite").partitionBy("range").parquet(f"{self.folder}/vocabulary/segment={segment}")
+        here = self._read("vocabulary").filter(F.col("segment") == segment)
+        self._write("word_ranges", segment, here.groupBy("range").agg(F.min("token").alias("low"), F.max("token").alias("high")).coalesce(1))
+
     def _tasks(self, total: int) -> int:
         """Tasks for so many postings: twice as many as their sizes need, as ranges are found from a
         sample, and at least enough for the cores if there is work for them."""

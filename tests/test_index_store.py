@@ -61,6 +61,24 @@ def test_build_and_prune(spark, store, docs):
     assert got == plain > 0
 
 
+def test_prefixes_meet_few_ranges(spark, store, docs, monkeypatch):
+    """A prefix reads the stretches of the vocabulary it can meet, in every segment; the words are all that fit."""
+    monkeypatch.setattr(index_store, "RANGE_WORDS", 100)
+    store.build(docs.filter("page_id % 2 = 0"), stem=False)
+    store.sync(docs.filter("page_id % 2 = 1"))
+    index = store.read()
+    words = [r.token for r in index.vocabulary.collect()]
+    n_ranges = index.words.ranges.count()
+    assert n_ranges > 20 and index.words.ranges.filter("low > high").count() == 0
+    for heads in (["a"], ["the", "über", "zz"], [words[0], max(words)], ["\U0010ffff"], [""]):
+        found = index.words.starting_with(spark.createDataFrame([(h,) for h in heads], "head string"))
+        got = {r.token for r in found.collect()}
+        want = {w for w in words if any(w.startswith(h) for h in heads)}
+        assert want <= got and (heads == [""] or len(got) <= len(want) + 4 * 2 * 150 * len(heads))
+    plan = index.words.starting_with(spark.createDataFrame([("the",)], "head string"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*range", plan)
+
+
 def test_files_are_bounded(spark, tmp_path, monkeypatch):
     """Many words, a word on most places and long pages: no task writes more than it may."""
     monkeypatch.setattr(index_store, "PART_ROWS", 4_000)
