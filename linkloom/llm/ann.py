@@ -58,7 +58,13 @@ def vectors(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return rows.filter(F.size("vec") == (common.d if common else 0))
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither overflow nor vanish; directions stay as they are."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1]) if rows.size else rows
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = _scaled(rows)
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
@@ -131,7 +137,7 @@ class Block:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, rotation: np.ndarray):
         keys = np.concatenate([ids.astype(np.int64)[:, None], np.ascontiguousarray(rows).view(np.int64)], axis=1)
         alone = np.sort(np.unique(np.ascontiguousarray(keys).view(f"V{keys.shape[1] * 8}").ravel(), return_index=True)[1])
-        self.ids, self.rows = ids, rows = ids[alone], rows[alone]  # repeated rows once
+        self.ids, self.rows = ids, rows = ids[alone], _scaled(rows[alone])  # repeated rows once
         self.repeats = len(np.unique(ids)) < len(ids)
         self.length = np.sqrt((rows * rows).sum(axis=1))
         turned = (rows / self.length[:, None]) @ rotation
@@ -173,6 +179,7 @@ def _scan(lists: Lists, k: int) -> Callable:
     d = lists.rotation.shape[0]
 
     def found(block: Block, ids: list[int], rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = _scaled(rows)
         turned = _unit(rows) @ lists.rotation
         for at in range(0, len(ids), 512):
             hits = [(q, *block.nearest(q, rows[i], turned[i], k)) for i, q in enumerate(ids[at : at + 512], at)]

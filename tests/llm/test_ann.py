@@ -83,3 +83,19 @@ def test_few_rows_in_the_probed_list(spark, monkeypatch):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1])] + [(i, [0.1, float(i)]) for i in range(2, 6)] + [(i, [-1.0, 0.0]) for i in range(6, 9)]
     got = ann.search(spark.createDataFrame(rows * 2, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5)
     assert [r.vec_id for r in got.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_tiny_and_huge_vectors(spark):
+    """Finite vectors whose squares vanish or overflow take part with their true cosines, and empty no other result."""
+    rng = np.random.default_rng(2)
+    plain = {i: rng.standard_normal(8) for i in range(300)}
+    sizes = {0: 1e-200, 7: 1e-310, 50: 1e200, 51: 1e-200, 100: 1e-310, 150: 1e300, 13: 1e200}
+    rows = [(i, (v * sizes.get(i, 1.0)).tolist()) for i, v in plain.items()]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 50 == 0, k=5).collect()
+    want = brute([(i, v.tolist()) for i, v in plain.items()], 5)
+    assert len(got) == 5 * len(want) == 30
+    cosine = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
+    assert all(abs(r.score - cosine(plain[r.query_id], plain[r.vec_id])) < 1e-9 for r in got)
+    assert sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) >= 0.9 * len(got)
+    few = ann.search(spark.createDataFrame(rows[:4] + rows[50:51], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=5)
+    assert {r["count"] for r in few.groupBy("query_id").count().collect()} == {4}
