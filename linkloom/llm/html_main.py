@@ -43,12 +43,17 @@ _BLOCKS = set(
 _NEVER = set("aside button datalist dialog fieldset footer form head header iframe input label menu nav noscript option script search select style svg template textarea title".split())
 _CLOSES_P = _BLOCKS - {"body", "html", "head"}
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sidebars?|menus?|nav|navbar|navigation|cookies?|notices?|consent|gdpr|newsletter|promo\w*|sponsor\w*|share|sharing|social|related|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sidebars?|menus?|nav|navbar|navigation|cookies?|notices?|consent|gdpr|newsletter|promo\w*|sponsor\w*|share|sharing|social|"
     r"recommend\w*|comments?|respond|replies|disqus|breadcrumbs?|footer|masthead|header|popup|modal|overlay|subscribe|login|signup|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: "related" says so little beside other words that only these forms count.
+_RELATED = re.compile(r"(?:^|\s)related(?:[_-]?(?:posts?|articles?|stories|links|content|items|news|pages|reading))?(?:$|\s)", re.IGNORECASE)
+#: Names that say what an element has or lacks, not what it is.
+_ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*", re.IGNORECASE)
 _ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.DOTALL)
+#: A tag whose quotes do not close ends at the next bracket; nothing is read twice for it.
+_TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|$)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.IGNORECASE)
 
 #: Where a block lies: in a declared article, in an element that is never text, or neither.
@@ -63,7 +68,11 @@ def _never(name: str, attributes: str) -> bool:
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
         value, key = "".join(values), key.lower()
-        if key in ("class", "id") and _NAMED.search(value) or key == "role" and value.lower() in _ROLES:
+        if key in ("class", "id"):
+            named = _ABOUT.sub("", value)
+            if _NAMED.search(named) or _RELATED.search(named):
+                return True
+        if key == "role" and value.lower() in _ROLES:
             return True
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
@@ -76,19 +85,21 @@ def blocks(page: str) -> list[Block]:
     Unclosed, crossed and cut-off tags are tolerated: an end tag closes everything
     down to its start tag, or nothing if there is none, and a block element closes
     an open paragraph. Text in an article counts as inside it, in a main element
-    only if the page has no article.
+    only if the page has no article. An inline element that is never text leaves the
+    rest of its block together.
     """
     found: list[tuple[str, int, int, int]] = []
-    pieces: list[str] = []
+    pieces: list[tuple[str, bool]] = []
     stack: list[tuple[str, int]] = []
     depth = {"never": 0, "article": 0, "main": 0}
     paragraph = at = 0
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(pieces)).split())
+        for hidden in (False, True):
+            text = " ".join(html.unescape("".join(t for t, h in pieces if h == hidden)).split())
+            if text:
+                found.append((text, int(hidden), depth["article"], depth["main"]))
         pieces.clear()
-        if text:
-            found.append((text, depth["never"], depth["article"], depth["main"]))
 
     def marks(name: str, never: int) -> Iterator[str]:
         if never:
@@ -106,7 +117,7 @@ def blocks(page: str) -> list[Block]:
 
     while m := _TAG.search(page, at):
         if m.start() > at:
-            pieces.append(page[at : m.start()])
+            pieces.append((page[at : m.start()], depth["never"] > 0))
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -114,7 +125,7 @@ def blocks(page: str) -> list[Block]:
         if name in _BLOCKS or name in _RAW:
             flush()
         elif name == "br":
-            pieces.append(" ")
+            pieces.append((" ", depth["never"] > 0))
         if m[1]:
             for back, (open_, _) in enumerate(reversed(stack), 1):
                 if open_ == name:
@@ -134,8 +145,7 @@ def blocks(page: str) -> list[Block]:
         paragraph += name == "p"
         for mark in marks(name, never):
             depth[mark] += 1
-    rest = page[at:]
-    pieces.append(rest)
+    pieces.append((page[at:], depth["never"] > 0))
     flush()
     articles = any(article and not never for _, never, article, _ in found)
     return [(text, NEVER if never else INSIDE if (article if articles else main) else FREE) for text, never, article, main in found]

@@ -2,6 +2,7 @@
 
 import html as entities
 import re
+import time
 
 import numpy as np
 
@@ -25,6 +26,24 @@ def test_declared_articles():
     assert text("<ul><li>a<li>b</ul></div></div>plain &am; &#233;&nbsp;x") == "a\n\nb\n\nplain &am; é x"
 
 
+def test_names_and_inline_elements():
+    assert text('<div class="content has-sidebar"><article><p>a</p></article></div>') == "a"
+    assert text('<article class="post no-comments with_share"><section class="related-work">b</section></article>') == "b"
+    assert text('<article><p>a</p><div class="related-posts">no</div><ul class="x related">no</ul></article>') == "a"
+    assert text('<article><p>a</p><button>Share</button><p>b <label>no</label>c<span class="advert">no</span> d</p></article>') == "a\n\nb c d"
+
+
+def test_broken_markup_takes_linear_time():
+    """Quotes that never close, tags and comments without an end, on a megabyte each."""
+    for broken in ('<a "', "<a '", "<a ", "<!--", "<", "<p class=", '<a x="'):
+        page = "<article>text</article>" + broken * ((1 << 20) // len(broken))
+        start = time.perf_counter()
+        assert text(page).startswith("text")
+        assert text(page + '"').startswith("text")
+        assert time.perf_counter() - start < 10
+    assert text('<article><a href="x>one</a><p>two</p></article>').endswith("two")
+
+
 def test_suffix_windows_equal_a_plain_count():
     rng = np.random.default_rng(3)
     streams = [rng.integers(0, 3, n).astype(np.uint64) for n in (40, 25, 7, 6, 90)]
