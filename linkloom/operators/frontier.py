@@ -11,6 +11,8 @@ from linkloom.operators.skew import skew_join
 from linkloom.sources.lineage import cut
 
 MAX_PAGES = 4_000
+#: Hosts of the seeds that are broadcast.
+MOST_BROADCAST = 1_000_000
 _FOLD_LEVELS = 10  # levels after which the list of visited pages is written as one
 
 
@@ -27,8 +29,12 @@ def allowed_hosts(urls: DataFrame, seeds: DataFrame, same_host: bool = True) ->
     urls = urls.filter(F.col("url") != "")
     if not same_host:
         return urls
-    hosts = seeds.select(netloc("url").alias("host")).distinct()
-    return urls.join(hosts, netloc("url") == F.col("host"), "left_semi")
+    hosts = cut(seeds.select(netloc("url").alias("host")).distinct())
+    if hosts.count() <= MOST_BROADCAST:
+        return urls.join(F.broadcast(hosts), netloc("url") == F.col("host"), "left_semi")
+    # A host may have most of the URLs.
+    found = skew_join(urls.withColumn("_host", netloc("url")), hosts.withColumnRenamed("host", "_host"), ["_host"], ["url"], "inner")
+    return found.select(*urls.columns)
 
 
 def unseen(candidates: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:

@@ -155,8 +155,11 @@ robots AS (
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three page URLs."""
-    return table(spark, sf_dir, "pages").filter("page_id < 3").select("url")
+    """The first three page URLs, and six seeds of no use: other schemes, no host, nothing."""
+    pages = table(spark, sf_dir, "pages").filter("page_id < 3")
+    useless = F.explode(F.array(F.concat(F.lit("mailto:"), "url"), F.replace("url", F.lit("http"), F.lit("ftp"))))
+    useless = pages.filter("page_id < 2").select(useless.alias("url")).unionByName(pages.filter("page_id = 2").select(F.explode(F.array(F.lit("http://"), F.lit(None).cast("string"))).alias("url")))
+    return pages.select("url").unionByName(useless)
 
 
 def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

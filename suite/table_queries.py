@@ -378,6 +378,17 @@ def robots_check(spark, sf_dir):
     return named.unionByName(other).select("page_id", "agent", "allowed")
 
 
+def robots_longest(spark, sf_dir):
+    """The longest matching rule counts: files with their rules in the opposite order."""
+    body = F.replace("body", F.lit("Allow: /en/1\nDisallow: /en/\n"), F.lit("Disallow: /en/\nAllow: /en/1\n"))
+    sites = fixture.robots(spark, sf_dir).withColumn("body", body)
+    urls = table(spark, sf_dir, "pages").select("page_id", F.col("url"))
+    named, other = (
+        robots_allowed(urls, agent_rules(sites, agent), match="longest").withColumn("agent", F.lit(name)) for agent, name in ((AGENT, "sitebot"), ("other/1.0", "other"))
+    )
+    return named.unionByName(other).select("page_id", "agent", "allowed")
+
+
 _VERDICT = (
     "CASE WHEN status IS NULL OR status = 404 THEN true WHEN status IN (403, 503) THEN false"
     " WHEN contains(body, '/de/') THEN NOT starts_with(path, '/de/')"
@@ -656,6 +667,7 @@ QUERIES = {
     "frontier_unseen": (frontier_unseen, f"WITH {sql.LINKS} SELECT DISTINCT to_url AS url FROM links WHERE to_url NOT IN (SELECT url FROM stored)"),
     "robots_rules": (robots_rule_table, ROBOTS_RULES_SQL),
     "robots_check": (robots_check, ROBOTS_CHECK_SQL),
+    "robots_longest": (robots_longest, ROBOTS_CHECK_SQL),
     "reachable_pages": (reachable_pages, REACHABLE_SQL),
     "reachable_same_host": (reachable_same_host, REACHABLE_HOST_SQL),
     "reachable_some": (reachable_some, REACHABLE_SOME_SQL),
