@@ -354,14 +354,15 @@ def scored(index: Index, terms: Terms, hits: DataFrame, frequency: DataFrame) ->
         hits.join(known, list(PHRASE))
         .groupBy("query_id", "page_id")
         .agg(
-            F.sum(F.when(positive, -part)).alias("score"),
+            # Added in one order whatever the plan, so that equal pages tie.
+            F.sort_array(F.collect_list(F.when(positive, -part))).alias("parts"),
             # One entry per group of the query at most.
             F.size(F.collect_set(F.when(positive, F.col("group_id")))).alias("groups"),
             F.max("n_groups").alias("n_groups"),
             F.max(present & (F.col("op") == "not")).alias("excluded"),
         )
         .filter((F.col("groups") == F.col("n_groups")) & ~F.col("excluded"))
-        .select("query_id", "page_id", "score")
+        .select("query_id", "page_id", F.aggregate("parts", F.lit(0.0), lambda score, x: score + x).alias("score"))
     )
 
 
