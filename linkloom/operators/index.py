@@ -64,7 +64,7 @@ class Index:
     """
 
     postings: DataFrame  # token, page_id, col, tf, doc_len, positions
-    doc_stats: DataFrame  # page_id, len_title, len_text, len_url, doc_len
+    doc_stats: DataFrame  # page_id, digest, len_title, len_text, len_url, doc_len
     corpus_stats: DataFrame  # n_docs, total_len, avg_len
     stemmed: bool = True
     vocabulary: DataFrame | None = None  # token, df
@@ -77,11 +77,40 @@ def bucket_of(token: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def page_digest() -> Column:
+    """Hash of what a page is indexed by; a column that is null counts as empty."""
+    return F.xxhash64(*(F.coalesce(F.col(c), F.lit("")) for c in COLUMNS))
+
+
+#: Parts of the pages, by a hash of their id, that have a checksum each.
+CHECK_PARTS = 4096
+
+
+def check_part(page_id: Column | str) -> Column:
+    return F.pmod(F.xxhash64(page_id), F.lit(CHECK_PARTS)).cast("int")
+
+
+def checksums(rows: DataFrame, sign: int = 1) -> DataFrame:
+    """part, n, total, mix of rows (page_id, digest): number, sum and xor of their hashes, in any order.
+
+    Those of rows that go, with sign -1, are added like others.
+    """
+    one = F.xxhash64("page_id", "digest")
+    return rows.groupBy(check_part("page_id").alias("part")).agg(
+        (F.count("*") * sign).alias("n"), (F.sum(one.cast("decimal(38,0)")) * sign).cast("decimal(38,0)").alias("total"), F.bit_xor(one).alias("mix")
+    )
+
+
+def add_checksums(sums: DataFrame) -> DataFrame:
+    """One row per part of several lists of checksums."""
+    return sums.groupBy("part").agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(38,0)").alias("total"), F.bit_xor("mix").alias("mix"))
+
+
 def analyzed(pages: DataFrame, stem: bool = True) -> DataFrame:
-    """One row per page with the token list of each column."""
-    lists = pages.select("page_id", *(tokenize(c).alias(c) for c in COLUMNS))
+    """One row per page with its digest and the token list of each column."""
+    lists = pages.select("page_id", page_digest().alias("digest"), *(tokenize(c).alias(c) for c in COLUMNS))
     if stem:
-        lists = lists.select("page_id", *(stem_tokens(F.col(c)).alias(c) for c in COLUMNS))
+        lists = lists.select("page_id", "digest", *(stem_tokens(F.col(c)).alias(c) for c in COLUMNS))
     return lists
 
 
@@ -129,11 +158,11 @@ def page_entries(pages: DataFrame, stem: bool = True) -> DataFrame:
     entries = F.array(
         *(F.struct(F.lit(i).cast("tinyint").alias("col"), group(F.col(c)).alias("g")) for i, c in enumerate(COLUMNS))
     )
-    return lists.select("page_id", *lengths, doc_len, entries.alias("entries"))
+    return lists.select("page_id", "digest", *lengths, doc_len, entries.alias("entries"))
 
 
 def entry_stats(entries: DataFrame) -> DataFrame:
-    return entries.select("page_id", *(f"len_{c}" for c in COLUMNS), "doc_len")
+    return entries.select("page_id", "digest", *(f"len_{c}" for c in COLUMNS), "doc_len")
 
 
 def entry_postings(entries: DataFrame) -> DataFrame:
@@ -161,7 +190,7 @@ def build_index(pages: DataFrame, stem: bool = True) -> Index:
     group = group_stems if stem else group_tokens
     lists = analyzed(pages, stem=False)
     grouped = _by_column(lists).select("page_id", "doc_len", "col", group(F.col("tokens")).alias("g"))
-    stats = lists.select("page_id", *(F.size(c).alias(f"len_{c}") for c in COLUMNS))
+    stats = lists.select("page_id", "digest", *(F.size(c).alias(f"len_{c}") for c in COLUMNS))
     stats = stats.withColumn("doc_len", sum((F.col(f"len_{c}") for c in COLUMNS), F.lit(0)))
     return Index(_postings(grouped), stats, corpus_stats(stats), stem)
 

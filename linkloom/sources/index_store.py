@@ -5,6 +5,7 @@
     vocabulary/segment=n/range=r  token, df: stretches of the sorted words
     word_ranges/segment=n         first and last word of each stretch
     doc_stats/segment=n           one row per page
+    checksums/segment=n           checksums of the pages a segment adds, less those it replaces
     removed/segment=n             pages whose entries in earlier segments are dead
     commits/segment=n             one row: base or delta, buckets, analyzer, corpus totals
 
@@ -27,10 +28,14 @@ from linkloom.operators.index import (
     Bounds,
     Index,
     WordRanges,
+    add_checksums,
     bucket_of,
+    check_part,
+    checksums,
     corpus_stats,
     entry_postings,
     entry_stats,
+    page_digest,
     page_entries,
     verify_index,
 )
@@ -53,7 +58,8 @@ _SCHEMAS = {
     "postings": _POSTINGS,
     "vocabulary": "token string, df long, segment long, range int",
     "word_ranges": "range int, low string, high string, segment long",
-    "doc_stats": "page_id long, len_title int, len_text int, len_url int, doc_len int, segment long",
+    "checksums": "part int, n long, total decimal(38,0), mix long, segment long",
+    "doc_stats": "page_id long, digest long, len_title int, len_text int, len_url int, doc_len int, segment long",
     "removed": "page_id long, segment long",
     "bounds": "token string, block int, max_tf long, min_len int, n_rows long, n_pages array<long>, segment long, bucket int",
     "commits": "base boolean, buckets int, stemmed boolean, n_docs long, total_len long, spread int, segment long",
@@ -137,6 +143,25 @@ class IndexStore:
         marked = rows.join(dead, "page_id", "left")
         return marked.filter(F.col("dead_before").isNull() | (F.col("segment") >= F.col("dead_before"))).drop("dead_before")
 
+    def differing(self, pages: DataFrame) -> DataFrame:
+        """page_id and problem of what differs from the pages: not indexed, page missing, or stale content.
+
+        The pages are hashed where they are and added up by part; the statistics of the
+        index are opened only for parts whose checksums differ.
+        """
+        live = [r.segment for r in self._commits()]
+        known = self._read("checksums").filter(F.col("segment").isin(*live) if live else F.lit(False)).drop("segment")
+        now = pages.select("page_id", page_digest().alias("digest"))
+        left = add_checksums(known.unionByName(checksums(now, -1))).filter("n <> 0 or total <> 0 or mix <> 0")
+        parts = sorted(r.part for r in left.select("part").collect())  # CHECK_PARTS at most
+        here = check_part("page_id").isin(*parts) if parts else F.lit(False)
+        indexed = self.read().doc_stats.filter(here).select("page_id", F.col("digest").alias("indexed"), F.lit(True).alias("known"))
+        both = now.filter(here).withColumn("stored", F.lit(True)).join(indexed, "page_id", "full")
+        problem = (
+            F.when(F.col("known").isNull(), "not indexed").when(F.col("stored").isNull(), "page missing").when(~F.col("digest").eqNullSafe(F.col("indexed")), "stale")
+        )
+        return both.select("page_id", problem.alias("problem")).filter("problem is not null")
+
     # writing
 
     def build(self, pages: DataFrame, stem: bool = True, segment: int | None = None) -> bool:
@@ -155,6 +180,7 @@ class IndexStore:
             spread = spread_of(entries.count())
             buckets = self._write_segment(segment, entries, None, spread)
             stats = self._read("doc_stats").filter(F.col("segment") == segment).drop("segment")
+            self._write("checksums", segment, checksums(stats))
             totals = corpus_stats(stats).first()
             report = verify_index(Index(entry_postings(entries), stats, corpus_stats(stats)), pages).first()
         if not report.ok:
@@ -180,7 +206,9 @@ class IndexStore:
             if removed_ids is not None:
                 gone = gone.unionByName(removed_ids.select(F.col("page_id").cast("long")))
             gone = scratch.keep(gone.distinct())
-            old = self._before(commits).join(gone, "page_id", "left_semi").agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+            replaced = scratch.keep(self._before(commits).join(gone, "page_id", "left_semi"))
+            old = replaced.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+            self._write("checksums", segment, add_checksums(checksums(entries).unionByName(checksums(replaced, -1))))
             new = entries.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
             spread = last.spread if last else spread_of(new[0])
             buckets = self._write_segment(segment, entries, last.buckets if last else None, spread)
@@ -200,6 +228,7 @@ class IndexStore:
             spread = spread_of(totals.n_docs)
             buckets = self._write_postings(segment, postings, None, spread)
             self._write("doc_stats", segment, stats)
+            self._write("checksums", segment, checksums(stats))
         self._commit(segment, True, buckets, index.stemmed, totals.n_docs, totals.total_len, spread)
 
     def compact(self) -> None:

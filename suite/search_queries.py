@@ -241,7 +241,7 @@ FROM tok GROUP BY token, page_id, col"""
 
 
 def doc_stats(spark, sf_dir):
-    return build_index(document_texts(spark, sf_dir), stem=False).doc_stats
+    return build_index(document_texts(spark, sf_dir), stem=False).doc_stats.drop("digest")
 
 
 DOC_STATS_SQL = f"""
@@ -370,6 +370,21 @@ def index_segments(spark, sf_dir):
     return _summed(store.read().postings)
 
 
+def index_differences(spark, sf_dir):
+    """An index of two segments against documents that came, went and changed since."""
+    docs = document_texts(spark, sf_dir)
+    store = _store(spark, "differences")
+    store.build(docs.filter("page_id % 3 <> 0"), stem=False)
+    store.sync(docs.filter("page_id % 3 = 0 and page_id % 50 <> 0"))
+    now = docs.filter("page_id % 70 <> 1").withColumn("text", F.when(F.col("page_id") % 90 == 2, "changed since").otherwise(F.col("text")))
+    return store.differing(now)
+
+
+DIFFERENCES_SQL = """
+SELECT doc_id AS page_id, CASE WHEN doc_id % 70 = 1 THEN 'page missing' WHEN doc_id % 150 = 0 THEN 'not indexed' ELSE 'stale' END AS problem
+FROM documents WHERE doc_id % 70 = 1 AND doc_id % 150 <> 0 OR doc_id % 70 <> 1 AND (doc_id % 150 = 0 OR doc_id % 90 = 2)"""
+
+
 def reindexed(spark, sf_dir):
     """A full build over an older one, then all segments folded."""
     docs = document_texts(spark, sf_dir).filter("page_id % 5 <> 4")
@@ -425,5 +440,6 @@ QUERIES = {
         SELECT count(*) AS n_pages, count(*) FILTER (doc_id % 5 <> 4) AS n_indexed, count(*) FILTER (doc_id % 5 = 4) AS n_missing,
           CAST(0 AS BIGINT) AS n_orphaned, count(*) FILTER (doc_id % 5 = 4) AS n_different,
           count(*) FILTER (doc_id % 5 = 4) = 0 AS ok FROM documents"""),
+    "index_differences": (index_differences, DIFFERENCES_SQL),
     "index_gaps": (index_gaps, "SELECT doc_id AS page_id, 'not indexed' AS problem FROM documents WHERE doc_id % 5 = 4"),
 }

@@ -141,9 +141,15 @@ def test_segments(spark, store, docs):
     store.delete(docs.filter("page_id % 5 = 3").select("page_id"), docs)
     want = build_index(docs.filter("page_id % 5 < 3"), stem=False)
     same(store.read(), want)
+    assert store.differing(docs.filter("page_id % 5 < 3")).count() == 0
     store.compact()
     same(store.read(), want)
     assert store.last_segment() == 4
+    now = docs.filter("page_id % 5 < 3 and page_id <> 5").withColumn("title", F.when(F.col("page_id") == 6, "new").otherwise(F.col("title")))
+    now = now.unionByName(docs.filter("page_id = 3"))
+    found = store.differing(now)
+    assert {(r.page_id, r.problem) for r in found.collect()} == {(5, "page missing"), (6, "stale"), (3, "not indexed")}
+    assert store.differing(docs.limit(0)).count() == want.doc_stats.count()
 
 
 def test_failed_build_changes_nothing(spark, store, docs, monkeypatch):
