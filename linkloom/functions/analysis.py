@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -178,6 +179,23 @@ _GROUPS = T.ArrayType(
 )
 
 
+#: Tokens that are coded and sorted at a time, about; a list is never split.
+SLICE_TOKENS = 100_000
+
+
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of rows with about ``SLICE_TOKENS`` tokens each.
+
+    Memory follows the run and the longest row, not the rows of an Arrow batch.
+    """
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, "right")))
+        yield start, stop
+        start = stop
+
+
 @F.arrow_udf(_TOKENS)
 def stem_tokens(tokens: pa.Array) -> pa.Array:
     """Stems of token lists."""
@@ -188,7 +206,7 @@ def stem_tokens(tokens: pa.Array) -> pa.Array:
 def _grouped(lists: pa.Array, stem: bool) -> pa.Array:
     """For each list its distinct tokens with their ascending positions.
 
-    One sort of (list, token code) per batch, all of it vectorized.
+    One sort of (list, token code) for all of them, vectorized.
     """
     words, codes = _encoded(lists, stem)
     sizes = _sizes(lists)
@@ -208,16 +226,27 @@ def _grouped(lists: pa.Array, stem: bool) -> pa.Array:
     return pa.ListArray.from_arrays(_offsets(per_list), groups)
 
 
-@F.arrow_udf(_GROUPS)
-def group_tokens(tokens: pa.Array) -> pa.Array:
-    """Distinct tokens of each list with their positions."""
-    return _grouped(tokens, stem=False)
+def _grouped_columns(batches: Iterator[pa.Array], stem: bool) -> Iterator[pa.Array]:
+    """Groups of each list of lists, slice by slice: ``[[a, b], [a]]`` gives those of both lists."""
+    for batch in batches:
+        inner = _sizes(batch.flatten())
+        tokens = np.concatenate([[0], np.cumsum(inner)])[np.concatenate([[0], np.cumsum(_sizes(batch))])]
+        for start, stop in _runs(np.diff(tokens)):
+            part = batch.slice(start, stop - start)
+            yield pa.ListArray.from_arrays(_offsets(_sizes(part)), _grouped(part.flatten(), stem))
+        pa.default_memory_pool().release_unused()
+
+
+@F.arrow_udf(T.ArrayType(_GROUPS))
+def group_tokens(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Distinct tokens of each list of a row with their positions."""
+    return _grouped_columns(columns, stem=False)
 
 
-@F.arrow_udf(_GROUPS)
-def group_stems(tokens: pa.Array) -> pa.Array:
-    """Distinct stems of each list with their positions."""
-    return _grouped(tokens, stem=True)
+@F.arrow_udf(T.ArrayType(_GROUPS))
+def group_stems(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Distinct stems of each list of a row with their positions."""
+    return _grouped_columns(columns, stem=True)
 
 
 @F.arrow_udf(T.StringType())

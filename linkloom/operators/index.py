@@ -127,6 +127,15 @@ def _by_column(lists: DataFrame) -> DataFrame:
     return exploded.select("page_id", "doc_len", "c.*")
 
 
+def _entries(stem: bool) -> Column:
+    """Grouped tokens of each column of a page: array of (col, g).
+
+    All columns go through one call, which passes a batch of pages in slices.
+    """
+    groups = (group_stems if stem else group_tokens)(F.array(*COLUMNS))
+    return F.transform(groups, lambda g, i: F.struct(i.cast("tinyint").alias("col"), g.alias("g")))
+
+
 def tokens(pages: DataFrame, stem: bool = True) -> DataFrame:
     """One row per token occurrence: token, page_id, col (0 title, 1 text, 2 url), pos."""
     by_column = _by_column(analyzed(pages, stem))
@@ -151,14 +160,10 @@ def page_entries(pages: DataFrame, stem: bool = True) -> DataFrame:
 
     A page is one row, so its tokens are grouped where they are, without a shuffle.
     """
-    group = group_stems if stem else group_tokens
     lists = analyzed(pages, stem=False)
     lengths = [F.size(c).alias(f"len_{c}") for c in COLUMNS]
     doc_len = sum((F.size(c) for c in COLUMNS), F.lit(0)).alias("doc_len")
-    entries = F.array(
-        *(F.struct(F.lit(i).cast("tinyint").alias("col"), group(F.col(c)).alias("g")) for i, c in enumerate(COLUMNS))
-    )
-    return lists.select("page_id", "digest", *lengths, doc_len, entries.alias("entries"))
+    return lists.select("page_id", "digest", *lengths, doc_len, _entries(stem).alias("entries"))
 
 
 def entry_stats(entries: DataFrame) -> DataFrame:
@@ -166,7 +171,9 @@ def entry_stats(entries: DataFrame) -> DataFrame:
 
 
 def entry_postings(entries: DataFrame) -> DataFrame:
-    columns = entries.select("page_id", "doc_len", F.explode("entries").alias("e"))
+    # Each page has an entry per column. For explode() Spark adds a filter on the size of the
+    # array, which would call the grouping function a second time.
+    columns = entries.select("page_id", "doc_len", F.explode_outer("entries").alias("e"))
     return _postings(columns.select("page_id", "doc_len", "e.*"))
 
 
@@ -187,12 +194,10 @@ def build_index(pages: DataFrame, stem: bool = True) -> Index:
 
     Nothing is stored; ``sources.index_store`` analyzes pages once for all tables.
     """
-    group = group_stems if stem else group_tokens
     lists = analyzed(pages, stem=False)
-    grouped = _by_column(lists).select("page_id", "doc_len", "col", group(F.col("tokens")).alias("g"))
     stats = lists.select("page_id", "digest", *(F.size(c).alias(f"len_{c}") for c in COLUMNS))
     stats = stats.withColumn("doc_len", sum((F.col(f"len_{c}") for c in COLUMNS), F.lit(0)))
-    return Index(_postings(grouped), stats, corpus_stats(stats), stem)
+    return Index(entry_postings(page_entries(pages, stem)), stats, corpus_stats(stats), stem)
 
 
 def sync_index(index: Index, changed: DataFrame, removed_ids: DataFrame | None = None) -> Index:

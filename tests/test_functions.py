@@ -1,9 +1,11 @@
 import sqlite3
 from urllib.parse import urldefrag, urljoin
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.functions import analysis
 from linkloom.functions.analysis import stem_column, stem_tokens, stem_word, tokenize
 from linkloom.functions.dates import display_date, normalize_post_date
 from linkloom.functions.html import (
@@ -22,6 +24,7 @@ from linkloom.functions.urls import (
     path_and_query,
     resolve_url,
 )
+from linkloom.operators.index import build_index
 
 
 def apply(spark, values, function):
@@ -228,3 +231,24 @@ def test_empty_token_lists(spark):
 @pytest.mark.parametrize("word, stem", [("relational", "relat"), ("ponies", "poni"), ("ies", "ie")])
 def test_published_stems(word, stem):
     assert stem_word(word) == stem
+
+
+def test_tokens_of_a_batch_are_grouped_in_bounded_slices(monkeypatch):
+    """A batch of many rows is answered slice by slice; a row longer than a slice is whole."""
+    rows = [[["a", "b", "a"], [], ["c"]], [[], [], []], [["b"] * 50, ["x", "b"], []], [["a"], ["a"], ["a"]]] * 3
+    batch = pa.array(rows, pa.list_(pa.list_(pa.string())))
+    monkeypatch.setattr(analysis, "SLICE_TOKENS", 8)
+    parts = list(analysis._grouped_columns(iter([batch.slice(1), batch.slice(0, 0)]), stem=False))
+    assert len(parts) > 5
+    found = [[[(g["token"], g["positions"]) for g in column] for column in row] for part in parts for row in part.to_pylist()]
+    plain = [[{t: [i for i, u in enumerate(column) if u == t] for t in column} for column in row] for row in rows[1:]]
+    assert [[dict(column) for column in row] for row in found] == plain
+
+
+def test_an_index_groups_each_page_once(spark, capsys):
+    pages = spark.createDataFrame([(1, "a b", "a a", ""), (1, None, "c", "u"), (None, "", "", None)], "page_id long, title string, text string, url string")
+    postings = build_index(pages, stem=False).postings
+    postings.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    rows = sorted((r.page_id, r.col, r.token, r.positions) for r in postings.collect())
+    assert rows == [(1, 0, "a", [0]), (1, 0, "b", [1]), (1, 1, "a", [0, 1]), (1, 1, "c", [0]), (1, 2, "u", [0])]
