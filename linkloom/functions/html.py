@@ -18,15 +18,16 @@ from linkloom.functions.urls import base_parts, canonical_url, resolve_url
 # Marks the place of removed markup. It cannot occur in HTML text.
 _GAP = "\x01"
 
+# The bracket stands before the alternatives, so that a place without one is tried once.
 _IGNORED = (
-    r"(?is)<!--.*?-->"
-    r"|<script\b.*?(?:</script\s*>|\z)"
-    r"|<style\b.*?(?:</style\s*>|\z)"
-    r"|<noscript\b.*?</noscript\s*>"
+    r"(?is)<(?:!--.*?-->"
+    r"|script\b.*?(?:</script\s*>|\z)"
+    r"|style\b.*?(?:</style\s*>|\z)"
+    r"|noscript\b.*?</noscript\s*>)"
 )
-_NOT_SHOWN = r"(?is)<template\b.*?</template\s*>|<rt\b.*?</rt\s*>|<rp\b.*?</rp\s*>"
+_NOT_SHOWN = r"(?is)<(?:template\b.*?</template\s*>|rt\b.*?</rt\s*>|rp\b.*?</rp\s*>)"
 # The possessive groups step over quoted attribute values without recursion.
-_TAG = r"""<[A-Za-z/!?](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|<[A-Za-z/!?][^>]*>"""
+_TAG = r"""<[A-Za-z/!?](?:(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
 _TITLE = r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)"
 _ATTRIBUTES = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 # Attributes of every anchor; unbalanced quotes end at the next bracket.

@@ -1,3 +1,4 @@
+import re
 import sqlite3
 from urllib.parse import urldefrag, urljoin
 
@@ -5,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.functions import analysis
+from linkloom.functions import analysis, html
 from linkloom.functions.analysis import stem_column, stem_tokens, stem_word, tokenize
 from linkloom.functions.dates import display_date, normalize_post_date
 from linkloom.functions.html import (
@@ -252,3 +253,18 @@ def test_an_index_groups_each_page_once(spark, capsys):
     assert capsys.readouterr().out.count("ArrowEvalPython") == 1
     rows = sorted((r.page_id, r.col, r.token, r.positions) for r in postings.collect())
     assert rows == [(1, 0, "a", [0]), (1, 0, "b", [1]), (1, 1, "a", [0, 1]), (1, 1, "c", [0]), (1, 2, "u", [0])]
+
+
+def test_markup_patterns_try_alternatives_behind_a_bracket_only(spark):
+    """They match what the alternatives one by one match."""
+    plain = {
+        "_IGNORED": r"(?is)<!--.*?-->|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<noscript\b.*?</noscript\s*>",
+        "_NOT_SHOWN": r"(?is)<template\b.*?</template\s*>|<rt\b.*?</rt\s*>|<rp\b.*?</rp\s*>",
+        "_TAG": r"""<[A-Za-z/!?](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|<[A-Za-z/!?][^>]*>""",
+    }
+    odd = ["", "a < b <!-- c <script> --> d", "x<SCRIPT a='>'>y</script >z<style>open", "<noscript>open <rt>r</RT><rp", "<template><b>\n</template>t",
+           "<a title='>' b>c</a>", '<a title="open>c</a>', "<a 'x'<b>c", "</p><?x?><!d><1>", "<!-- open <style>s</style>"]
+    for name, pattern in plain.items():
+        assert re.match(r"(\(\?is\))?<(\[[^]]*\])?\(\?:", getattr(html, name))
+        found, wanted = (apply(spark, odd, lambda c, p=p: F.regexp_replace(c, p, "#")) for p in (getattr(html, name), pattern))
+        assert found == wanted
