@@ -33,6 +33,8 @@ PHRASE = ("query_id", "clause_id", "phrase_no")
 # A batch with at most this many term rows is broadcast to the postings of its
 # buckets. A larger one is joined by shuffle; both read the same buckets.
 SMALL_BATCH = 20_000
+#: Column masks 1 to 7, by which pages of a word are counted.
+MASKS = range(1, 8)
 OPS, KINDS = ("must", "should", "not"), ("term", "phrase", "prefix", "near", "initial")
 
 
@@ -124,9 +126,13 @@ def prepare(clauses: DataFrame, stem: bool = True) -> Terms:
     rows = clause_terms(checked_clauses(clauses), stem)
     sample = rows.limit(SMALL_BATCH + 1).toArrow()
     if sample.num_rows > SMALL_BATCH:
-        lengths = rows.filter("is_prefix").select(F.length("token").alias("n")).distinct()
-        lengths = tuple(r.n for r in lengths.collect())
-        return Terms(rows, False, lengths, prefixes=bool(lengths))
+        # Prefix lengths are few, as words are short; the row holds each once.
+        seen = rows.agg(
+            F.collect_set(F.when(F.col("is_prefix"), F.length("token"))).alias("lengths"),
+            F.max("positional").alias("positional"), F.max(F.col("n_phrases") > 1).alias("near"),
+        ).first()
+        lengths = tuple(sorted(seen.lengths))
+        return Terms(rows, False, lengths, seen.positional, seen.near, prefixes=bool(lengths))
     local = clauses.sparkSession.createDataFrame(sample, rows.schema)
     values = {c: sample.column(c).to_pylist() for c in ("token", "is_prefix", "positional", "n_phrases")}
     lengths = {len(word) for word, is_prefix in zip(values["token"], values["is_prefix"]) if is_prefix}
@@ -335,31 +341,66 @@ def match(
     """
     if terms.buckets is None:
         terms = located(index, terms)
+    if _plain_words(terms):
+        return _matched_words(index, terms, weights)
     hits = phrase_hits(index, terms, weights)
     return scored(index, terms, hits, hits.groupBy(*PHRASE).agg(F.count("*").alias("n")))
 
 
+def _plain_words(terms: Terms) -> bool:
+    """Whether a large batch has one word, no prefix, for each phrase."""
+    if terms.small or terms.positional or terms.prefixes:
+        return False
+    return terms.rows.groupBy(*PHRASE).count().filter("count > 1").isEmpty()
+
+
+def _matched_words(index: Index, terms: Terms, weights: tuple[float, float, float]) -> DataFrame:
+    """``match`` for ``_plain_words``: frequencies are counted by word and join the terms, not the matches.
+
+    So the matches are shuffled by word and by (query, page), and once more for the frequencies
+    with page and column only, instead of by phrase and by (query, page) again.
+    """
+    postings = _wanted(index.postings, terms)
+    pages = postings.groupBy("token", "page_id").agg(F.bit_or(F.expr("shiftleft(1, cast(col AS int))")).alias("columns"))
+    counts = [F.count_if(F.col("columns").bitwiseAND(F.lit(m)) != 0) for m in MASKS]
+    known = terms.rows.join(pages.groupBy("token").agg(F.array(*counts).alias("n_pages")), "token")
+    known = known.select(
+        *PHRASE, "token", "col_mask", "group_id", (F.col("op") == "not").alias("negative"), "n_groups", F.get("n_pages", F.col("col_mask") - 1).alias("n")
+    )
+    hits = _term_hits(postings.select("token", "page_id", "col", "tf", "doc_len"), terms, known.dropna(subset=list(PHRASE)))
+    weighted = (F.col("tf") * _weight(weights)).alias("weighted")
+    of_phrase = ("doc_len", "group_id", "negative", "n_groups", "n")
+    hits = hits.select(*PHRASE, "page_id", weighted, *of_phrase).repartition("query_id", "page_id")
+    # A posting has an instance at least.
+    hits = hits.groupBy(*PHRASE, "page_id").agg(F.lit(1).alias("hits"), F.sum("weighted").alias("weighted"), *(F.max(c).alias(c) for c in of_phrase))
+    return _page_scores(index, hits)
+
+
 def scored(index: Index, terms: Terms, hits: DataFrame, frequency: DataFrame) -> DataFrame:
     """query_id, page_id and score of the pages whose hits satisfy their query."""
     phrases = terms.rows.select(*PHRASE, "group_id", "op", "n_groups").distinct()
     # At most one row per phrase of the batch.
     known = _sized(terms, frequency.join(_sized(terms, phrases), list(PHRASE)))
+    return _page_scores(index, hits.join(known, list(PHRASE)).withColumn("negative", F.col("op") == "not"))
+
+
+def _page_scores(index: Index, hits: DataFrame) -> DataFrame:
+    """query_id, page_id and score from hits with group_id, negative, n_groups and the frequency n of their phrase."""
     n_docs = index.corpus_stats.select("n_docs").scalar()
     avg_len = index.corpus_stats.select("avg_len").scalar()
     norm = K1 * (1 - B + B * F.col("doc_len") / avg_len)
     part = _idf(n_docs, F.col("n")) * F.col("weighted") * (K1 + 1) / (F.col("weighted") + norm)
     present = F.col("hits") > 0
-    positive = present & (F.col("op") != "not")
+    positive = present & ~F.col("negative")
     return (
-        hits.join(known, list(PHRASE))
-        .groupBy("query_id", "page_id")
+        hits.groupBy("query_id", "page_id")
         .agg(
             # Added in one order whatever the plan, so that equal pages tie.
             F.sort_array(F.collect_list(F.when(positive, -part))).alias("parts"),
             # One entry per group of the query at most.
             F.size(F.collect_set(F.when(positive, F.col("group_id")))).alias("groups"),
             F.max("n_groups").alias("n_groups"),
-            F.max(present & (F.col("op") == "not")).alias("excluded"),
+            F.max(present & F.col("negative")).alias("excluded"),
         )
         .filter((F.col("groups") == F.col("n_groups")) & ~F.col("excluded"))
         .select("query_id", "page_id", F.aggregate("parts", F.lit(0.0), lambda score, x: score + x).alias("score"))

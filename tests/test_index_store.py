@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import blocks
+from linkloom.operators import match as matching
 from linkloom.operators.index import build_index
 from linkloom.operators.match import CLAUSE_SCHEMA, located, match, prepare
 from linkloom.operators.rank import top_per_query
@@ -173,3 +174,33 @@ def test_clauses_are_checked(spark):
         row[place] = wrong
         with pytest.raises(ValueError, match="invalid"):
             prepare(spark.createDataFrame([tuple(row)], CLAUSE_SCHEMA))
+
+
+def small_pages(spark, n=40):
+    """Words on every page, on some and on one; some in two columns of a page."""
+    text = F.concat_ws(" ", F.lit("hot"), F.concat(F.lit("w"), (F.col("id") % 7).cast("string")), F.concat(F.lit("own"), F.col("id").cast("string")))
+    title = F.when(F.col("id") % 3 == 0, "hot").otherwise("w1 w1")
+    return spark.range(n).select(F.col("id").alias("page_id"), title.alias("title"), text.alias("text"), F.lit("en").alias("url")).coalesce(2)
+
+
+def test_large_batch_of_words(spark, store, monkeypatch):
+    """A large batch gives the rows of a small one, from postings without positions and fewer shuffles."""
+    store.build(small_pages(spark), stem=False)
+    index = store.read()
+    rows = [(1, 0, 0, "must", "term", 7, 0, 0, "hot"), (2, 0, 0, "should", "term", 1, 0, 0, "w1"), (2, 1, 0, "should", "term", 6, 0, 0, "w2"),
+            (3, 0, 0, "must", "term", 7, 0, 0, "hot"), (3, 1, 1, "not", "term", 2, 0, 0, "w3"), (4, 0, 0, "must", "term", 7, 0, 0, "none")]
+    shared = [*rows, (5, 0, 0, "must", "term", 7, 0, 0, "w1"), (5, 0, 0, "must", "term", 7, 0, 0, "own3")]
+    weights = (3.0, 1.0, 0.0)
+    for some in (rows, shared):
+        batch = spark.createDataFrame(some, CLAUSE_SCHEMA)
+        shown = lambda found: sorted((r.query_id, r.page_id, round(r.score, 9)) for r in found.collect())
+        want = shown(match(index, prepare(batch, stem=False), weights))
+        with monkeypatch.context() as small:
+            small.setattr(matching, "SMALL_BATCH", 2)
+            terms = prepare(batch, stem=False)
+            assert not terms.small and not terms.positional and not terms.near
+            found = match(index, terms, weights)
+            assert shown(found) == want and len(want) > 40
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "positions" not in plan
+        assert matching._plain_words(located(index, terms)) == (some is rows)
