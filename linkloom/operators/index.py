@@ -156,14 +156,15 @@ def corpus_stats(doc_stats: DataFrame) -> DataFrame:
 
 
 def page_entries(pages: DataFrame, stem: bool = True) -> DataFrame:
-    """One row per page: page_id, column lengths, doc_len and ``entries``, its grouped tokens.
+    """One row per page: page_id, column lengths, doc_len, ``entries``, its grouped tokens, and their number.
 
     A page is one row, so its tokens are grouped where they are, without a shuffle.
     """
     lists = analyzed(pages, stem=False)
     lengths = [F.size(c).alias(f"len_{c}") for c in COLUMNS]
     doc_len = sum((F.size(c) for c in COLUMNS), F.lit(0)).alias("doc_len")
-    return lists.select("page_id", "digest", *lengths, doc_len, _entries(stem).alias("entries"))
+    entries = lists.select("page_id", "digest", *lengths, doc_len, _entries(stem).alias("entries"))
+    return entries.withColumn("n_postings", F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + F.size(e["g"])))
 
 
 def entry_stats(entries: DataFrame) -> DataFrame:

@@ -226,7 +226,7 @@ class IndexStore:
         with Scratch(self.spark) as scratch:
             postings, stats = scratch.keep(index.postings.drop("bucket")), scratch.keep(index.doc_stats)
             spread = spread_of(totals.n_docs)
-            buckets = self._write_postings(segment, postings, None, spread)
+            buckets = self._write_postings(segment, postings, postings.count(), None, spread)
             self._write("doc_stats", segment, stats)
             self._write("checksums", segment, checksums(stats))
         self._commit(segment, True, buckets, index.stemmed, totals.n_docs, totals.total_len, spread)
@@ -245,24 +245,26 @@ class IndexStore:
 
     def _write_segment(self, segment: int, entries: DataFrame, buckets: int | None, spread: int) -> int:
         self._write("doc_stats", segment, entry_stats(entries))
-        return self._write_postings(segment, entry_postings(entries), buckets, spread)
+        total = entries.agg(F.coalesce(F.sum("n_postings"), F.lit(0))).first()[0]
+        return self._write_postings(segment, entry_postings(entries), total, buckets, spread)
 
-    def _write_postings(self, segment: int, postings: DataFrame, buckets: int | None, spread: int) -> int:
-        """Vocabulary and postings of a segment; the number of buckets follows from the rows if it is open.
+    def _write_postings(self, segment: int, postings: DataFrame, total: int, buckets: int | None, spread: int) -> int:
+        """Postings (``total`` of them) and vocabulary of a segment; the number of buckets follows from the rows if it is open.
 
         Postings are dealt by range of (bucket, token, block, page), so a frequent word, or a
         bucket of many rows, takes as many tasks as its rows need, and each file of a bucket
-        holds a stretch of its words.
+        holds a stretch of its words. Words are counted in these files, where a task meets few of them.
         """
-        with Scratch(self.spark) as scratch:
-            words = scratch.keep(postings.groupBy("token").agg(F.count("*").alias("df")))
-            n_words, total = words.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
-            self._write_words(segment, words, n_words)
         buckets = buckets or max(1, min(MOST_BUCKETS, -(-total // BUCKET_ROWS)))
+        bucket, block = bucket_of("token", buckets), block_of("page_id", "doc_len", spread)
         order = ["bucket", "token", "block", "page_id", "col"]
-        placed = postings.withColumns({"bucket": bucket_of("token", buckets), "block": block_of("page_id", "doc_len", spread)})
-        placed = placed.repartitionByRange(self._tasks(total), *order).sortWithinPartitions(*order)
+        placed = postings.repartitionByRange(self._tasks(total), bucket, "token", block, "page_id", "col")
+        placed = placed.withColumns({"bucket": bucket, "block": block}).sortWithinPartitions(*order)
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
+        with Scratch(self.spark) as scratch:
+            here = self._read("postings").filter(F.col("segment") == segment)
+            words = scratch.keep(here.groupBy("token").agg(F.count("*").alias("df")))
+            self._write_words(segment, words, words.count())
         return buckets
 
     def _write_words(self, segment: int, words: DataFrame, n_words: int) -> None:

@@ -204,3 +204,17 @@ def test_large_batch_of_words(spark, store, monkeypatch):
             plan = found._jdf.queryExecution().executedPlan().toString()
             assert "positions" not in plan
         assert matching._plain_words(located(index, terms)) == (some is rows)
+
+
+def test_words_are_counted_in_stored_postings(spark, store, monkeypatch):
+    """The vocabulary is that of the postings, and the tokens of pages are unfolded for the postings alone."""
+    calls = []
+    postings_of = index_store.entry_postings
+    monkeypatch.setattr(index_store, "entry_postings", lambda entries: calls.append(entries.columns) or postings_of(entries))
+    written = []
+    write_words = IndexStore._write_words
+    monkeypatch.setattr(IndexStore, "_write_words", lambda self, segment, *rest: written.append(self._read("postings").count()) or write_words(self, segment, *rest))
+    store.build(small_pages(spark), stem=False)
+    assert "n_postings" in calls[0] and written == [store.read().postings.count()]
+    want = {r.token: r["count"] for r in build_index(small_pages(spark), stem=False).postings.groupBy("token").count().collect()}
+    assert {r.token: r.df for r in store.read().vocabulary.collect()} == want
