@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.index import Bounds, Index
-from linkloom.operators.match import B, K1, PHRASE, SMALL_BATCH, Terms, _idf, scored, term_hits
+from linkloom.operators.match import B, K1, MASKS, PHRASE, SMALL_BATCH, Terms, _idf, scored, term_hits
 from linkloom.operators.rank import top_per_query
 from linkloom.sources.lineage import cut
 
@@ -23,8 +23,8 @@ BLOCK_PAGES = 1024
 _BANDS = 8
 #: Blocks of each query that the first pass scores.
 FIRST_BLOCKS = 4
-#: Column masks 1 to 7, by which pages of a word are counted.
-MASKS = range(1, 8)
+#: Parts that the words and blocks of a bucket are dealt to.
+BUCKET_PARTS = 8
 
 
 def block_of(page_id: Column | str, doc_len: Column | str, spread: int) -> Column:
@@ -38,13 +38,15 @@ def spread_of(n_docs: int) -> int:
     return max(1, -(-n_docs // (BLOCK_PAGES * _BANDS)))
 
 
-def block_bounds(postings: DataFrame) -> DataFrame:
+def block_bounds(postings: DataFrame, tasks: int) -> DataFrame:
     """bucket, token, block, max_tf, min_len, n_rows, n_pages (by column mask) of ``postings``.
 
-    One shuffle by (token, block) of the narrow columns serves both steps.
+    One shuffle of the narrow columns, by bucket and part of its words and blocks, serves both
+    steps and the writing by bucket.
     """
-    keys = ["bucket", "token", "block"]
-    narrow = postings.select(*keys, "page_id", "col", "tf", "doc_len").repartition("token", "block")
+    keys = ["bucket", "part", "token", "block"]
+    part = F.pmod(F.xxhash64("token", "block"), F.lit(BUCKET_PARTS))
+    narrow = postings.select("bucket", part.alias("part"), "token", "block", "page_id", "col", "tf", "doc_len").repartition(tasks, "bucket", "part")
     pages = narrow.groupBy(*keys, "page_id").agg(
         F.sum("tf").alias("tf"), F.max("doc_len").alias("doc_len"), F.count("*").alias("n_rows"),
         F.bit_or(F.expr("shiftleft(1, cast(col AS int))")).alias("columns"),
@@ -52,7 +54,7 @@ def block_bounds(postings: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("columns").bitwiseAND(F.lit(m)) != 0) for m in MASKS]
     return pages.groupBy(*keys).agg(
         F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.sum("n_rows").alias("n_rows"), F.array(*counts).alias("n_pages")
-    )
+    ).drop("part")
 
 
 def can_bound(index: Index, terms: Terms) -> bool:

@@ -135,7 +135,7 @@ class IndexStore:
             raise ValueError("there is no index yet")
         segment = commits[0].segment
         postings = self._read("postings").filter(F.col("segment") == segment)
-        rows = block_bounds(postings).repartition("bucket").sortWithinPartitions("bucket", "token", "block")
+        rows = block_bounds(postings, self._tasks(postings.count())).sortWithinPartitions("bucket", "token", "block")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/bounds/segment={segment}")
 
     @staticmethod

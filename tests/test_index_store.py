@@ -218,3 +218,14 @@ def test_words_are_counted_in_stored_postings(spark, store, monkeypatch):
     assert "n_postings" in calls[0] and written == [store.read().postings.count()]
     want = {r.token: r["count"] for r in build_index(small_pages(spark), stem=False).postings.groupBy("token").count().collect()}
     assert {r.token: r.df for r in store.read().vocabulary.collect()} == want
+
+
+def test_bounds_take_one_shuffle(spark, store):
+    """Bounds by block are dealt once, also for writing by bucket."""
+    store.build(small_pages(spark), stem=False)
+    rows = blocks.block_bounds(store._read("postings"), 4)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    keys = rows.select("bucket", "token", "block")
+    assert keys.count() == keys.distinct().count() > 0
+    hot = rows.filter("token = 'hot'").agg(F.sum("n_rows").alias("n"), F.sum(F.get("n_pages", F.lit(6))).alias("pages"), F.max("max_tf").alias("tf")).first()
+    assert (hot.n, hot.pages, hot.tf) == (54, 40, 2)
