@@ -1,6 +1,6 @@
 """The stored full-text index: bucketed segments, tombstones, commits.
 
-    postings/segment=n/bucket=b   sorted by token, block, page and column
+    postings/segment=n/bucket=b   files sorted by token, block, page and column
     bounds/segment=n/bucket=b     bounds of words by block of pages, if asked for
     vocabulary/segment=n/range=r  token, df: stretches of the sorted words
     word_ranges/segment=n         first and last word of each stretch
@@ -20,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators.blocks import block_bounds, block_of, spread_of
@@ -40,7 +40,7 @@ from linkloom.operators.index import (
     verify_index,
 )
 from linkloom.operators.store import repeated_page_ids
-from linkloom.sources.lineage import Scratch
+from linkloom.sources.lineage import Scratch, freed_shuffles
 
 #: Postings of a bucket, about, and the most that one task sorts and writes as a file.
 BUCKET_ROWS, PART_ROWS = 2_000_000, 1_000_000
@@ -50,6 +50,10 @@ MOST_BUCKETS = 16_384
 RANGE_WORDS = 100_000
 #: Fewest postings that are worth a task of their own.
 LEAST_ROWS = 50_000
+#: Postings that are shuffled at a time; more are placed in parts, at most so many.
+SHUFFLED_ROWS, MOST_PARTS = 4_000_000, 8
+#: Files of grouped tokens: small row groups, so that a part of them still has work for all cores.
+_ENTRY_FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 #: Tombstones that are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -71,6 +75,49 @@ def missing_path(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
+def _parts(rows: DataFrame, key: Column, postings: Column) -> list[tuple[DataFrame, int]]:
+    """Stored rows by stretches of ``key``, a file or folder of them, with their numbers of postings.
+
+    One part for up to ``SHUFFLED_ROWS`` postings; of many, none has much more than its share.
+    """
+    sizes = sorted((r.key, r.n) for r in rows.groupBy(key.alias("key")).agg(postings.alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    most = min(MOST_PARTS, -(-total // SHUFFLED_ROWS))
+    if most <= 1:
+        return [(rows, total)]
+    parts: dict[int, dict] = {}
+    seen = 0
+    for name, n in sizes:
+        parts.setdefault(min(most - 1, seen * most // total), {})[name] = n
+        seen += n
+    return [(rows.filter(key.isin(*names)), sum(names.values())) for names in parts.values()]
+
+
+def _packed(postings: DataFrame) -> DataFrame:
+    """Postings as they are shuffled: length of the page, column and first place in one number
+    (31, 2 and 31 bits), which orders the columns of a page, and further places if there are any."""
+    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(0)).cast("long")
+    number = F.shiftleft(F.col("doc_len").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("col").cast("long"), 31)).bitwiseOR(first)
+    further = F.when(F.size("positions") != 1, F.slice("positions", 2, 2**31 - 1))
+    return postings.select("token", "page_id", number.alias("packed"), further.alias("further"))
+
+
+def _packed_len() -> Column:
+    """Length of the page of a packed posting."""
+    return F.shiftrightunsigned("packed", 33).cast("int")
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """The stored columns of packed postings with bucket and block."""
+    first = F.array(F.col("packed").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    positions = F.when(F.col("further").isNull(), first).otherwise(F.concat(first, "further"))
+    column = F.shiftright("packed", 31).bitwiseAND(F.lit(3)).cast("tinyint")
+    tf = F.coalesce(F.size("further"), F.lit(0)) + 1
+    return rows.select(
+        "token", "page_id", column.alias("col"), tf.alias("tf"), _packed_len().alias("doc_len"), positions.alias("positions"), "block", "bucket"
+    )
+
+
 @dataclass(frozen=True)
 class IndexStore:
     """An index under ``folder``, as of its last commit."""
@@ -136,7 +183,8 @@ class IndexStore:
         segment = commits[0].segment
         postings = self._read("postings").filter(F.col("segment") == segment)
         rows = block_bounds(postings, self._tasks(postings.count())).sortWithinPartitions("bucket", "token", "block")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/bounds/segment={segment}")
+        with freed_shuffles(self.spark):
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/bounds/segment={segment}")
 
     @staticmethod
     def _alive(rows: DataFrame, dead: DataFrame) -> DataFrame:
@@ -175,7 +223,7 @@ class IndexStore:
         if shared := repeated_page_ids(pages).limit(5).collect():
             raise ValueError(f"pages share an id: {sorted(r.page_id for r in shared)}")
         segment = self.last_segment() + 1 if segment is None else segment
-        with Scratch(self.spark) as scratch:
+        with Scratch(self.spark, **_ENTRY_FILES) as scratch:
             entries = scratch.keep(page_entries(pages, stem))
             spread = spread_of(entries.count())
             buckets = self._write_segment(segment, entries, None, spread)
@@ -200,7 +248,7 @@ class IndexStore:
         commits = [r for r in commits if r.segment < segment]
         last = commits[-1] if commits else None
         stem = last.stemmed if last else stem
-        with Scratch(self.spark) as scratch:
+        with Scratch(self.spark, **_ENTRY_FILES) as scratch:
             entries = scratch.keep(page_entries(changed, stem))
             gone = entries.select("page_id")
             if removed_ids is not None:
@@ -222,19 +270,29 @@ class IndexStore:
 
     def adopt(self, index: Index, segment: int) -> None:
         """Write another index as a full build, without analyzing a page again."""
+        with Scratch(self.spark) as scratch:
+            postings = scratch.keep(index.postings.drop("bucket"))
+            self._write_index(index, segment, _parts(postings, F.col("_metadata.file_name"), F.count("*")))
+
+    def compact(self) -> None:
+        """Fold all segments into one full build.
+
+        A segment of its own is written, so that postings are read where they are, some buckets at a time.
+        """
+        index = self.read()
+        self._write_index(index, self.last_segment() + 1, _parts(index.postings, F.col("bucket"), F.count("*")))
+
+    def _write_index(self, index: Index, segment: int, parts: list[tuple[DataFrame, int]]) -> None:
+        """Write an index, whose postings come in these parts, as a full build."""
         totals = index.corpus_stats.first()
         with Scratch(self.spark) as scratch:
-            postings, stats = scratch.keep(index.postings.drop("bucket")), scratch.keep(index.doc_stats)
+            stats = scratch.keep(index.doc_stats)
             spread = spread_of(totals.n_docs)
-            buckets = self._write_postings(segment, postings, postings.count(), None, spread)
+            buckets = self._write_postings(segment, parts, None, spread)
             self._write("doc_stats", segment, stats)
             self._write("checksums", segment, checksums(stats))
         self._commit(segment, True, buckets, index.stemmed, totals.n_docs, totals.total_len, spread)
 
-    def compact(self) -> None:
-        """Fold all segments into one full build."""
-        self.adopt(self.read(), self.last_segment() + 1)
-
     def _before(self, commits: list) -> DataFrame:
         """Statistics rows that are alive after these commits."""
         live = [r.segment for r in commits]
@@ -245,24 +303,30 @@ class IndexStore:
 
     def _write_segment(self, segment: int, entries: DataFrame, buckets: int | None, spread: int) -> int:
         self._write("doc_stats", segment, entry_stats(entries))
-        total = entries.agg(F.coalesce(F.sum("n_postings"), F.lit(0))).first()[0]
-        return self._write_postings(segment, entry_postings(entries), total, buckets, spread)
+        parts = _parts(entries, F.col("_metadata.file_name"), F.sum("n_postings"))
+        return self._write_postings(segment, [(entry_postings(rows), n) for rows, n in parts], buckets, spread)
 
-    def _write_postings(self, segment: int, postings: DataFrame, total: int, buckets: int | None, spread: int) -> int:
-        """Postings (``total`` of them) and vocabulary of a segment; the number of buckets follows from the rows if it is open.
+    def _write_postings(self, segment: int, parts: list[tuple[DataFrame, int]], buckets: int | None, spread: int) -> int:
+        """Postings and vocabulary of a segment; the number of buckets follows from the rows if it is open.
 
-        Postings are dealt by range of (bucket, token, block, page), so a frequent word, or a
-        bucket of many rows, takes as many tasks as its rows need, and each file of a bucket
-        holds a stretch of its words. Words are counted in these files, where a task meets few of them.
+        Postings come in parts with their number, which are placed one after the other, so that
+        the disk holds the shuffle of one part at a time. They are dealt by range of (bucket, token,
+        block, page), so a frequent word, or a bucket of many rows, takes as many tasks as its rows
+        need, and each file of a bucket holds a stretch of its words. Words are counted in these
+        files, where a task meets few of them.
         """
+        total = sum(n for _, n in parts)
         buckets = buckets or max(1, min(MOST_BUCKETS, -(-total // BUCKET_ROWS)))
-        bucket, block = bucket_of("token", buckets), block_of("page_id", "doc_len", spread)
-        order = ["bucket", "token", "block", "page_id", "col"]
-        placed = postings.repartitionByRange(self._tasks(total), bucket, "token", block, "page_id", "col")
-        placed = placed.withColumns({"bucket": bucket, "block": block}).sortWithinPartitions(*order)
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
+        path = f"{self.folder}/postings/segment={segment}"
+        for k, (rows, n) in enumerate(parts):
+            bucket, block = bucket_of("token", buckets), block_of("page_id", _packed_len(), spread)
+            placed = _packed(rows).repartitionByRange(self._tasks(n), bucket, "token", block, "page_id", "packed")
+            placed = placed.withColumns({"bucket": bucket, "block": block}).sortWithinPartitions("bucket", "token", "block", "page_id", "packed")
+            with freed_shuffles(self.spark):
+                files = _unpacked(placed).write.mode("append" if k else "overwrite").option("compression", "zstd")
+                files.partitionBy("bucket").parquet(path)
         with Scratch(self.spark) as scratch:
-            here = self._read("postings").filter(F.col("segment") == segment)
+            here = self.spark.read.schema("token string").option("recursiveFileLookup", "true").parquet(path)
             words = scratch.keep(here.groupBy("token").agg(F.count("*").alias("df")))
             self._write_words(segment, words, words.count())
         return buckets
@@ -271,7 +335,8 @@ class IndexStore:
         """Words in sorted stretches, one for each task, and the bounds of these."""
         dealt = words.repartitionByRange(max(1, -(-n_words // RANGE_WORDS)), "token").sortWithinPartitions("token")
         dealt = dealt.withColumn("range", F.spark_partition_id())
-        dealt.write.mode("overwrite").partitionBy("range").parquet(f"{self.folder}/vocabulary/segment={segment}")
+        with freed_shuffles(self.spark):
+            dealt.write.mode("overwrite").partitionBy("range").parquet(f"{self.folder}/vocabulary/segment={segment}")
         here = self._read("vocabulary").filter(F.col("segment") == segment)
         self._write("word_ranges", segment, here.groupBy("range").agg(F.min("token").alias("low"), F.max("token").alias("high")).coalesce(1))
 
@@ -282,7 +347,8 @@ class IndexStore:
         return max(1, -(-2 * total // PART_ROWS), min(2 * cores, total // LEAST_ROWS))
 
     def _write(self, table: str, segment: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{table}/segment={segment}")
+        with freed_shuffles(self.spark):
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{table}/segment={segment}")
 
     def _commit(self, segment: int, base: bool, buckets: int, stem: bool, n_docs: int, total_len: int, spread: int) -> None:
         kinds = "base boolean, buckets int, stemmed boolean, n_docs long, total_len long, spread int"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,27 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Whether Spark removes the shuffle files of a query as it ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written in this block leaves no shuffle files.
+
+    Otherwise they stay until the driver happens to collect its garbage, and those of a long job add up.
+    """
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
+
+
 class Scratch:
     """Tables that a job writes for its own use; they are removed when it ends.
 
@@ -50,8 +73,9 @@ class Scratch:
     reads them may be used after the block.
     """
 
-    def __init__(self, spark: SparkSession):
-        self._spark, self._folder, self._n = spark, shared_folder(spark, "scratch"), 0
+    def __init__(self, spark: SparkSession, **options: str):
+        """``options``: those of the writer."""
+        self._spark, self._folder, self._n, self._options = spark, shared_folder(spark, "scratch"), 0, options
 
     def __enter__(self) -> Scratch:
         return self
@@ -63,5 +87,6 @@ class Scratch:
         """The rows of ``frame``, written once and read back."""
         path = f"{self._folder}/{self._n}"
         self._n += 1
-        frame.write.parquet(path)
+        with freed_shuffles(self._spark):
+            frame.write.options(**self._options).parquet(path)
         return self._spark.read.schema(frame.schema).parquet(path)

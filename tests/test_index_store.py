@@ -1,6 +1,8 @@
 """The stored index: pruned scans, segments, failed builds, compaction."""
 
+import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from linkloom.operators.rank import top_per_query
 from linkloom.plans.search import ranked
 from linkloom.sources import index_store
 from linkloom.sources.index_store import IndexStore
+from linkloom.sources.lineage import Scratch, freed_shuffles
 from suite.search_queries import document_texts
 from tests.test_tables import rows
 
@@ -229,3 +232,61 @@ def test_bounds_take_one_shuffle(spark, store):
     assert keys.count() == keys.distinct().count() > 0
     hot = rows.filter("token = 'hot'").agg(F.sum("n_rows").alias("n"), F.sum(F.get("n_pages", F.lit(6))).alias("pages"), F.max("max_tf").alias("tf")).first()
     assert (hot.n, hot.pages, hot.tf) == (54, 40, 2)
+
+
+def test_postings_are_placed_in_parts(spark, store, docs, monkeypatch):
+    """A part of the postings is shuffled at a time, its files go at once, and folding copies no postings."""
+    for name, n in (("SHUFFLED_ROWS", 3_000), ("BUCKET_ROWS", 5_000), ("PART_ROWS", 20_000)):
+        monkeypatch.setattr(index_store, name, n)
+    kept, written = [], []
+    keep, tasks = Scratch.keep, IndexStore._tasks
+    monkeypatch.setattr(Scratch, "keep", lambda self, frame: (kept.append(frame.columns), keep(self, frame))[1])
+    monkeypatch.setattr(IndexStore, "_tasks", lambda self, n: (written.append(n), tasks(self, n))[1])
+    want = build_index(docs, stem=False)
+    total = want.postings.count()
+    assert total > 3_000 * index_store.MOST_PARTS
+    store.build(docs, stem=False)
+    assert len(written) > index_store.MOST_PARTS / 2 and sum(written) == total and max(written) < total / 3
+    same(store.read(), want)
+    store.sync(docs.filter("page_id % 9 = 1"), docs.filter("page_id % 9 = 2").select("page_id"))
+    del kept[:], written[:]
+    store.compact()
+    left = build_index(docs.filter("page_id % 9 <> 2"), stem=False)
+    assert not [c for c in kept if "positions" in c] and len(written) > index_store.MOST_PARTS / 2
+    assert sum(written) == left.postings.count() and max(written) < sum(written) / 3
+    same(store.read(), left)
+    assert rows(store.read().vocabulary) == rows(left.postings.groupBy("token").agg(F.count("*").alias("df")))
+    store.adopt(build_index(docs, stem=False), store.last_segment() + 1)
+    same(store.read(), want)
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    """Shuffle files of what is written go with the job, not with the driver's garbage."""
+    files = lambda: {str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList().mkString("\n").split("\n") if f.endswith(".data")}
+    dealt = spark.range(50_000).withColumn("x", F.xxhash64("id")).repartition(4, "x")
+    before = files()
+    dealt.write.parquet(f"{tmp_path}/plain")
+    assert files() - before
+    seen = files()
+    with Scratch(spark) as scratch:
+        assert scratch.keep(dealt).count() == 50_000
+    with freed_shuffles(spark):
+        dealt.write.parquet(f"{tmp_path}/freed")
+    for _ in range(50):
+        if left := {f for f in files() - seen if os.path.getsize(f) > 50_000}:
+            time.sleep(0.2)
+    assert not left and spark.read.parquet(f"{tmp_path}/freed").count() == 50_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_postings_are_packed_for_the_shuffle(spark):
+    """Large and small numbers, one place and many, come back as they were."""
+    made = [("a", 1, 0, 1, 1, [0]), ("a", -5, 2, 3, 2**31 - 1, [0, 7, 2**31 - 2]), ("ü", 2**62, 1, 1, 2**31 - 1, [2**31 - 2]), ("", 0, 1, 2, 2**30, [5, 6])]
+    postings = spark.createDataFrame(made, "token string, page_id long, col tinyint, tf int, doc_len int, positions array<int>")
+    packed = index_store._packed(postings)
+    assert packed.columns == ["token", "page_id", "packed", "further"]
+    got = index_store._unpacked(packed.withColumns({"block": F.lit(1), "bucket": F.lit(2)}))
+    assert got.drop("block", "bucket").schema.simpleString() == postings.schema.simpleString() and rows(got.drop("block", "bucket")) == rows(postings)
+    order = [(r.page_id, r.col) for r in spark.createDataFrame([("a", p, c, 1, 9, [8 - c]) for p in (1, 2) for c in (2, 0, 1)], postings.schema)
+             .transform(index_store._packed).withColumns({"block": F.lit(1), "bucket": F.lit(2)}).orderBy("page_id", "packed").transform(index_store._unpacked).collect()]
+    assert order == [(p, c) for p in (1, 2) for c in range(3)]
